@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, token_counts
+from . import bpe, exact_dedup, packing, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_packing": packing.op2_packing,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, token_counts, toxicity
+from . import bpe, exact_dedup, jaccard_join, license_scan, line_dedup, neighbours, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_quality": quality.op6_quality,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows of text that a task handles at once inside an Arrow batch.
 SLICE_ROWS = 256
 #: Entries of a worker's word cache before the older half goes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: White space that every tokenizer here treats as a boundary.
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 

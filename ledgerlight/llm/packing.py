@@ -54,6 +54,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(number * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        tokenizer.rest()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -145,7 +146,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
     salted = salted.withColumn("__in_salt", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1)
     counts = pieces.groupBy("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int").alias("__salt")).agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return salted.join(before.drop("__n"), ["length", "__salt"]).withColumn("rank", F.col("__before") + F.col("__in_salt")).drop("__before", "__in_salt", "__salt")
+    # A row for each length and salt: their number is bounded by the capacity, whatever the corpus.
+    return salted.join(F.broadcast(before.drop("__n")), ["length", "__salt"]).withColumn("rank", F.col("__before") + F.col("__in_salt")).drop("__before", "__in_salt", "__salt")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

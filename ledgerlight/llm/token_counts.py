@@ -48,6 +48,8 @@ def encoded_counts(df: DataFrame, path: str) -> DataFrame:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(count(batch.column(1).to_pylist()), "i8"))], names=["content_digest", "n_tokens"])
+        if not piecewise:
+            tokenizer.rest()
 
     return df.select("content_digest", "text").mapInArrow(run, "content_digest binary, n_tokens long")
 

@@ -96,6 +96,10 @@ class WordTokenizer:
             found = [[get(w) if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
         return list(map(b"".join, found))
 
+    def rest(self) -> None:
+        """Call at a task's end: the worker lives on, its older words needn't."""
+        self.old = {}
+
 
 def _odd_ascii(text: str) -> bool:
     """Characters at which str.split() parts words and the library doesn't."""

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import SLICE_ROWS, TwoGenerations, read_table, text_or_empty
 
 #: White space as the rank file's own splitter has it (Unicode White_Space). Fixed values.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _GOLD, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _NONE = 1 << 30
 

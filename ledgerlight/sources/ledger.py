@@ -90,8 +90,10 @@ def payload(df: DataFrame, columns: list[str]) -> Column:
 def chain_state(raw: DataFrame) -> DataFrame:
     """(ledger, prev_hash, seq): where the next line of each ledger starts."""
     last = raw.groupBy("ledger").agg(F.max_by("line", "line_no").alias("line"), F.count("*").alias("n"))
-    r = F.from_json("line", "seq bigint, row_hash string")
-    return last.select("ledger", F.coalesce(r["row_hash"], F.lit(GENESIS)).alias("prev_hash"), F.when(r["seq"].isNotNull(), r["seq"] + 1).otherwise(F.when(r.isNull(), F.lit(0)).otherwise(F.col("n") - 1)).cast("bigint").alias("seq"))
+    r = F.from_json("line", "seq bigint, row_hash string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    corrupt = r.isNull() | r["_corrupt"].isNotNull()
+    seq = F.when(corrupt, 0).when(r["seq"].isNotNull(), r["seq"] + 1).otherwise(F.col("n") - 1)
+    return last.select("ledger", F.coalesce(r["row_hash"], F.lit(GENESIS)).alias("prev_hash"), seq.cast("bigint").alias("seq"))
 
 
 def chained(records: DataFrame, ledger: str, order: str, json_column: str, state: DataFrame | None = None) -> DataFrame:

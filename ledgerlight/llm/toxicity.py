@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS, read_table, text_or_empty
 
 #: Bounds of the labelled sample: rows of each label, and characters of a row that may be drawn.
-TRAIN_ROWS, TRAIN_CHARS = 2500, 12_000
+TRAIN_ROWS, TRAIN_CHARS = 2000, 12_000
+#: Labelled ids drawn for each row wanted, as some have no text or a longer one.
+DRAWN = 2
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 6, 4
 GRAMS = (4, 5, 6)
@@ -214,11 +216,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The bounded sample: (texts, labels), rows not held out, first in hash order for each label."""
-    named = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).filter(~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0))
-    rows = rows.join(named, "doc_id").withColumn("__order", F.xxhash64("text"))
-    found = [r for label in (0, 1) for r in rows.filter(F.col("__toxic") == label).orderBy("__order", "doc_id").limit(TRAIN_ROWS).collect()]
+    """The bounded sample: (texts, labels), rows not held out, first in hash order for each label.
+
+    Ids are drawn from the labels alone, ``DRAWN`` for each row wanted, so only drawn rows' texts move.
+    """
+    named = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__order", F.xxhash64("doc_id"))
+    drawn = [named.filter(F.col("__toxic") == label).orderBy("__order", "doc_id").limit(DRAWN * TRAIN_ROWS) for label in (0, 1)]
+    rows = docs.select("doc_id", text_or_empty().alias("text")).filter(F.length("text").between(1, TRAIN_CHARS))
+    rows = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")  # at most 2 * DRAWN * TRAIN_ROWS ids
+    found = sorted(rows.select("__toxic", "__order", "doc_id", "text").collect())
+    found = [r for label in (0, 1) for r in [x for x in found if x["__toxic"] == label][:TRAIN_ROWS]]
     return [r["text"] for r in found], np.array([r["__toxic"] for r in found], "f4")
 
 

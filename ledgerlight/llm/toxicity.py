@@ -48,9 +48,14 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
-def evidence(counts: list[Counter], rows: list[int], least: int = 5, strength: float = 5.0, weakest: float = 0.3) -> dict[str, float]:
-    """Smoothed log odds of label 1 for each feature that tells; those of rare or neutral features are 0 and left out."""
+def evidence(counts: list[Counter], rows: list[int], weakest: float = 0.3) -> dict[str, float]:
+    """Smoothed log odds of label 1 for each feature that tells; those of rare or neutral features are 0 and left out.
+
+    Smoothing grows with the texts labelled 1 up to 1000 of them: in a small sample few rows must tell.
+    """
     clean, toxic = counts
+    strength = min(5.0, max(1.0, rows[1] / 200))
+    least = min(5, max(2, rows[1] // 200))
     out = {}
     for k in {k for c in counts for k, n in c.items() if n >= least}:
         odds = np.log((toxic[k] + strength) / (rows[1] + 2 * strength)) - np.log((clean[k] + strength) / (rows[0] + 2 * strength))

@@ -138,6 +138,10 @@ def grounding_steps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _step(filter_sql: str, *columns: str) -> Query:
+    return lambda spark, sf: grounding_steps(spark, sf).filter(filter_sql).select("run_id", "n", *columns)
+
+
 def grounding_violations(spark: SparkSession, sf: str) -> DataFrame:
     rows = scan.exploded(scanned(spark, sf, ("block_hallucination",)), "run_id")
     return rows.select("run_id", F.col("ord").cast("int").alias("g"), "severity", "evidence", F.col("confidence"))
@@ -238,11 +242,22 @@ def tampered(spark: SparkSession, sf: str) -> DataFrame:
     return changed.select("ledger", (F.row_number().over(w) - 1).alias("line_no"), "line")
 
 
+def ledger_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line at fault and why."""
+    f = L.faults(tampered(spark, sf)).filter("corrupt or gap or bad_link or bad_hash")
+    return f.select("ledger", "line_no", "expected_seq", "corrupt", "gap", "bad_link", "bad_hash")
+
+
+def chain_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each ledger would be written on."""
+    return L.chain_state(_chain(spark, sf).select("ledger", F.col("seq").alias("line_no"), "line"))
+
+
 def ledger_verify(spark: SparkSession, sf: str) -> DataFrame:
     return L.integrity(tampered(spark, sf))
 
 
-LEDGER_VERIFY_SQL = f"""
+FAULTS = f"""
 WITH {CHAIN},
 l AS (SELECT *, json[:-2] || ',"seq":' || seq || ',"prev_hash":"' || prev_hash || '","row_hash":"' || row_hash || '"}}' AS line FROM c WHERE NOT (CAST(ledger AS BIGINT) % 3 = 0 AND seq % 5 = 4)),
 t AS (SELECT ledger, row_number() OVER (PARTITION BY ledger ORDER BY seq) - 1 AS line_no, CASE WHEN CAST(ledger AS BIGINT) % 2 = 0 THEN line ELSE {TAMPER} END AS line FROM l),
@@ -251,7 +266,8 @@ g AS (SELECT *, NOT corrupt AND rh IS NULL AS legacy, rh IS NOT NULL AS valid FR
 w AS (SELECT *, last_value(CASE WHEN valid THEN {{'h': rh, 's': sq, 'n': line_no}} END IGNORE NULLS) OVER (PARTITION BY ledger ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM g),
 f AS (SELECT *, valid AND sq <> coalesce(last.s + line_no - last.n, line_no) AS gap, valid AND ph <> coalesce(last.h, repeat('0', 64)) AS bad_link,
       valid AND sha256(regexp_replace(line, ',"row_hash":"[^"]*"\\}}$', '') || '}}') <> rh AS bad_hash FROM w)
-SELECT ledger, count(*) AS total_records, count(*) FILTER (WHERE legacy) AS legacy_records, count(*) FILTER (WHERE corrupt) + count(*) FILTER (WHERE bad_link) + count(*) FILTER (WHERE bad_hash) AS broken_links,
+"""
+LEDGER_VERIFY_SQL = FAULTS + """SELECT ledger, count(*) AS total_records, count(*) FILTER (WHERE legacy) AS legacy_records, count(*) FILTER (WHERE corrupt) + count(*) FILTER (WHERE bad_link) + count(*) FILTER (WHERE bad_hash) AS broken_links,
        count(*) FILTER (WHERE gap) AS sequence_gaps, count(*) FILTER (WHERE corrupt OR bad_link OR bad_hash OR gap) = 0 AS intact FROM f GROUP BY ledger
 """
 
@@ -276,6 +292,33 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     return flow.summaries(v)
 
 
+def lite_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk by the lite dialect for runs with a finding."""
+    runs = fixtures.runs(spark, sf).withColumn("violations", scan.lite_violations(F.col("output"))).filter(F.size("violations") > 0)
+    return runs.select("run_id", verdict.lite_risk(F.col("violations")).alias("risk_level"))
+
+
+def approval_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return X.approval_requests(fixtures.runs(spark, sf))
+
+
+def intercepted_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as calls: only guarded methods are kept, purchases standing for run and views for query."""
+    calls = table(spark, sf, "events").withColumn("action", F.when(F.col("event_type") == "purchase", "run").when(F.col("event_type") == "view", "query").otherwise(F.col("event_type")))
+    return X.intercepted(calls).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def event_ages(spark: SparkSession, sf: str) -> DataFrame:
+    """How long ago each event was, as of a fixed time."""
+    age = F.unix_timestamp(F.lit("2025-01-01").cast("timestamp")) - F.unix_timestamp("ts")
+    return table(spark, sf, "events").select("event_id", report.time_ago(age).alias("ago"))
+
+
+def event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    w = live.windowed(table(spark, sf, "events"), "ts", "10 minutes", "1 hour", "event_type")
+    return w.select(F.col("window.start").cast("string").alias("start"), "event_type", "n")
+
+
 def _on_verdicts(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: make(verdicts(spark, sf))
 
@@ -395,6 +438,10 @@ def queries() -> dict[str, Query]:
         "input_check": input_check,
         "claim_sentences": claim_sentences,
         "grounding_steps": grounding_steps,
+        "temporal_mismatch": _step("bad_years > 0", "bad_years"),
+        "numeric_ungrounded": _step("bad_nums > 0", "bad_nums"),
+        "negation_flip": _step("flip", "flip"),
+        "overlap_score": _step("not supported", "score"),
         "grounding_violations": grounding_violations,
         "grounding_by_context": grounding_by_context,
         "short_circuit": short_circuit,
@@ -408,6 +455,8 @@ def queries() -> dict[str, Query]:
         "consistency_report": consistency_report,
         "ledger_chain": ledger_chain,
         "ledger_verify": ledger_verify,
+        "ledger_faults": ledger_faults,
+        "chain_tail": chain_tail,
         "ledger_roundtrip": ledger_roundtrip,
         "stats": _on_verdicts(report.stats),
         "api_stats": lambda spark, sf: report.api_stats(verdicts(spark, sf), summaries(spark, sf)),
@@ -431,6 +480,11 @@ def queries() -> dict[str, Query]:
         "custom_rule": custom_rule,
         "approvals_join": approvals_join,
         "lite_rules_long": lite_rules_long,
+        "lite_verdicts": lite_verdicts,
+        "approval_requests": approval_requests,
+        "intercepted_calls": intercepted_calls,
+        "event_ages": event_ages,
+        "event_windows": event_windows,
     }
     return found
 
@@ -468,7 +522,18 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT pipeline_id, count(*) AS n FROM stages GROUP BY 1) s LEFT JOIN (SELECT pipeline_id, count(*) AS n FROM ents GROUP BY 1) e USING (pipeline_id) LEFT JOIN (SELECT pipeline_id, count(*) AS n FROM pairs GROUP BY 1) c USING (pipeline_id)""",
         "ledger_chain": f"WITH {CHAIN} SELECT ledger, seq, prev_hash, row_hash FROM c",
         "ledger_verify": LEDGER_VERIFY_SQL,
+        "ledger_faults": FAULTS + "SELECT ledger, CAST(line_no AS INT) AS line_no, coalesce(last.s + line_no - last.n, line_no) AS expected_seq, corrupt, gap, bad_link, bad_hash FROM f WHERE corrupt OR gap OR bad_link OR bad_hash",
+        "chain_tail": f"WITH {CHAIN} SELECT ledger, arg_max(row_hash, seq) AS prev_hash, max(seq) + 1 AS seq FROM c GROUP BY 1",
         "ledger_roundtrip": LEDGER_ROUNDTRIP_SQL,
+        "lite_verdicts": _lite_sql().replace("SELECT run_id, CAST(row_number()", "SELECT run_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level FROM v GROUP BY 1 --"),
+        "approval_requests": f"{O.runs('v AS (' + O.approval_rows() + ')')} SELECT run_id, CASE g WHEN 0 THEN 'phrase' ELSE 'amount' END AS kind, description FROM v",
+        "intercepted_calls": "SELECT CASE event_type WHEN 'purchase' THEN 'run' WHEN 'view' THEN 'query' END AS action, count(*) AS n FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1",
+        "event_ages": "WITH a AS (SELECT event_id, epoch(TIMESTAMP '2025-01-01') - floor(epoch(ts)) AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || 's ago' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ago' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ago' ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ago' END AS ago FROM a",
+        "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "temporal_mismatch": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, bad_years FROM scored WHERE bad_years > 0",
+        "numeric_ungrounded": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, bad_nums FROM scored WHERE bad_nums > 0",
+        "negation_flip": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, flip FROM scored WHERE flip",
+        "overlap_score": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, round(score, 6) AS score FROM scored WHERE NOT supported",
         **reports,
         "api_stats": O.verdict_ctes() + _SUMM + " SELECT count(*) AS total, count(*) FILTER (WHERE blocked) AS blocked, count(*) FILTER (WHERE NOT blocked) AS allowed, " + ", ".join(f"count(*) FILTER (WHERE risk_level = '{r}') AS {r.lower()}" for r in report.RISKS) + ", (SELECT count(*) FROM summ) AS pipelines, (SELECT count(*) FILTER (WHERE short_circuited) FROM summ) AS short_circuited FROM verdicts",
         "stat_delta": "WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, n - lag(n) OVER (ORDER BY day) AS delta FROM d QUALIFY lag(n) OVER (ORDER BY day) IS NOT NULL",

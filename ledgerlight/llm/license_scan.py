@@ -93,7 +93,7 @@ def matches(docs: DataFrame, text: str = "text", id_column: str = "doc_id", thre
         return F.when(inside, F.lit(2.0) * F.size(F.array_intersect("__pairs", F.array(*map(F.lit, pairs)))) / (n + len(pairs)))
 
     scored = F.filter(F.array(*[F.struct(dice(k).alias("dice"), F.lit(k).alias("license")) for k in known]), lambda s: s["dice"] >= threshold - 1e-12)
-    return paired.select("doc_id", "unit", F.explode(scored).alias("m")).select("doc_id", "unit", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
+    return paired.select("doc_id", "unit", F.explode_outer(scored).alias("m")).filter("m is not null").select("doc_id", "unit", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
 
 
 def best_license(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -32,8 +32,9 @@ def judged_lines(docs: DataFrame, row: Column, text: str, site: str) -> DataFram
     """(row, key, site) of each line with enough words, once for each row, by native functions."""
     lines = F.array_distinct(F.split(F.col(text), "\n"))
     long_enough = F.filter(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")) >= MIN_WORDS)
-    one = docs.select(row.alias("row"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0none"))).alias("site"), F.explode(long_enough).alias("line"))
-    return one.select("row", "site", line_key(F.col("line")).alias("key")).select("row", "site", "key.a", "key.b")
+    one = docs.select(row.alias("row"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0none"))).alias("site"), F.explode_outer(long_enough).alias("line"))
+    # The outer form, as below the inner one the optimizer tests the array's size, which would split all texts twice.
+    return one.filter("line is not null").select("row", "site", line_key(F.col("line")).alias("key")).select("row", "site", "key.a", "key.b")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -64,8 +64,8 @@ def stage_outputs(stages: DataFrame, pipeline: str = "pipeline_id", stage: str =
 
 def extract(outputs: DataFrame) -> DataFrame:
     """Rows (pipeline_id, stage, stage_ord, pos, type, value, number, unit, raw) from stage_outputs."""
-    found = outputs.select("pipeline_id", "stage", F.col("ord").alias("stage_ord"), F.posexplode(entities_of(F.col("text"))).alias("pos", "e"))
-    return found.select("pipeline_id", "stage", "stage_ord", "pos", "e.*")
+    found = outputs.select("pipeline_id", "stage", F.col("ord").alias("stage_ord"), F.posexplode_outer(entities_of(F.col("text"))).alias("pos", "e"))
+    return found.filter("pos is not null").select("pipeline_id", "stage", "stage_ord", "pos", "e.*")
 
 
 def _differ(a: str, b: str) -> Column:

@@ -213,8 +213,11 @@ def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None =
 
 
 def exploded(scanned: DataFrame, *keys: str) -> DataFrame:
-    """One row for each violation: keys, ord (from 0), and the violation's fields."""
-    return scanned.select(*keys, F.posexplode("violations").alias("ord", "v")).select(*keys, "ord", "v.*")
+    """One row for each violation: keys, ord (from 0), and the violation's fields.
+
+    The outer form, as for the inner one the optimizer puts a filter on the array's size below, which scans all texts twice.
+    """
+    return scanned.select(*keys, F.posexplode_outer("violations").alias("ord", "v")).filter("ord is not null").select(*keys, "ord", "v.*")
 
 
 def lite_violations(text: Column, rules: Iterable[str] = C.RULES) -> Column:

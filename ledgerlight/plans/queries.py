@@ -116,7 +116,7 @@ SELECT runs.run_id AS id, coalesce(top, 0) >= 3 AS blocked, coalesce(['LOW', 'ME
 
 def claim_rows(spark: SparkSession, sf: str) -> DataFrame:
     runs = fixtures.runs(spark, sf)
-    said = runs.select("run_id", F.posexplode(G.sentences(F.col("output"))).alias("n", "s"))
+    said = runs.select("run_id", F.posexplode_outer(G.sentences(F.col("output"))).alias("n", "s")).filter("n is not null")
     facts = G.context_facts(F.lit(" ".join(fixtures.CONTEXT)))
     return said.filter(G.is_claim(F.col("s"))).withColumn("facts", facts)
 

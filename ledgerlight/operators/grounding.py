@@ -7,7 +7,9 @@ all that is drawn from it is a literal, worked out once) or a column that a join
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -123,16 +125,37 @@ def judged(sentence: Column, facts: Column) -> Column:
     )
 
 
+def _first_faults(text: Column, facts: Column) -> Column:
+    """The first violations of a text's claims; without claims nothing is drawn from the context."""
+    found = lambda claims: F.slice(F.filter(F.transform(claims, lambda s: judged(s, facts)), lambda v: v.isNotNull()), 1, MOST)
+    claims = F.filter(sentences(text), is_claim)
+    return F.element_at(F.transform(F.array(claims), lambda c: F.when(F.size(c) == 0, F.array().cast(f"array<{VIOLATION}>")).otherwise(found(c))), 1)
+
+
 def grounded_against(text: Column, context: Column) -> Column:
     """Violations of ``text`` against a context column; a null or empty context checks nothing."""
     empty = F.array().cast(f"array<{VIOLATION}>")
-    claims = F.filter(sentences(text), is_claim)
-    found = F.element_at(F.transform(F.array(context_facts(context)), lambda facts: F.slice(F.filter(F.transform(claims, lambda s: judged(s, facts)), lambda v: v.isNotNull()), 1, MOST)), 1)
-    return F.when(context.isNull() | (context == ""), empty).otherwise(found)
+    found = F.element_at(F.transform(F.array(context_facts(context)), lambda facts: _first_faults(text, facts)), 1)
+    return F.when(context.isNull() | (context == "") | ~is_claim(text), empty).otherwise(found)
+
+
+@lru_cache(maxsize=64)
+def _literal(context: str):
+    """What is drawn from a literal context, worked out once; a one-row query, nothing of the data."""
+    return SparkSession.active().sql("SELECT 1").select(context_facts(F.lit(context)).alias("f")).first()["f"]
 
 
 def hallucination(text: Column, o: Options) -> Column:
-    """The rule with context documents from the options, joined by single spaces."""
+    """The rule with context documents from the options, joined by single spaces; their facts are constants of the plan."""
     if not o.context:
         return F.array().cast(f"array<{VIOLATION}>")
-    return grounded_against(text, F.lit(" ".join(o.context)))
+    f = _literal(" ".join(o.context))
+    known = [F.struct(F.lit(n["value"]).alias("value"), F.lit(n["unit"]).alias("unit"), F.lit(n["raw"]).alias("raw")) for n in f["numbers"]]
+    facts = F.struct(
+        F.lit(f["lower"]).alias("lower"),
+        F.array(*[F.lit(y) for y in f["years"]]).cast("array<int>").alias("years"),
+        F.array(*known).cast("array<struct<value:double,unit:string,raw:string>>").alias("numbers"),
+        F.lit(f["obliged"]).alias("obliged"),
+        F.lit(f["limited"]).alias("limited"),
+    )
+    return _first_faults(text, facts)

@@ -11,6 +11,8 @@ treated alike; an empty table gives an empty table; columns that aren't needed p
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +22,30 @@ from .common import materialise, read_table
 MIN_SITES, MIN_WORDS = 10, 3
 #: log2 of the sketch's registers, and the relative error taken as near: four standard errors, 1.04 / sqrt(2^12) each.
 LG_K, NEAR = 12, 0.065
+#: Keys of boilerplate lines (16 bytes each) that are sent to the tasks; beyond that texts are joined with their keys.
+BROADCAST_KEYS = 1_000_000
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of the line's normal form: no two different lines of a corpus share them but by vanishing chance."""
-    plain = F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+def normal_form(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+
+
+def key_of(plain: Column) -> Column:
+    """128 bits of a line's normal form: no two different lines of a corpus share them but by vanishing chance."""
     return F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(F.lit(1), plain).alias("b"))
 
 
+def too_short(line: Column) -> Column:
+    return F.size(F.split(F.trim(line), r"\s+")) < MIN_WORDS
+
+
 def judged_lines(docs: DataFrame, row: Column, text: str, site: str) -> DataFrame:
     """(row, key, site) of each line with enough words, once for each row, by native functions."""
     lines = F.array_distinct(F.split(F.col(text), "\n"))
-    long_enough = F.filter(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")) >= MIN_WORDS)
+    long_enough = F.filter(lines, lambda x: ~too_short(x))
     one = docs.select(row.alias("row"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0none"))).alias("site"), F.explode_outer(long_enough).alias("line"))
     # The outer form, as below the inner one the optimizer tests the array's size, which would split all texts twice.
-    return one.filter("line is not null").select("row", "site", line_key(F.col("line")).alias("key")).select("row", "site", "key.a", "key.b")
+    return one.filter("line is not null").select("row", "site", key_of(normal_form(F.col("line"))).alias("key")).select("row", "site", "key.a", "key.b")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,20 +61,51 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialise(spread.filter(sure).select("a", "b").unionByName(exact.select("a", "b")), "op5-boilerplate")
 
 
+def _flags_by_broadcast(spark: SparkSession, keys: pa.Table, a: Column, b: Column) -> Column:
+    """An array of booleans for arrays of keys: which are among ``keys``, looked up by binary search."""
+    wanted = np.sort(np.rec.fromarrays([keys.column("a").to_numpy(), keys.column("b").to_numpy()], names="a,b"), order=["a", "b"])
+    shared = spark.sparkContext.broadcast((wanted.a.copy(), wanted.b.copy()))
+
+    @F.arrow_udf("array<boolean>")
+    def among(a: pa.Array, b: pa.Array) -> pa.Array:
+        known_a, known_b = shared.value
+        ours, theirs = (x.values.to_numpy(zero_copy_only=False) for x in (a, b))
+        at, end = np.searchsorted(known_a, ours), np.searchsorted(known_a, ours, side="right")
+        found = np.zeros(len(ours), bool)
+        while (open_ := at < end).any():  # once, but for keys that share their first half
+            found[open_] |= known_b[at[open_]] == theirs[open_]
+            at = at + 1
+        return pa.ListArray.from_arrays(a.offsets, pa.array(found), mask=a.is_null() if a.null_count else None)
+
+    return among(a, b)
+
+
 def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text`` and a column ``__lines_removed`` (long).
 
-    Lines to remove reach a document as keys: a document's own, joined by a hash of its text, so equal rows share them.
+    Up to ``BROADCAST_KEYS`` keys of boilerplate lines go to the tasks, and no text is shuffled. Beyond, lines to remove
+    reach a document as keys: its own, joined by a hash of its text, so equal rows share them.
     """
     row = F.xxhash64(F.col(text), F.lit(5))
     lines = materialise(judged_lines(docs, row, text, site), "op5-lines")
-    gone = lines.join(boilerplate(lines, min_sites), ["a", "b"]).select("row", "a", "b").distinct()
-    gone = materialise(gone.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("__gone")), "op5-gone")
-    marked = docs.withColumn("__row", row).join(gone, F.col("__row") == gone["row"], "left").drop("row")
-    stays = lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_key(x)), F.lit(False)) | (F.size(F.split(F.trim(x), r"\s+")) < MIN_WORDS)
-    cut = marked.withColumn("__left", F.when(F.col("__gone").isNotNull(), F.filter(F.split(F.col(text), "\n"), stays)))
-    removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text), "\n")) - F.size("__left")).cast("long")
-    cut = cut.withColumn("__lines_removed", removed).withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n")))
+    common = boilerplate(lines, min_sites)
+    split = F.split(F.col(text), "\n")
+    if common.count() <= BROADCAST_KEYS:
+        # Lines with too few words get keys like the others and are told apart by their number of words.
+        plain = F.transform(split, normal_form)
+        a, b = F.transform(plain, lambda x: key_of(x)["a"]), F.transform(plain, lambda x: key_of(x)["b"])
+        flagged = docs.withColumn("__flags", _flags_by_broadcast(docs.sparkSession, common.select("a", "b").toArrow(), F.coalesce(a, F.array().cast("array<bigint>")), F.coalesce(b, F.array().cast("array<bigint>"))))
+        flagged = flagged.withColumn("__cut", F.exists("__flags", lambda x: x))
+        stays = lambda x, i: ~F.get("__flags", i) | too_short(x)
+    else:
+        gone = lines.join(common, ["a", "b"]).select("row", "a", "b").distinct()
+        gone = materialise(gone.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("__gone")), "op5-gone")
+        flagged = docs.withColumn("__row", row).join(gone, F.col("__row") == gone["row"], "left").drop("row")
+        flagged = flagged.withColumn("__cut", F.col("__gone").isNotNull())
+        stays = lambda x, i: ~F.array_contains("__gone", key_of(normal_form(x))) | too_short(x)
+    cut = flagged.withColumn("__left", F.when(F.col("__cut"), F.filter(split, stays)))
+    cut = cut.withColumn("__lines_removed", F.when(F.col("__cut"), F.size(split) - F.size("__left")).otherwise(0).cast("long"))
+    cut = cut.withColumn(text, F.when(F.col("__cut"), F.array_join("__left", "\n")).otherwise(F.col(text)))
     return cut.select(*[f"`{c}`" for c in docs.columns], "__lines_removed")
 
 

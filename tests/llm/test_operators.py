@@ -207,7 +207,9 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in toxicity.score(odd, None, ["doc_id"]).collect()} == {0.0}
 
 
-def test_line_dedup(spark, empty, odd):
+@pytest.mark.parametrize("broadcast", [1_000_000, -1])
+def test_line_dedup(spark, empty, odd, broadcast, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", broadcast)
     common, near, rare = "This line is everywhere", "This one is nearly", "This one is rare"
     rows = [(i, f"own line number {i}\n{common}\n\nno", f"s{i % 12}") for i in range(24)]
     rows += [(100 + i, f"{near}\nkept {i} and more", f"s{i}") for i in range(10)] + [(200 + i, f"{rare}\nrest {i} stays here", f"s{i}") for i in range(9)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, TwoGenerations, read_table, text_or_empty
+from .common import SLICE_ROWS, TwoGenerations, frugal, held, read_table, text_or_empty
 
 #: White space as the rank file's own splitter has it (Unicode White_Space). Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -167,17 +167,6 @@ class ByteBPE:
         self.cache.turn()
 
 
-_codecs: dict[str, ByteBPE] = {}
-
-
-def _codec(key: str, shared) -> ByteBPE:
-    """One codec for each worker process, which lives on from task to task."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = ByteBPE(*shared.value)
-    return _codecs[key]
-
-
 def _over(df: DataFrame, ranks_path: str, pattern: str, source: Column, keep: list[str] | None, added: list[str], kernel) -> DataFrame:
     """The columns ``keep`` (all, if None) and binary ones that ``kernel(codec, value)`` makes from ``source``; no shuffle.
 
@@ -191,7 +180,7 @@ def _over(df: DataFrame, ranks_path: str, pattern: str, source: Column, keep: li
     names = [f.name for f in fields]
 
     def run(batches):
-        codec = _codec(key, shared)
+        codec = held(f"bpe {key}", lambda: ByteBPE(*shared.value))
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
@@ -200,7 +189,7 @@ def _over(df: DataFrame, ranks_path: str, pattern: str, source: Column, keep: li
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([m[k] for m in made], pa.binary()) for k in range(len(added))]], names=[*names, *added])
 
     plan = df.select(*[F.col(f"`{n}`") for n in names], source.alias("__source"))
-    return plan.mapInArrow(run, T.StructType([*fields, *[T.StructField(a, T.BinaryType()) for a in added]]))
+    return plan.mapInArrow(frugal(run, holds=True), T.StructType([*fields, *[T.StructField(a, T.BinaryType()) for a in added]]))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ CACHE_WORDS = 300_000
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 _local_scratch: dict[str, str] = {}
+_held: dict[str, object] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -75,3 +79,38 @@ class TwoGenerations(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+
+def held(key: str, make: Callable[[], object]):
+    """A worker process's one object that lives on from task to task, such as a tokenizer with its cache; another takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system; without it the peaks of a long-lived worker's operators add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(kernel: Callable, holds: bool = False) -> Callable:
+    """``kernel`` for mapInArrow, memory given back after each batch; what other kernels hold goes unless this one ``holds``."""
+
+    def run(batches):
+        if not holds:
+            _held.clear()
+
+        def one_by_one():
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from kernel(one_by_one())
+        give_back()
+
+    return run

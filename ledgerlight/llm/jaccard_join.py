@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, TwoGenerations, materialise, read_table, text_or_empty
+from .common import SLICE_ROWS, TwoGenerations, frugal, materialise, read_table, text_or_empty
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -117,7 +117,7 @@ def signed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Da
                     digests[i], sig[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), row.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "set_digest", "n_shingles", "signature"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, set_digest binary, n_shingles long, signature binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(frugal(run), "doc_id long, set_digest binary, n_shingles long, signature binary")
 
 
 def banded(representatives: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def banded(representatives: DataFrame) -> DataFrame:
                 h ^= h >> np.uint64(31)
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "doc_id"])
 
-    return representatives.select("doc_id", "signature").mapInArrow(run, "band long, doc_id long")
+    return representatives.select("doc_id", "signature").mapInArrow(frugal(run), "band long, doc_id long")
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
@@ -253,7 +253,7 @@ def meet(members: DataFrame) -> DataFrame:
             yield done()
 
     dealt = members.select("block", "side", "doc_id", "signature", "text").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "doc_id long, links long, other long")
+    return dealt.mapInArrow(frugal(run), "doc_id long, links long, other long")
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, materialise, read_table, text_or_empty
+from .common import SLICE_ROWS, frugal, materialise, read_table, text_or_empty
 from .words import loaded, read_definition
 
 #: Salts for each length when ranking: keeps a common length from flooding a task.
@@ -56,7 +56,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 )
         tokenizer.rest()
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(frugal(run, holds=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Plan:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, TwoGenerations, materialise, read_table, text_or_empty
+from .common import SLICE_ROWS, TwoGenerations, frugal, materialise, read_table, text_or_empty
 
 #: Bounds of the scorer's sample: rows, first in hash order among texts of at most so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 12_000
@@ -169,7 +169,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*keep, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(frugal(run), schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

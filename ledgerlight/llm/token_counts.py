@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, materialise, read_table, scratch_path, text_or_empty
+from .common import SLICE_ROWS, frugal, materialise, read_table, scratch_path, text_or_empty
 from .words import drops_space, loaded, read_definition
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -51,7 +51,7 @@ def encoded_counts(df: DataFrame, path: str) -> DataFrame:
         if not piecewise:
             tokenizer.rest()
 
-    return df.select("content_digest", "text").mapInArrow(run, "content_digest binary, n_tokens long")
+    return df.select("content_digest", "text").mapInArrow(frugal(run, holds=True), "content_digest binary, n_tokens long")
 
 
 def cached_counts(docs: DataFrame, path: str, cache_path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, read_table, text_or_empty
+from .common import SLICE_ROWS, frugal, read_table, text_or_empty
 
 #: Bounds of the labelled sample: rows of each label, and characters of a row that may be drawn.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 12_000
@@ -298,7 +298,7 @@ def score(docs: DataFrame, scorer: Scorer | None, keep: list[str], text: str = "
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*keep, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(frugal(run), schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 import numpy as np
 import regex
 
-from .common import ASCII_SPACE, CACHE_WORDS
+from .common import ASCII_SPACE, CACHE_WORDS, held
 
 
 #: Words whose parts can be counted before the library normalises them; no special token fits in.
@@ -106,15 +106,9 @@ def _odd_ascii(text: str) -> bool:
     return any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def loaded(key: str, shared) -> WordTokenizer:
-    """One tokenizer for each worker process, which lives on from task to task."""
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordTokenizer(shared.value)
-    return _loaded[key]
+    """A worker's tokenizer."""
+    return held(f"words {key}", lambda: WordTokenizer(shared.value))
 
 
 def read_definition(path: str) -> tuple[bytes, str]:

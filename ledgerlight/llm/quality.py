@@ -3,7 +3,8 @@
 Heuristic labellers vote good, bad or nothing on each text; they overlap and err. Expectation-maximisation estimates
 each labeller's accuracies and the share of good texts from how often each pattern of votes occurs (counts over all rows;
 the patterns are bounded by the number of labellers, not by the data). The posterior of a text's pattern is its label
-for a linear scorer over hashed token shapes, learnt on a bounded sample and applied to every whole text.
+for a linear scorer over hashed token shapes, learnt on a bounded sample and applied to every whole text. A token is a
+run without white space, or each ``PART`` characters of a longer one, so texts without spaces are judged to their end.
 
 Defined results: null and empty texts are bad by definition: score 0.0, kept false; repeated rows and ties score alike;
 an empty table gives an empty table; without any vote the scorer follows the prior. Only the text is an input.
@@ -88,11 +89,29 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of a token; longer runs without white space are cut into consecutive tokens.
+PART = 32
+
+
+def tokens(text: str) -> list[str]:
+    runs = text.split()
+    if max(map(len, runs), default=0) <= PART:
+        return runs
+    return [run[at : at + PART] for run in runs for at in range(0, len(run), PART)]
+
+
+def mixture(part: str) -> str:
+    """Quarters of a part that are upper-case, lower-case and other letters, digits and other characters."""
+    letters, upper, lower, digits = (sum(map(test, part)) for test in (str.isalpha, str.isupper, str.islower, str.isdigit))
+    return "=" + "".join(str(round(4 * n / len(part))) for n in (upper, lower, letters - upper - lower, digits, len(part) - letters - digits))
 
 
 def shape(word: str) -> str:
-    """A word's form: its letters as their case and length class, its other characters as they are."""
-    return _LETTERS.sub(lambda m: ("A" if m[0].isupper() else "a" if m[0].islower() else "Aa") + "234567"[min(len(m[0]) // 3, 5)], word[:32])
+    """A token's form: its letters as their case and length class, its other characters as they are. Hardly two long
+    tokens would have one form, so tokens of ``PART`` characters go by their mixture."""
+    if len(word) >= PART:
+        return mixture(word)
+    return _LETTERS.sub(lambda m: ("A" if m[0].isupper() else "a" if m[0].islower() else "Aa") + "234567"[min(len(m[0]) // 3, 5)], word)
 
 
 class Hashed:
@@ -102,7 +121,7 @@ class Hashed:
         self.slot = TwoGenerations(lambda w: zlib.crc32(shape(w).encode()) % (DIMENSIONS - 8) + 8)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
+        words = tokens(text)
         if not words:
             return np.array([0]), np.array([1.0])
         slots = np.fromiter(map(self.slot.__getitem__, words), "i8", len(words))

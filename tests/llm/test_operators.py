@@ -249,6 +249,19 @@ def test_quality(spark, odd, empty):
     assert quality.score(empty, quality.train(empty), ["doc_id"]).count() == 0
 
 
+def test_quality_reads_runs_without_spaces_to_their_end():
+    r = np.random.default_rng(4)
+    start = "thelongrunstartswiththesewordsxy"
+    assert len(start) == quality.PART
+    prose = [start + "".join(r.choice(["sentence", "reader", "garden", "window"], 40)) for _ in range(40)]
+    junk = [start + "".join(r.choice(list("#%&=+{}<>09"), 300)) for _ in range(40)]
+    hashed = quality.Hashed()
+    weights = quality.fit_linear([hashed.of(t) for t in prose[:30] + junk[:30]], np.repeat([1.0, 0.0], 30))
+    value = lambda t: float(weights[hashed.of(t)[0]] @ hashed.of(t)[1])
+    assert min(map(value, prose[30:])) > 0 > max(map(value, junk[30:]))
+    assert "".join(quality.tokens(junk[0])) == junk[0] and quality.tokens(" a  bc ") == ["a", "bc"]
+
+
 def brute_neighbours(rows, k):
     ok = {i: np.array(v, "f8") for i, v in rows if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = []

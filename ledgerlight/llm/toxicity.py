@@ -1,7 +1,9 @@
 """Operator 3: toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 Inputs for each word: word evidence (how the training texts that hold the word are labelled) and character evidence
-(the same for its character n-grams, anchored at its ends), so inflected and unseen forms of a stem count too. A GRU
+(the same for its character n-grams, anchored at its ends), so inflected and unseen forms of a stem count too. A run of
+letters, digits and underscores longer than ``RUN`` characters is cut at underscores, and what is longer still into
+overlapping parts, each a word of its own. A GRU
 reads every window of words forwards and another backwards, attention pools their states, and a logistic unit scores
 the window. Windows overlap by half and cover the whole text; a text's score is that of its worst window.
 
@@ -38,13 +40,32 @@ INPUTS = 6
 THRESHOLD = 0.7
 #: Parts for cross-fitting, and the evidence below which the strongest window of a text labelled 1 isn't taken for toxic.
 PARTS, LEAST_EVIDENCE = 4, 2.0
-WORDS = re.compile(r"\w+").findall
+_RUNS = re.compile(r"\w+").findall
+#: Characters of a word, and how many of them two parts of a longer run share: no n-gram is longer.
+RUN, SHARED = 40, max(GRAMS)
 #: Distinct words a worker keeps features of.
 KEPT_WORDS = 300_000
 
 
+def words_of(text: str) -> list[str]:
+    """A text's words in lower case. Longer runs are cut at underscores, and pieces that are still longer into parts."""
+    runs = _RUNS(text.lower())
+    if max(map(len, runs), default=0) <= RUN:
+        return runs
+    out = []
+    for run in runs:
+        for piece in [run] if len(run) <= RUN else filter(None, run.split("_")):
+            out.extend([piece] if len(piece) <= RUN else parts_of(piece))
+    return out
+
+
+def parts_of(run: str) -> list[str]:
+    """Parts of a run, each sharing ``SHARED`` characters with the next; a zero character stands at a cut."""
+    return [("\0" if at else "") + run[at : at + RUN] + ("\0" if at + RUN < len(run) else "") for at in range(0, len(run) - SHARED, RUN - SHARED)]
+
+
 def grams(word: str) -> list[str]:
-    marked = f"^{word[:40]}$"
+    marked = f"^{word}$".replace("^\0", "").replace("\0$", "")  # cuts are no ends of a word
     return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
@@ -195,7 +216,7 @@ class Scorer:
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of all words with padding behind, first words of all windows, and each window's text."""
-        split = [WORDS(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         x = self.features.rows([w for ws in split for w in ws])
         first, owner, ends, at = [], [], [], 0
         for i, ws in enumerate(split):
@@ -238,7 +259,7 @@ def _distinct(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
     """One text of those that share their smallest hash of three words: copies of a text mustn't count as more evidence."""
     seen: dict[tuple[int, float], int] = {}
     for i, t in enumerate(texts):
-        words = WORDS(t.lower())
+        words = words_of(t)
         seen.setdefault((min((zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))), default=0), float(y[i])), i)
     return [texts[i] for i in seen.values()], y[list(seen.values())]
 
@@ -248,7 +269,7 @@ def train(texts: list[str], y: np.ndarray) -> Scorer | None:
     if not (len(texts) and y.min() == 0 and y.max() == 1):
         return None
     texts, y = _distinct(texts, y)
-    split = [list(dict.fromkeys(WORDS(t.lower()))) for t in texts]
+    split = [list(dict.fromkeys(words_of(t))) for t in texts]
     # Each part of the rows takes its evidence from the others while the network learns, so that it meets unseen words too.
     part = np.array([zlib.crc32(t.encode()) % PARTS for t in texts])
     tables = []

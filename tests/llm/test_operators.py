@@ -207,6 +207,21 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in toxicity.score(odd, None, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxic_phrase_late_in_one_run():
+    r = np.random.default_rng(3)
+    plain = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(60)]
+    texts = [" ".join(np.insert(r.choice(plain, 40).astype("U8"), r.integers(0, 40), ["vilezork"] * (i % 2))) for i in range(120)]
+    scorer = toxicity.train(texts, np.array([i % 2 for i in range(120)], "f4"))
+    for joint in ("_", ""):
+        run = joint.join(r.choice(plain, 40))
+        clean, toxic, last = scorer.scores([run, joint.join([run[:203], "vilezork", run[203:]]), f"{run}{joint}vilezork"])
+        assert clean < 0.5 < min(toxic, last), joint
+    for n in (39, 40, 41, 46, 47, 74, 75, 200):
+        whole = "".join(r.choice(list("abcdefghij"), n))
+        parts = toxicity.words_of(whole.upper())
+        assert {g for p in parts for g in toxicity.grams(p)} == {f"^{whole}$"[i : i + k] for k in toxicity.GRAMS for i in range(n + 3 - k)}
+
+
 @pytest.mark.parametrize("broadcast", [1_000_000, -1])
 def test_line_dedup(spark, empty, odd, broadcast, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", broadcast)

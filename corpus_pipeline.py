@@ -33,9 +33,18 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id."""
-    gone = jaccard_join.near_classes(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(materialise(gone, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near-duplicates one row: of the smallest id, null ids last. Rows without words all stay."""
+    row = jaccard_join.ROW
+    rows = materialise(jaccard_join.near_rows(docs).filter("class_node is not null").groupBy("class_node", *row).agg(F.count("*").alias("n")), "pipeline-near")
+    winners = materialise(rows.groupBy("class_node").agg(jaccard_join.first_row().alias("w")).select("class_node", "w.*"), "pipeline-first")
+    wins = (rows["class_node"] == winners["class_node"]) & jaccard_join.same_row(rows, winners)
+    gone = materialise(rows.join(winners, wins, "left_anti").select(*row), "pipeline-gone")
+    repeated = materialise(rows.filter("n > 1").join(winners, wins, "left_semi").select(*row), "pipeline-repeated")
+    named = docs.select(F.struct(*docs.columns).alias("__doc"), *jaccard_join.row_key())
+    out = gone.unionByName(repeated)
+    stay = named.join(out, jaccard_join.same_row(named, out), "left_anti")
+    again = named.join(repeated, jaccard_join.same_row(named, repeated), "left_semi").groupBy(*row).agg(F.first("__doc").alias("__doc"))
+    return stay.select("__doc.*").unionByName(again.select("__doc.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 10: n-gram Jaccard join with Bayesian candidate pruning.
 
 1. One pass over the texts gives each its set of five-word shingles as a digest and a MinHash signature. Texts with one
-   and the same shingle set form a class; only its representative (smallest id) goes on, so copies cost nothing.
+   and the same shingle set form a node; only one representative of it goes on, so copies cost nothing.
 2. Representatives that share a band of their signatures are candidates of each other. Each bucket links its members to
    its smallest one (a star, not all pairs), and connected components over these links give coarse groups: no candidate
    pair lies across two groups.
@@ -13,8 +13,8 @@
 
 A text's shingles: words are maximal runs of letters, digits and underscores of the lower-case text; a text of one to
 four words is one shingle. Defined results: null texts and texts without words have no shingles and match nothing, each
-is its own class; repeated rows count as copies (an
-id names one text; if an id repeats with other texts, one of them decides); an empty table gives an empty table; only id and text are read.
+is its own class; repeated rows count as copies; an id with several texts takes part with each of them; null ids are rows
+like others, but never a class's or set's smallest id unless it has no other; an empty table gives an empty table; only id and text are read.
 
 What may be missed: a pair just at similarity 0.8 shares none of the 24 bands of 4 hashes with a chance of 3e-6, and less
 above; pruning errs with at most the tolerance for each comparison.
@@ -28,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, TwoGenerations, frugal, materialise, read_table, text_or_empty
@@ -102,22 +102,40 @@ def least_agreement(threshold: float = THRESHOLD, tolerance: float = TOLERANCE)
     return {n: next((a for a in range(n + 1) if _beta_tail(a, n, threshold) >= tolerance), n + 1) for n in range(STEP, HASHES + 1, STEP)}
 
 
+#: What tells rows apart: the id and 128 bits of the text.
+ROW = ["doc_id", "text_a", "text_b"]
+
+
+def row_key(text: str = "text", id_column: str = "doc_id") -> list[Column]:
+    body = text_or_empty(text)
+    return [F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_a"), F.xxhash64(F.lit(1), body).alias("text_b")]
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_a"] == b["text_a"]) & (a["text_b"] == b["text_b"])
+
+
+def first_row() -> Column:
+    """Of rows the key of the one with the smallest id, null ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW))
+
+
 def signed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, set_digest, n_shingles, signature) for each row; digest and signature are null without shingles."""
+    """(doc_id, text_a, text_b, set_digest, n_shingles, signature) for each row; digest and signature are null without shingles."""
 
     def run(batches):
         shingler = Shingler()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                sets = shingler.sets(batch.column(1).to_pylist())
+                sets = shingler.sets(batch.column(3).to_pylist())
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests, sig = [None] * len(sets), [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full]) if full else [], strict=True):
                     digests[i], sig[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), row.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "set_digest", "n_shingles", "signature"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=[*ROW, "set_digest", "n_shingles", "signature"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(frugal(run), "doc_id long, set_digest binary, n_shingles long, signature binary")
+    return docs.select(*row_key(text, id_column), text_or_empty(text).alias("text")).mapInArrow(frugal(run), "doc_id long, text_a long, text_b long, set_digest binary, n_shingles long, signature binary")
 
 
 def banded(representatives: DataFrame) -> DataFrame:
@@ -256,38 +274,45 @@ def meet(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(frugal(run), "doc_id long, links long, other long")
 
 
-def near_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (smallest id linked to it, over any number of steps), set_id
-    (smallest id with the same shingle set), n_copies (rows of that set) and n_links (other sets at 0.8 or above)."""
+def near_rows(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """Columns ROW, class_node (a number of the row's class; null without shingles) and those of ``near_classes`` for each row."""
     signs = materialise(signed(docs, text, id_column), "op10-signed")
     whole = signs.filter("set_digest is not null")
-    sets = materialise(whole.groupBy("set_digest").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies")), "op10-sets")
-    member = materialise(whole.select("doc_id", "set_digest").join(sets, "set_digest").select("doc_id", "set_id", "n_copies"), "op10-members")
-    reps = whole.join(sets, (whole["set_digest"] == sets["set_digest"]) & (whole["doc_id"] == sets["set_id"])).groupBy("doc_id").agg(F.first("signature").alias("signature"))
-    reps = materialise(reps, "op10-reps")
+    sets = whole.groupBy("set_digest").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies"), first_row().alias("first"), F.min("signature").alias("signature"))
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "op10-sets")  # written, so numbers stay
+    member = materialise(whole.select(*ROW, "set_digest").join(sets.select("set_digest", "node", "set_id", "n_copies"), "set_digest").drop("set_digest"), "op10-members")
+    reps = sets.select(F.col("node").alias("doc_id"), "signature")
     bands = materialise(banded(reps), "op10-bands")
     leaders = materialise(bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader"), "op10-leaders")
     coarse = components(bands.join(leaders, "band").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "op10-coarse")
     counts = materialise(coarse.groupBy("component").agg(F.count("*").alias("m")), "op10-counts")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = coarse.join(counts, "component").select(F.col("node").alias("doc_id"), "component", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    with_sign = dealt.join(reps, "doc_id")
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    firsts = materialise(texts.join(with_sign, "doc_id").dropDuplicates(["doc_id"]), "op10-candidates")
+    dealt = coarse.join(counts, "component").select("node", "component", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    with_sign = dealt.join(sets.select("node", "signature", "first.*"), "node")
+    texts = docs.select(*row_key(text, id_column), text_or_empty(text).alias("text"))
+    firsts = texts.join(with_sign, same_row(texts, with_sign)).select("node", "component", "nb", "own", "signature", "text")
+    firsts = materialise(firsts.dropDuplicates(["node"]).withColumnRenamed("node", "doc_id"), "op10-candidates")
     # A block meets itself and every other block of its group once: rows (smaller, larger block).
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least("own", x).alias("lo"), F.greatest("own", x).alias("hi")))
     paired = firsts.withColumn("__pair", F.explode(others))
     block = F.concat_ws("/", "component", "__pair.lo", "__pair.hi")
     side = F.when(F.col("__pair.lo") == F.col("__pair.hi"), 0).when(F.col("own") == F.col("__pair.lo"), 1).otherwise(2)
     met = materialise(meet(paired.select(block.alias("block"), side.alias("side"), "doc_id", "signature", "text")), "op10-met")
-    linked = met.filter("other is null").groupBy("doc_id").agg(F.sum("links").alias("n_links"))
+    linked = met.filter("other is null").groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("n_links"))
     groups = components(met.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")), "op10-classes")
-    by_set = linked.join(groups, F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("set_id"), "component", "n_links")
-    by_set = materialise(by_set, "op10-by-set")
-    found = member.join(by_set, "set_id", "left").select("doc_id", F.coalesce("component", "set_id").alias("class_id"), "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = signs.filter("set_digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    by_node = materialise(groups.join(linked, "node").join(sets.select("node", "set_id"), "node"), "op10-by-node")
+    least = materialise(by_node.groupBy("component").agg(F.min("set_id").alias("class_id")), "op10-least")
+    by_node = materialise(by_node.join(least, "component").select("node", "component", "class_id", "n_links"), "op10-by-set")
+    found = member.join(by_node, "node", "left").select(*ROW, F.coalesce("component", "node").alias("class_node"), F.coalesce("class_id", "set_id").alias("class_id"), "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = signs.filter("set_digest is null").select(*ROW, F.lit(None).cast("long").alias("class_node"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)
 
 
+def near_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (smallest id linked to it, over any number of steps), set_id
+    (smallest id with the same shingle set), n_copies (rows of that set) and n_links (other sets at 0.8 or above)."""
+    return near_rows(docs, text, id_column).select("doc_id", "class_id", "set_id", "n_copies", "n_links")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents"))

@@ -28,3 +28,16 @@ def test_stages(spark):
     assert {r["doc_id"] for r in pieces} == kept["jaccard_join"]
     assert sum(r["length"] for r in pieces) / 2048 <= len({r["sequence_id"] for r in pieces}) <= sum(r["length"] for r in pieces) / 2048 * 1.05 + 1
     assert packing and quality and toxicity and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_one_row_of_each_class(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, near, b, c, d = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1]), " ".join(words[::2]), " ".join(words[1::2])
+    rows = [(1, a), (1, a), (2, near), (2, b), (None, c), (None, c), (None, d), (7, d), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert left.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=key) == sorted([(1, a), (2, b), (None, c), (7, d), (8, ""), (9, None)], key=key)
+    found = [tuple(r) for r in jaccard_join.near_classes(docs.filter("doc_id <= 2")).collect()]
+    assert sorted(found) == [(1, 1, 1, 2, 1), (1, 1, 1, 2, 1), (2, 1, 2, 1, 1), (2, 2, 2, 1, 0)]

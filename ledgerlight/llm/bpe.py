@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, TwoGenerations, frugal, held, read_table, text_or_empty
+from .common import TwoGenerations, frugal, held, read_table, slices, text_or_empty
 
 #: White space as the rank file's own splitter has it (Unicode White_Space). Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -182,8 +182,7 @@ def _over(df: DataFrame, ranks_path: str, pattern: str, source: Column, keep: li
     def run(batches):
         codec = held(f"bpe {key}", lambda: ByteBPE(*shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in slices(whole, len(names)):
                 made = [kernel(codec, v) for v in batch.column(len(names)).to_pylist()]
                 codec.turn()
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([m[k] for m in made], pa.binary()) for k in range(len(added))]], names=[*names, *added])

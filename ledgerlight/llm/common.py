@@ -6,16 +6,18 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that a task handles at once inside an Arrow batch.
-SLICE_ROWS = 256
-#: Entries of a worker's word cache before the older half goes.
-CACHE_WORDS = 300_000
+#: Rows of text that a task handles at once inside an Arrow batch, and bytes of text beyond which it takes fewer rows.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Bytes of one of a worker's caches, by reckoning, before its older half goes; an entry's own besides key and value.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 150
 #: White space that every tokenizer here treats as a boundary.
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
@@ -60,24 +62,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` has it: what we add never meets a column of the input."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: SLICE_ROWS rows at most, and SLICE_BYTES of column number ``text`` or a single row."""
+    ends = np.cumsum(pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        stop = min(max(stop, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class TwoGenerations(dict):
-    """A bounded cache: when the young half is full it becomes the old one. ``make(key)`` gives missing values."""
+    """A cache bounded by bytes: when the young half is full it becomes the old one. ``make(key)`` gives missing values."""
 
-    def __init__(self, make, limit: int = CACHE_WORDS):
+    def __init__(self, make, limit: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.bytes = make, limit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.bytes += ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 32)
         return value
 
     def turn(self) -> None:
         """Call between slices."""
-        if len(self) > self.limit:
-            self.old = dict(self)
+        if self.bytes > self.limit:
+            self.old, self.bytes = dict(self), 0
             self.clear()
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, TwoGenerations, frugal, materialise, read_table, text_or_empty
+from .common import TwoGenerations, frugal, materialise, read_table, slices, text_or_empty
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -126,8 +126,7 @@ def signed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Da
     def run(batches):
         shingler = Shingler()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in slices(whole, 3):
                 sets = shingler.sets(batch.column(3).to_pylist())
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests, sig = [None] * len(sets), [None] * len(sets)
@@ -256,17 +255,15 @@ def meet(members: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "links", "other"])
 
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[:4]]
-            texts = batch.column(4)
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                sets = shingler.sets(texts.slice(at, SLICE_ROWS).to_pylist())
-                for k, s in enumerate(sets, at):
-                    if cols[0][k] != block:
+        for whole in batches:
+            for batch in slices(whole, 4):
+                blocks, sides, ids, signs, texts = (c.to_pylist() for c in batch.columns)
+                for at, *member in zip(blocks, ids, sides, signs, shingler.sets(texts), strict=True):
+                    if at != block:
                         if held:
                             yield done()
-                        block = cols[0][k]
-                    held.append((cols[2][k], cols[1][k], cols[3][k], s))
+                        block = at
+                    held.append(tuple(member))
         if held:
             yield done()
 

@@ -4,9 +4,10 @@ A line that many sites carry is boilerplate. Each line's hash gets a HyperLogLog
 aggregation, so a common line never meets in one task. Estimates well above or below the threshold decide; for lines
 near it the distinct sites are counted exactly. Every occurrence of a boilerplate line goes; other lines stay in place.
 
-Lines compare by their trimmed, lower-case form with single spaces. Defined results: blank lines and lines under
-``MIN_WORDS`` words always stay; a null text stays null; null sites count as one site of their own; repeated rows are
-treated alike; an empty table gives an empty table; columns that aren't needed pass through, and the input's names win.
+Lines compare by their trimmed, lower-case form with single spaces; all but blank ones are judged, short ones and those
+of scripts without spaces too (``min_words`` above 1 exempts shorter lines). Defined results: blank lines always stay; a
+null text stays null; null sites count as one site of their own; repeated rows are treated alike, and so are lines of
+any length; an empty table gives an empty table; columns that aren't needed pass through unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, unused
 
 #: Sites from which on a line is boilerplate, and words a line must have to be judged.
-MIN_SITES, MIN_WORDS = 10, 3
+MIN_SITES, MIN_WORDS = 10, 1
 #: log2 of the sketch's registers, and the relative error taken as near: four standard errors, 1.04 / sqrt(2^12) each.
 LG_K, NEAR = 12, 0.065
 #: Keys of boilerplate lines (16 bytes each) that are sent to the tasks; beyond that texts are joined with their keys.
@@ -35,17 +36,13 @@ def key_of(plain: Column) -> Column:
     return F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(F.lit(1), plain).alias("b"))
 
 
-def too_short(line: Column) -> Column:
-    return F.size(F.split(F.trim(line), r"\s+")) < MIN_WORDS
-
-
-def judged_lines(docs: DataFrame, row: Column, text: str, site: str) -> DataFrame:
+def judged_lines(docs: DataFrame, row: Column, text: str, site: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, key, site) of each line with enough words, once for each row, by native functions."""
-    lines = F.array_distinct(F.split(F.col(text), "\n"))
-    long_enough = F.filter(lines, lambda x: ~too_short(x))
-    one = docs.select(row.alias("row"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0none"))).alias("site"), F.explode_outer(long_enough).alias("line"))
+    plain = F.array_distinct(F.transform(F.split(F.col(text), "\n"), normal_form))
+    one = docs.select(row.alias("row"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0none"))).alias("site"), F.explode_outer(plain).alias("line"))
     # The outer form, as below the inner one the optimizer tests the array's size, which would split all texts twice.
-    return one.filter("line is not null").select("row", "site", key_of(normal_form(F.col("line"))).alias("key")).select("row", "site", "key.a", "key.b")
+    enough = F.col("line") != "" if min_words <= 1 else F.size(F.split("line", " ")) >= min_words
+    return one.filter(F.col("line").isNotNull() & (F.col("line") != "") & enough).select("row", "site", key_of(F.col("line")).alias("key")).select("row", "site", "key.a", "key.b")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -80,45 +77,46 @@ def _flags_by_broadcast(spark: SparkSession, keys: pa.Table, a: Column, b: Colum
     return among(a, b)
 
 
-def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with the boilerplate lines taken out of ``text`` and a column ``__lines_removed`` (long).
+def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, removed: str = "lines_removed") -> DataFrame:
+    """``docs`` with the boilerplate lines taken out of ``text`` and a new column ``removed`` (long): how many went.
 
     Up to ``BROADCAST_KEYS`` keys of boilerplate lines go to the tasks, and no text is shuffled. Beyond, lines to remove
     reach a document as keys: its own, joined by a hash of its text, so equal rows share them.
     """
     row = F.xxhash64(F.col(text), F.lit(5))
-    lines = materialise(judged_lines(docs, row, text, site), "op5-lines")
+    lines = materialise(judged_lines(docs, row, text, site, min_words), "op5-lines")
     common = boilerplate(lines, min_sites)
+    flags, cut, left, own, gone_keys = (unused(f"__{n}", docs) for n in ("flags", "cut", "left", "row", "gone"))
     split = F.split(F.col(text), "\n")
+    # Lines that aren't judged have keys like the others, but none of these is among the boilerplate's.
     if common.count() <= BROADCAST_KEYS:
-        # Lines with too few words get keys like the others and are told apart by their number of words.
         plain = F.transform(split, normal_form)
         a, b = F.transform(plain, lambda x: key_of(x)["a"]), F.transform(plain, lambda x: key_of(x)["b"])
-        flagged = docs.withColumn("__flags", _flags_by_broadcast(docs.sparkSession, common.select("a", "b").toArrow(), F.coalesce(a, F.array().cast("array<bigint>")), F.coalesce(b, F.array().cast("array<bigint>"))))
-        flagged = flagged.withColumn("__cut", F.exists("__flags", lambda x: x))
-        stays = lambda x, i: ~F.get("__flags", i) | too_short(x)
+        flagged = docs.withColumn(flags, _flags_by_broadcast(docs.sparkSession, common.select("a", "b").toArrow(), F.coalesce(a, F.array().cast("array<bigint>")), F.coalesce(b, F.array().cast("array<bigint>"))))
+        flagged = flagged.withColumn(cut, F.exists(flags, lambda x: x))
+        stays = lambda x, i: ~F.get(flags, i)
     else:
         gone = lines.join(common, ["a", "b"]).select("row", "a", "b").distinct()
-        gone = materialise(gone.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("__gone")), "op5-gone")
-        flagged = docs.withColumn("__row", row).join(gone, F.col("__row") == gone["row"], "left").drop("row")
-        flagged = flagged.withColumn("__cut", F.col("__gone").isNotNull())
-        stays = lambda x, i: ~F.array_contains("__gone", key_of(normal_form(x))) | too_short(x)
-    cut = flagged.withColumn("__left", F.when(F.col("__cut"), F.filter(split, stays)))
-    cut = cut.withColumn("__lines_removed", F.when(F.col("__cut"), F.size(split) - F.size("__left")).otherwise(0).cast("long"))
-    cut = cut.withColumn(text, F.when(F.col("__cut"), F.array_join("__left", "\n")).otherwise(F.col(text)))
-    return cut.select(*[f"`{c}`" for c in docs.columns], "__lines_removed")
+        gone = materialise(gone.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias(gone_keys)).withColumnRenamed("row", own), "op5-gone")
+        flagged = docs.withColumn(own, row).join(gone, own, "left")
+        flagged = flagged.withColumn(cut, F.col(gone_keys).isNotNull())
+        stays = lambda x, i: ~F.array_contains(gone_keys, key_of(normal_form(x)))
+    out = flagged.withColumn(left, F.when(F.col(cut), F.filter(split, stays)))
+    count = F.when(F.col(cut), F.size(split) - F.size(left)).otherwise(0).cast("long")
+    body = F.when(F.col(cut), F.array_join(left, "\n")).otherwise(F.col(text))
+    kept = [body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() != removed.lower()]
+    return out.select(*kept, count.alias(removed))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    cut = without_boilerplate(docs)
-    return cut.select("doc_id", F.col("__lines_removed").alias("lines_removed"), "text")
+    return without_boilerplate(docs).select("doc_id", "lines_removed", "text")
 
 
 OP5_SQL = rf"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, source, line, i, lower(trim(regexp_replace(line, '\s+', ' ', 'g'), ' ')) AS key,
-             len(string_split_regex(trim(line, ' '), '\s+')) >= {MIN_WORDS} AS judged FROM l),
+             trim(regexp_replace(line, '\s+', ' ', 'g'), ' ') <> '' AS judged FROM l),
 b AS (SELECT key FROM k WHERE judged GROUP BY key HAVING count(DISTINCT coalesce(source, chr(1))) >= {MIN_SITES}),
 r AS (SELECT k.*, judged AND b.key IS NOT NULL AS gone FROM k LEFT JOIN b USING (key))
 SELECT d.doc_id, coalesce(c.lines_removed, 0) AS lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text

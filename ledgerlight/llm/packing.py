@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, frugal, materialise, read_table, text_or_empty
+from .common import frugal, materialise, read_table, slices, text_or_empty
 from .words import loaded, read_definition
 
 #: Salts for each length when ranking: keeps a common length from flooding a task.
@@ -38,8 +38,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     def run(batches):
         tokenizer = loaded(key, shared)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in slices(whole, 1):
                 row, piece, length, crc = [], [], [], []
                 for i, ids in enumerate(tokenizer.ids(batch.column(1).to_pylist())):
                     ids += end
@@ -54,7 +53,6 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(number * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-        tokenizer.rest()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(frugal(run, holds=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -1,13 +1,16 @@
 """Operator 6: quality classifier from weak labels.
 
 Heuristic labellers vote good, bad or nothing on each text; they overlap and err. Expectation-maximisation estimates
-each labeller's accuracies and the share of good texts from how often each pattern of votes occurs (counts over all rows;
+each labeller's accuracies on good texts and on each kind of bad text, and the shares of these, from how often each pattern of votes occurs (counts over all rows;
 the patterns are bounded by the number of labellers, not by the data). The posterior of a text's pattern is its label
 for a linear scorer over hashed token shapes, learnt on a bounded sample and applied to every whole text. A token is a
 run without white space, or each ``PART`` characters of a longer one, so texts without spaces are judged to their end.
+The sample is ``SAMPLE_ROWS`` texts of any length, first in hash order; tasks make their features, so no text reaches
+the driver.
 
-Defined results: null and empty texts are bad by definition: score 0.0, kept false; repeated rows and ties score alike;
-an empty table gives an empty table; without any vote the scorer follows the prior. Only the text is an input.
+Defined results: null and empty texts are bad by definition: score 0.0, kept false; texts of any length are read whole;
+repeated rows and ties score alike; an empty table gives an empty table; without any vote the scorer follows the prior.
+Only the text is an input, so further columns, whatever their names, neither matter nor clash.
 """
 
 from __future__ import annotations
@@ -19,21 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, TwoGenerations, frugal, materialise, read_table, text_or_empty
+from .common import TwoGenerations, frugal, materialise, quoted, read_table, slices, text_or_empty, unused
 
-#: Bounds of the scorer's sample: rows, first in hash order among texts of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 12_000
+#: Bound of the scorer's sample: rows, half of them good by their posterior, first in hash order.
+SAMPLE_ROWS = 6000
 DIMENSIONS = 1 << 14
-THRESHOLD = 0.6
+THRESHOLD = 0.35
 #: Vote of a labeller: good above the first bound and bad beyond the second, where it has an opinion at all.
 GOOD, BAD, NONE = 1, 0, -1
 
-#: What is held of labellers before they are counted: few good texts get a bad vote, and a labeller that looks for one
-#: kind of bad text takes a good part of the other kinds for good.
-MOST_WRONG, LEAST_BLIND = 0.01, 0.4
-
-
 def measures(text: Column) -> dict[str, Column]:
     """Native measures of a text that the labellers judge."""
     length = F.greatest(F.length(text), F.lit(1))
@@ -67,25 +66,26 @@ def votes(m: dict[str, Column]) -> dict[str, Column]:
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """EM for labellers that err independently: (posterior of good for each pattern, rates by class, labeller and vote).
+    """EM: (posterior of good for each pattern, rates by bad and good, labeller and vote).
 
-    Not voting is an outcome of its own, as heuristics for one kind of bad text say nothing about other kinds. Starts
-    from the rule that one bad vote makes a text bad; smoothing keeps rates off 0 and 1.
+    Bad texts are of several kinds, each of which few labellers look for, so labellers don't err independently over all of
+    them. The classes are good and, for each labeller, the bad kind that it looks for; within a class labellers are
+    independent, and not voting is an outcome of its own. It starts from the rule that a bad vote makes a text bad, of
+    the kinds of the labellers that cast one; all shares of classes and rates are then estimated, smoothed by one row.
     """
     one_hot = patterns[:, :, None] == np.array([BAD, NONE, GOOD])
-    posterior = np.where((patterns == BAD).any(1), 0.1, np.where((patterns == GOOD).any(1), 0.95, 0.5))
-    rates = np.full((2, patterns.shape[1], 3), 1 / 3)
+    bad, kinds = patterns == BAD, patterns.shape[1]
+    share = np.concatenate([np.where(bad.any(1), 0.1, 0.95)[:, None], np.where(bad.any(1, keepdims=True), 0.9 * bad / np.maximum(bad.sum(1, keepdims=True), 1), 0.05 / kinds)], 1)
     for _ in range(rounds):
-        for c, share in ((0, 1 - posterior), (1, posterior)):
-            votes_for = ((counts * share)[:, None, None] * one_hot).sum(0)
-            rates[c] = (votes_for + 1) / (votes_for.sum(1, keepdims=True) + 3)
-        rates[1, :, 0] = np.minimum(rates[1, :, 0], MOST_WRONG)
-        rates[0, :, 2] = np.maximum(rates[0, :, 2], LEAST_BLIND)
-        rates /= rates.sum(2, keepdims=True)
-        prior = np.clip((counts * posterior).sum() / max(counts.sum(), 1), 0.05, 0.95)
-        log_odds = np.log(prior / (1 - prior)) + (one_hot * np.log(rates[1] / rates[0])).sum((1, 2))
-        posterior = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return posterior, rates
+        weight = counts[:, None] * share
+        votes_for = np.einsum("pc,plv->clv", weight, one_hot)
+        rates = (votes_for + 1 / 3) / (votes_for.sum(2, keepdims=True) + 1)
+        prior = (weight.sum(0) + 1) / (counts.sum() + kinds + 1)
+        log = np.log(prior) + np.einsum("plv,clv->pc", one_hot, np.log(rates))
+        share = np.exp(log - log.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    by_side = np.stack([votes_for[1:].sum(0), votes_for[0]])
+    return share[:, 0], (by_side + 1 / 3) / (by_side.sum(2, keepdims=True) + 1)
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -143,34 +143,49 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, pa
     return w
 
 
-def weak_labels(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Columns ``keep``, the votes, ``n_chars_seen`` and ``posterior`` for each row; the labellers' rates."""
-    body = docs.select(*keep, text_or_empty(text).alias("__text"))
+def weak_labels(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """``order`` (a hash of the text), the votes and ``posterior`` for each row; the labellers' rates."""
     named = votes(measures(F.col("__text")))
-    voted = materialise(body.select(*keep, F.length("__text").alias("__chars"), F.xxhash64("__text").alias("__order"), *[v.cast("int").alias(f"vote_{k}") for k, v in named.items()]), "op6-votes")
+    body = docs.select(text_or_empty(text).alias("__text"))
+    voted = materialise(body.select(F.xxhash64("__text").alias("order"), *[v.cast("int").alias(f"vote_{k}") for k, v in named.items()]), "op6-votes")
     columns = [f"vote_{k}" for k in named]
     found = voted.groupBy(*columns).count().orderBy(*columns).collect()  # at most 3 ** labellers rows
     if not found:
         return voted.withColumn("posterior", F.lit(0.5)), np.full((2, len(columns), 3), 1 / 3)
-    posterior, right = label_model(np.array([[r[c] for c in columns] for r in found]), np.array([r["count"] for r in found], float))
+    posterior, rates = label_model(np.array([[r[c] for c in columns] for r in found]), np.array([r["count"] for r in found], float))
     table = docs.sparkSession.createDataFrame([(*[r[c] for c in columns], float(p)) for r, p in zip(found, posterior, strict=True)], ", ".join(f"{c} int" for c in columns) + ", posterior double")
-    return voted.join(F.broadcast(table), columns), right
+    return voted.join(F.broadcast(table), columns), rates
+
+
+def sampled_features(rows: DataFrame) -> DataFrame:
+    """Rows (order, text) to (order, slots, values), made in the tasks."""
+
+    def run(batches):
+        hashed = Hashed()
+        for whole in batches:
+            for batch in slices(whole, 1):
+                found = [hashed.of(t) for t in batch.column(1).to_pylist()]
+                hashed.slot.turn()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], names=["order", "slots", "features"])
+
+    return rows.select("order", "text").mapInArrow(frugal(run), "order long, slots array<int>, features array<double>")
 
 
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Weights of the linear scorer, from posterior labels of the bounded sample."""
-    labelled, _ = weak_labels(docs, [], text)
+    labelled, _ = weak_labels(docs, text)
     half = SAMPLE_ROWS // 2
-    rows = docs.select(text_or_empty(text).alias("__text")).withColumn("__order", F.xxhash64("__text"))
-    wanted = [labelled.filter(side & F.col("__chars").between(1, SAMPLE_CHARS)).groupBy("__order").agg(F.max("posterior").alias("posterior")).orderBy("__order").limit(half) for side in (F.col("posterior") < 0.5, F.col("posterior") >= 0.5)]
-    chosen = wanted[0].unionByName(wanted[1])  # at most SAMPLE_ROWS rows
-    sample = rows.join(F.broadcast(chosen), "__order").groupBy("__order").agg(F.first("__text").alias("text"), F.max("posterior").alias("posterior")).orderBy("__order").collect()
-    hashed = Hashed()
-    return fit_linear([hashed.of(r["text"]) for r in sample], np.array([r["posterior"] for r in sample]))
+    body = docs.select(text_or_empty(text).alias("text")).withColumn("order", F.xxhash64("text")).filter("text <> ''")
+    wanted = [labelled.filter(side).groupBy("order").agg(F.max("posterior").alias("posterior")).orderBy("order").limit(half) for side in (F.col("posterior") < 0.5, F.col("posterior") >= 0.5)]
+    chosen = materialise(wanted[0].unionByName(wanted[1]), "op6-chosen")  # at most SAMPLE_ROWS rows
+    drawn = sampled_features(body.join(F.broadcast(chosen), "order", "left_semi"))
+    features = drawn.groupBy("order").agg(F.first("slots").alias("slots"), F.first("features").alias("features"))
+    found = sorted(features.join(F.broadcast(chosen), "order").collect(), key=lambda r: r["order"])  # each at most DIMENSIONS long
+    return fit_linear([(np.array(r["slots"], "i8"), np.array(r["features"])) for r in found], np.array([r["posterior"] for r in found]))
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score`` for each row; no shuffle."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
+    """Columns ``keep`` and ``into`` (none of them), the score of each row; no shuffle."""
     fields = [docs.schema[k] for k in keep]
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     n = len(keep)
@@ -178,17 +193,16 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "te
     def run(batches):
         hashed, w = Hashed(), shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in slices(whole, n):
                 got = []
                 for t in batch.column(n).to_pylist():
                     slots, x = hashed.of(t)
                     got.append(0.0 if not t.strip() else float(1 / (1 + np.exp(-np.clip(w[slots] @ x, -30, 30)))))
                 hashed.slot.turn()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*keep, into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(frugal(run), schema)
+    schema = T.StructType([*fields, T.StructField(into, T.DoubleType())])
+    return docs.select(*map(quoted, keep), text_or_empty(text).alias(unused("__text", docs))).mapInArrow(frugal(run), schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

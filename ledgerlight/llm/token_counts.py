@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, frugal, materialise, read_table, scratch_path, text_or_empty
+from .common import frugal, materialise, read_table, scratch_path, slices, text_or_empty
 from .words import drops_space, loaded, read_definition
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -45,11 +45,8 @@ def encoded_counts(df: DataFrame, path: str) -> DataFrame:
             tokenizer = loaded(key, shared)
             count = lambda texts: [len(x) // 4 for x in tokenizer.ids(texts)]
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(count(batch.column(1).to_pylist()), "i8"))], names=["content_digest", "n_tokens"])
-        if not piecewise:
-            tokenizer.rest()
 
     return df.select("content_digest", "text").mapInArrow(frugal(run, holds=True), "content_digest binary, n_tokens long")
 

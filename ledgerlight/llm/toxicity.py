@@ -1,19 +1,23 @@
 """Operator 3: toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-Inputs for each word: word evidence (how the training texts that hold the word are labelled) and character evidence
-(the same for its character n-grams, anchored at its ends), so inflected and unseen forms of a stem count too. A run of
-letters, digits and underscores longer than ``RUN`` characters is cut at underscores, and what is longer still into
-overlapping parts, each a word of its own. A GRU
-reads every window of words forwards and another backwards, attention pools their states, and a logistic unit scores
-the window. Windows overlap by half and cover the whole text; a text's score is that of its worst window.
-
-Learning: texts carry labels, windows don't. Windows of texts labelled 0 are negatives; of a text labelled 1, the window
-with the strongest evidence is a positive. Windows without evidence are left out there. At most ``TRAIN_ROWS`` labelled texts of each label, those first in hash
-order among texts of at most ``TRAIN_CHARS`` characters, are learnt from, whole, on the driver.
-
-Defined results: null and empty texts hold no window and score 0.0; equal texts score alike, so ties and repeated rows
-are harmless; an empty table gives an empty table; without a row of each label every text scores 0.0; labels on rows
-that repeat an id count by their largest value. Columns other than the text are never inputs of a score.
+Inputs for each word are learnt: an embedding of the word, and the maxima and means of the embeddings of its character
+n-grams (anchored at its ends), so inflected and unseen forms of a stem count too. A run of letters, digits and
+underscores longer than ``RUN`` characters is cut at underscores, and what is longer still into overlapping parts, each a
+word of its own. A GRU reads every window of words forwards and another backwards, attention pools their states, and a
+logistic unit scores the window. Windows overlap by half and cover the whole text; a text's score is that of its worst
+window.
+
+Learning: words and n-grams get an embedding if they tell the labels apart by their log odds, which is also where the
+first dimension starts. The network is trained first, on windows whose embeddings come from other texts, then embeddings
+and network together by back-propagation. Texts carry labels, windows don't: of a text labelled 1 the window with the
+strongest evidence is a positive, unless that is none; of a text labelled 0 the ``CLEAN_WINDOWS`` strongest are negatives.
+At most ``TRAIN_ROWS`` labelled texts of each label and of any length, first in hash order, are learnt from, on the
+driver; of texts with one label that share their ``COPY_HASHES`` smallest hashes of three words only one is.
+
+Defined results: null and empty texts hold no window and score 0.0; texts of any length are scored whole; equal texts
+score alike (to five digits), so ties and repeated rows are harmless; an empty table gives an empty table; without a row of each label
+every text scores 0.0; labels on rows that repeat an id count by their largest value. Columns other than the text are
+never inputs of a score, and their names don't clash.
 """
 
 from __future__ import annotations
@@ -21,23 +25,31 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, frugal, read_table, text_or_empty
+from .common import frugal, quoted, read_table, slices, text_or_empty, unused
 
-#: Bounds of the labelled sample: rows of each label, and characters of a row that may be drawn.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 12_000
-#: Labelled ids drawn for each row wanted, as some have no text or a longer one.
+#: Bound of the labelled sample: rows of each label.
+TRAIN_ROWS = 2500
+#: Labelled ids drawn for each row wanted, as some have no text.
 DRAWN = 2
+#: Windows of a text labelled 0 that are learnt from, and smallest hashes by which copies among the sample are known.
+CLEAN_WINDOWS, COPY_HASHES = 8, 4
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 6, 4
 GRAMS = (4, 5, 6)
-INPUTS = 6
+#: Dimensions of an embedding; a word's own, the maxima and the means of its n-grams', its length and a constant.
+EMBEDDED = 4
+INPUTS = 3 * EMBEDDED + 2
 THRESHOLD = 0.7
+#: Share of places at which a word's own embedding, or its n-grams' mean, is left out in training: each must tell alone.
+LEFT_OUT = 0.4
 #: Parts for cross-fitting, and the evidence below which the strongest window of a text labelled 1 isn't taken for toxic.
 PARTS, LEAST_EVIDENCE = 4, 2.0
 _RUNS = re.compile(r"\w+").findall
@@ -69,7 +81,7 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
-def evidence(counts: list[Counter], rows: list[int], weakest: float = 0.3) -> dict[str, float]:
+def evidence(counts: list[dict[str, int]], rows: list[int], weakest: float = 0.3) -> dict[str, float]:
     """Smoothed log odds of label 1 for each feature that tells; those of rare or neutral features are 0 and left out.
 
     Smoothing grows with the texts labelled 1 up to 1000 of them: in a small sample few rows must tell.
@@ -77,26 +89,53 @@ def evidence(counts: list[Counter], rows: list[int], weakest: float = 0.3) -> di
     clean, toxic = counts
     strength = min(5.0, max(1.0, rows[1] / 200))
     least = min(5, max(2, rows[1] // 200))
-    out = {}
-    for k in {k for c in counts for k, n in c.items() if n >= least}:
-        odds = np.log((toxic[k] + strength) / (rows[1] + 2 * strength)) - np.log((clean[k] + strength) / (rows[0] + 2 * strength))
-        if abs(odds) >= weakest:
-            out[k] = float(odds)
-    return out
+    keys = list({k for c in counts for k, n in c.items() if n >= least})
+    of_toxic, of_clean = (np.fromiter((c.get(k, 0) for k in keys), "f8", len(keys)) for c in (toxic, clean))
+    odds = np.log((of_toxic + strength) / (rows[1] + 2 * strength)) - np.log((of_clean + strength) / (rows[0] + 2 * strength))
+    return {keys[i]: float(odds[i]) for i in np.flatnonzero(np.abs(odds) >= weakest)}
+
+
+class Embeddings:
+    """Rows of numbers for words and n-grams that have one; row 0 stands for all others and stays zero."""
+
+    def __init__(self, evidence: dict[str, float] | None = None, seed: int = 5):
+        known = sorted(evidence or {})
+        self.row = dict(zip(known, range(1, len(known) + 1)))
+        self.table = (0.1 * np.random.default_rng(seed).normal(size=(len(known) + 1, EMBEDDED))).astype("f4")
+        self.table[1:, 0] = [evidence[k] for k in known] if known else []
+        self.table[0] = 0
+
+    def step(self, rows: np.ndarray, gradient: np.ndarray, seen: np.ndarray, rate: float) -> None:
+        """Adaptive step on the rows; ``gradient`` holds a line for each of them, and rows may repeat."""
+        used, at = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(used), EMBEDDED), "f4")
+        np.add.at(total, at, gradient)
+        total[used == 0] = 0
+        seen[used] += total**2
+        self.table[used] -= rate * total / (np.sqrt(seen[used]) + 1e-6)
 
 
 class Features:
-    """Inputs of words: evidence of the word, and the largest, third largest and mean evidence of its characters' n-grams."""
+    """Inputs of words from their embeddings."""
 
-    def __init__(self, words: dict[str, float], chars: dict[str, float]):
-        self.words, self.chars = words, chars
+    def __init__(self, words: Embeddings, chars: Embeddings):
+        self.words, self.chars, self.cut = words, chars, grams
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, INPUTS), "f4")
 
-    def of(self, word: str) -> tuple[float, ...]:
-        get = self.chars.get
-        found = sorted([get(g, 0.0) for g in grams(word)] or [0.0], reverse=True)
-        return self.words.get(word, 0.0), found[0], sum(found) / len(found), found[min(2, len(found) - 1)], min(len(word), 20) / 10, 1.0
+    def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding rows of words, of all their n-grams one after another, where each word's n-grams start, lengths."""
+        get = self.chars.row.get
+        found = [[get(g, 0) for g in self.cut(w)] or [0] for w in words]
+        starts = np.cumsum([0, *map(len, found)])[:-1]
+        return np.array([self.words.row.get(w, 0) for w in words], "i8"), np.array([i for x in found for i in x], "i8"), starts, np.array([min(len(w), 20) / 10 for w in words], "f4")
+
+    def made(self, own: np.ndarray, chars: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(words, INPUTS) from ``parts``."""
+        if not len(own):
+            return np.zeros((0, INPUTS), "f4")
+        table, n = self.chars.table[chars], np.diff([*starts, len(chars)])[:, None]
+        return np.concatenate([self.words.table[own], np.maximum.reduceat(table, starts), np.add.reduceat(table, starts) / n, length[:, None], np.ones((len(own), 1), "f4")], 1).astype("f4")
 
     def rows(self, words: list[str]) -> np.ndarray:
         index = self.index
@@ -107,7 +146,7 @@ class Features:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         if new:
             start = len(index)
-            self.table[start : start + len(new)] = [self.of(w) for w in new]
+            self.table[start : start + len(new)] = self.made(*self.parts(new))
             index.update(zip(new, range(start, start + len(new)), strict=True))
         return self.table[np.fromiter(map(index.__getitem__, words), "i8", len(words))]
 
@@ -160,9 +199,10 @@ class BiGRU:
         return score
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Mean gradients of the cross-entropy for each weight, and for the inputs as ``x``."""
         k: dict = {}
         self.forward(x, mask, k)
-        w, h, g = self.w, HIDDEN, {}
+        w, h, g = self.w, HIDDEN, {"x": np.zeros_like(x)}
         d_out = (k["score"] - y) * weight / weight.sum()
         g["o"], g["c"] = k["pooled"].T @ d_out, np.array([d_out.sum()])
         d_pooled = d_out[:, None] * w["o"]
@@ -187,17 +227,26 @@ class BiGRU:
                 d_gates = np.concatenate([d_z, d_r], 1)
                 g[d + "U"][:, : 2 * h] += before.T @ d_gates
                 g[d + "U"][:, 2 * h :] += (r * before).T @ d_new
-                g[d + "W"] += x[t].T @ np.concatenate([d_gates, d_new], 1)
+                d_in = np.concatenate([d_gates, d_new], 1)
+                g[d + "W"] += x[t].T @ d_in
+                g["x"][t] += d_in @ w[d + "W"].T
                 carried = total * (1 - m * z) + back * r + d_gates @ u[:, : 2 * h].T
         return g
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
-        """Adam over random batches."""
+    def fit(self, inputs, mask: np.ndarray, y: np.ndarray, steps: int = 200, batch: int = 256, rate: float = 0.02, seed: int = 11, inputs_step=None) -> None:
+        """Adam over random batches. ``inputs(at)`` gives the inputs of windows; ``inputs_step(at, gradient)`` learns them."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(p) for k, p in self.w.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            at = r.integers(0, x.shape[1], batch)
-            for k, g in self.gradients(x[:, at], mask[:, at], y[at], weight[at]).items():
+            at = r.integers(0, mask.shape[1], batch)
+            kept = np.ones((mask.shape[0], batch, INPUTS), "f4")
+            for part in (0, 2):
+                kept[:, :, part * EMBEDDED : (part + 1) * EMBEDDED] = r.random((mask.shape[0], batch, 1)) >= LEFT_OUT
+            found = self.gradients(inputs(at) * kept, mask[:, at], y[at], np.ones(batch, "f4"))
+            if inputs_step is not None:
+                inputs_step(at, found["x"] * kept)
+            for k in self.w:
+                g = found[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype("f4")
@@ -209,14 +258,17 @@ class Scorer:
     #: Windows that go through the network together.
     TOGETHER = 4096
 
-    def __init__(self, words: dict[str, float], chars: dict[str, float], weights: dict[str, np.ndarray]):
+    def __init__(self, words: Embeddings, chars: Embeddings, weights: dict[str, np.ndarray]):
         self.features = Features(words, chars)
         self.net = BiGRU()
         self.net.w = weights
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs of all words with padding behind, first words of all windows, and each window's text."""
-        split = [words_of(t) for t in texts]
+    def state(self) -> tuple[Embeddings, Embeddings, dict[str, np.ndarray]]:
+        """All that a worker needs to score."""
+        return self.features.words, self.features.chars, self.net.w
+
+    def windows(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as words: inputs of all words with padding behind, first words of all windows, each window's text."""
         x = self.features.rows([w for ws in split for w in ws])
         first, owner, ends, at = [], [], [], 0
         for i, ws in enumerate(split):
@@ -228,13 +280,13 @@ class Scorer:
         return np.concatenate([x, np.zeros((WINDOW, INPUTS), "f4")]), np.array([first, ends], "i8").reshape(2, -1), np.array(owner, "i8")
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x, (first, ends), owner = self.windows(texts)
+        x, (first, ends), owner = self.windows([words_of(t) for t in texts])
         out = np.zeros(len(texts))
         for at in range(0, len(first), self.TOGETHER):
             place = first[at : at + self.TOGETHER] + np.arange(WINDOW)[:, None]
             score = self.net.forward(x[np.minimum(place, len(x) - 1)], (place < ends[at : at + self.TOGETHER]).astype("f4"))
             np.maximum.at(out, owner[at : at + self.TOGETHER], score)
-        return out
+        return np.round(out, 5)  # what windows stand beside one another moves the eighth digit
 
 
 def held_out(doc_id: Column) -> Column:
@@ -248,7 +300,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nda
     """
     named = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__order", F.xxhash64("doc_id"))
     drawn = [named.filter(F.col("__toxic") == label).orderBy("__order", "doc_id").limit(DRAWN * TRAIN_ROWS) for label in (0, 1)]
-    rows = docs.select("doc_id", text_or_empty().alias("text")).filter(F.length("text").between(1, TRAIN_CHARS))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).filter(F.length("text") > 0)
     rows = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")  # at most 2 * DRAWN * TRAIN_ROWS ids
     found = sorted(rows.select("__toxic", "__order", "doc_id", "text").collect())
     found = [r for label in (0, 1) for r in [x for x in found if x["__toxic"] == label][:TRAIN_ROWS]]
@@ -256,70 +308,140 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nda
 
 
 def _distinct(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """One text of those that share their smallest hash of three words: copies of a text mustn't count as more evidence."""
-    seen: dict[tuple[int, float], int] = {}
+    """One text of those with one label that share their smallest hashes of three words: copies aren't more evidence."""
+    seen: dict[tuple, int] = {}
     for i, t in enumerate(texts):
         words = words_of(t)
-        seen.setdefault((min((zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))), default=0), float(y[i])), i)
+        hashes = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
+        seen.setdefault((*nsmallest(COPY_HASHES, hashes), float(y[i])), i)
     return [texts[i] for i in seen.values()], y[list(seen.values())]
 
 
+def _whole(parts: list[list[Counter]]) -> list[dict[str, int]]:
+    """Sums of counts for each label, without keys that no label has twice: these tell nothing."""
+    total = [Counter(), Counter()]
+    for label in (0, 1):
+        for c in parts[label]:
+            total[label].update(c)
+    kept = {k for c in total for k, n in c.items() if n > 1}
+    return [{k: n for k, n in c.items() if k in kept} for c in total]
+
+
+def _less(a: dict[str, int], b: Counter) -> dict[str, int]:
+    get = b.get
+    return {k: n - get(k, 0) for k, n in a.items()}
+
+
 def train(texts: list[str], y: np.ndarray) -> Scorer | None:
-    """Evidence tables, then the network on windows; None without a text of each label."""
+    """Where embeddings start, then the network on windows, then both together; None without a text of each label."""
     if not (len(texts) and y.min() == 0 and y.max() == 1):
         return None
     texts, y = _distinct(texts, y)
-    split = [list(dict.fromkeys(words_of(t))) for t in texts]
+    split = [words_of(t) for t in texts]
+    once = [list(dict.fromkeys(words)) for words in split]
     # Each part of the rows takes its evidence from the others while the network learns, so that it meets unseen words too.
     part = np.array([zlib.crc32(t.encode()) % PARTS for t in texts])
+    grams_of = {w: grams(w) for w in dict.fromkeys(w for ws in once for w in ws)}
+    met = [[(Counter(), Counter()) for _ in (0, 1)] for _ in range(PARTS)]  # by part, label, words or n-grams
+    for i, words in enumerate(once):
+        of_words, of_grams = met[part[i]][int(y[i])]
+        of_words.update(words)
+        of_grams.update(set().union(*map(grams_of.__getitem__, words)))
+    whole = [_whole([[met[k][label][kind] for k in range(PARTS)] for label in (0, 1)]) for kind in (0, 1)]
+    rows = np.array([[int((y[part == k] == label).sum()) for label in (0, 1)] for k in range(PARTS)])
     tables = []
-    for use in (*(part != k for k in range(PARTS)), part >= 0):
-        words, chars = [Counter(), Counter()], [Counter(), Counter()]
-        for i in np.flatnonzero(use):
-            words[int(y[i])].update(split[i])
-            chars[int(y[i])].update({g for w in split[i] for g in grams(w)})
-        n = [int((y[use] == k).sum()) for k in (0, 1)]
-        tables.append((evidence(words, n), evidence(chars, n)))
-    xs, masks, ys = [], [], []
+    for k in range(PARTS):
+        left = [[_less(whole[kind][label], met[k][label][kind]) for label in (0, 1)] for kind in (0, 1)]
+        tables.append(tuple(Embeddings(evidence(c, (rows.sum(0) - rows[k]).tolist())) for c in left))
+    tables.append(tuple(Embeddings(evidence(c, rows.sum(0).tolist())) for c in whole))
+    xs, masks, ys, read = [], [], [], []
     for k in range(PARTS):
         mine = np.flatnonzero(part == k)
-        scorer = Scorer(*tables[k], {})
-        x, (first, ends), owner = scorer.windows([texts[i] for i in mine])
+        if not len(mine):
+            continue
+        own = Scorer(*tables[k], {})
+        own.features.cut = grams_of.__getitem__
+        x, (first, ends), owner = own.windows([split[i] for i in mine])
+        if not len(first):
+            continue
         place = first + np.arange(WINDOW)[:, None]
         mask = (place < ends).astype("f4")
-        inputs = x[np.minimum(place, len(x) - 1)] * mask[:, :, None]
-        strength = (inputs[:, :, 0] + inputs[:, :, 1] + inputs[:, :, 3]).max(0)
+        telling = np.concatenate([x[:, [0]], x[:, [EMBEDDED]], x[:, [2 * EMBEDDED]]], 1)[np.minimum(place, len(x) - 1)] * mask[:, :, None]
+        strength = telling.sum(2).max(0)
         order = np.lexsort((-strength, owner))
         nth = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         toxic = y[mine][owner] == 1
-        keep = order[(nth < np.where(toxic[order], 1, 8)) & ~(toxic & (np.maximum(inputs[:, :, 0], inputs[:, :, 3]).max(0) < LEAST_EVIDENCE))[order]]
-        xs.append(inputs[:, keep])
+        keep = order[(nth < np.where(toxic[order], 1, CLEAN_WINDOWS)) & ~(toxic & (telling[:, :, :2].max((0, 2)) < LEAST_EVIDENCE))[order]]
+        xs.append(x[np.minimum(place[:, keep], len(x) - 1)])
         masks.append(mask[:, keep])
         ys.append(y[mine][owner[keep]])
+        flat = [w for i in mine for w in split[i]]
+        read.extend([flat[a : min(a + WINDOW, b)] for a, b in zip(first[keep].tolist(), ends[keep].tolist())])
+    if not xs or np.concatenate(ys).min() == np.concatenate(ys).max():
+        return None
     x, mask, label = np.concatenate(xs, 1), np.concatenate(masks, 1), np.concatenate(ys)
     net = BiGRU()
-    net.fit(x, mask, label, np.ones(len(label), "f4"))
-    return Scorer(*tables[PARTS], net.w)
-
-
-def score(docs: DataFrame, scorer: Scorer | None, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score``, without a shuffle. Evidence and weights are bounded by the training sample."""
+    net.fit(lambda at: x[:, at], mask, label)
+    scorer = Scorer(*tables[PARTS], net.w)
+    scorer.features.cut = grams_of.__getitem__
+    _together(scorer, read, mask, label)
+    scorer.features.cut = grams
+    return scorer
+
+
+def _together(scorer: Scorer, windows: list[list[str]], mask: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.02) -> None:
+    """Embeddings and network learn on from the same windows, as lists of words."""
+    made = scorer.features
+    names = list(dict.fromkeys(w for ws in windows for w in ws))
+    number = dict(zip(names, range(len(names))))
+    own, chars, starts, length = made.parts(names)
+    stops = np.array([*starts[1:], len(chars)])
+    place = np.zeros((WINDOW, len(windows)), "i8")
+    for i, ws in enumerate(windows):
+        place[: len(ws), i] = [number[w] for w in ws]
+    seen = [np.full_like(e.table, 1e-4) for e in (made.words, made.chars)]
+
+    def of(at: np.ndarray) -> tuple:
+        """Of the words of these windows: their numbers, where they stand, their parts."""
+        used, where = np.unique(place[:, at], return_inverse=True)
+        n = stops[used] - starts[used]
+        first = np.cumsum(n) - n
+        return used, where.reshape(WINDOW, -1), n, first, chars[np.repeat(starts[used] - first, n) + np.arange(n.sum())]
+
+    def inputs(at: np.ndarray) -> np.ndarray:
+        used, where, _, first, theirs = of(at)
+        return made.made(own[used], theirs, first, length[used])[where]
+
+    def learn(at: np.ndarray, gradient: np.ndarray) -> None:
+        used, where, n, first, theirs = of(at)
+        total = np.zeros((len(used), INPUTS), "f4")
+        np.add.at(total, where.ravel(), (gradient * mask[:, at, None]).reshape(-1, INPUTS))
+        of_word, of_max, of_mean = (total[:, k * EMBEDDED : (k + 1) * EMBEDDED] for k in range(3))
+        table = made.chars.table[theirs]
+        is_max = table == np.repeat(np.maximum.reduceat(table, first), n, 0)
+        made.chars.step(theirs, np.repeat(of_max, n, 0) * is_max + np.repeat(of_mean / n[:, None], n, 0), seen[1], rate)
+        made.words.step(own[used], of_word, seen[0], rate)
+
+    scorer.net.fit(inputs, mask, label, steps, rate=0.005, seed=12, inputs_step=learn)
+
+
+def score(docs: DataFrame, scorer: Scorer | None, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
+    """Columns ``keep`` and ``into`` (none of them), the score, without a shuffle. The model is bounded by the training sample."""
     fields = [docs.schema[k] for k in keep]
     if scorer is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.features.words, scorer.features.chars, scorer.net.w))
+        return docs.select(*map(quoted, keep), F.lit(0.0).alias(into))
+    shared = docs.sparkSession.sparkContext.broadcast(scorer.state())
     n = len(keep)
 
     def run(batches):
         worker = Scorer(*shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in slices(whole, n):
                 got = worker.scores(batch.column(n).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*keep, into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(frugal(run), schema)
+    schema = T.StructType([*fields, T.StructField(into, T.DoubleType())])
+    return docs.select(*map(quoted, keep), text_or_empty(text).alias(unused("__text", docs))).mapInArrow(frugal(run), schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,12 @@ import re
 import numpy as np
 import regex
 
-from .common import ASCII_SPACE, CACHE_WORDS, held
+from .common import ASCII_SPACE, held
 
-
-#: Words whose parts can be counted before the library normalises them; no special token fits in.
+#: Words that can be split and put in lower case before the library sees them; no special token fits in.
 LATIN = re.compile(r"[!-;=-{}~\xa1-\u012f\u0131-\u024f]+").fullmatch
+#: What a cache entry takes besides its word and ids, and the bytes after which a worker forgets its words and starts anew.
+ENTRY_BYTES, CACHE_BYTES = 150, 224 << 20
 
 
 def drops_space(definition: bytes) -> bool:
@@ -33,76 +34,99 @@ def drops_space(definition: bytes) -> bool:
     return bool(known and removed and plain and not d.get("truncation") and not d.get("padding"))
 
 
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """The ranks by which tiktoken merges a part and a zero byte behind it as the model merges a part and its word end.
+
+    A zero byte joins the byte before it first, as the ids of word ends come before those of all merges; ids rise in the
+    order of merges. None for a model of another form.
+    """
+    suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    if model.get("type") != "BPE" or not suffix or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    as_bytes = lambda token: bytes(byte_of[c] for c in token.removesuffix(suffix)) + (b"\0" if token.endswith(suffix) else b"")
+    ranks = {as_bytes(t): i for t, i in vocab.items() if all(c in byte_of for c in t.removesuffix(suffix))}
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    first = 2 * 256
+    known = len(ranks) == len(vocab) == first + len(merges) and all(vocab.get(t) == first + i for i, t in enumerate(merges))
+    return ranks if known and all(ranks[bytes([b])] < 256 for b in range(256)) else None
+
+
 class WordTokenizer:
     """``ids(text)`` as the library gives them with add_special_tokens=False; a bounded cache by word where that is exact."""
 
-    #: Words that go to the library in one string.
-    JOINED = 512
+    #: Parts that are encoded in one string.
+    JOINED = 8192
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(definition)
         self.library.no_truncation()
         self.library.no_padding()
         self.by_word = drops_space(definition)
-        self.ends = None
+        self.merger = None
         if self.by_word:
-            self.parts = regex.compile(json.loads(definition)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-            suffix = json.loads(definition)["model"].get("end_of_word_suffix")
-            if suffix:
-                self.ends = np.zeros(self.library.get_vocab_size(), bool)
-                self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+            d = json.loads(definition)
+            self.parts = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            ranks = byte_ranks(d["model"])
+            if ranks:
+                self.merger = tiktoken.Encoding("parts", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+                self.ends = np.zeros(len(ranks), bool)
+                self.ends[[i for token, i in ranks.items() if token.endswith(b"\0") and len(token) > 1]] = True
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Latin words: the pattern parts them, the merger encodes many parts at once, word ends part the ids again."""
+        out, at = [], 0
+        while at < len(words):
+            parts, upto = [], []
+            while at < len(words) and len(parts) < self.JOINED:
+                low = words[at].lower()
+                if low.isalpha():
+                    parts.append(low)
+                else:
+                    parts += self.parts(low)
+                upto.append(len(parts))
+                at += 1
+            ids = self.merger.encode_to_numpy("\0".join(parts) + "\0") if parts else np.zeros(0, "<u4")
+            stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[upto] * 4
+            data = ids.astype("<u4").tobytes()
+            out += [data[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        return out
+
     def _learn(self, words: list[str]) -> None:
-        """Many Latin words in one string, parted again where their last tokens end words; others one by one."""
-        plain = [w for w in words if LATIN(w)] if self.ends is not None else []
-        alone = words if not plain else [w for w in words if not LATIN(w)] if len(plain) < len(words) else []
-        groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
-        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([len(p) for p in map(self.parts, group)])
-            if last[-1] != len(ends) or len(ids) != ends[-1]:
-                alone = [*alone, *group]
-                continue
-            data, stops = ids.tobytes(), (ends[last - 1] * 4).tolist()
-            self.young.update(zip(group, [data[a:b] for a, b in zip([0, *stops], stops)]))
-        if alone:
-            self.young.update(zip(alone, self._whole(alone), strict=True))
+        latin = [w for w in words if LATIN(w)] if self.merger else []
+        others = words if not latin else [w for w in words if not LATIN(w)] if len(latin) < len(words) else []
+        for some, encode in ((latin, self._merged), (others, self._whole)):
+            if some:
+                ids = encode(some)
+                self.known.update(zip(some, ids, strict=True))
+                self.known_bytes += ENTRY_BYTES * len(some) + sum(map(len, some)) + sum(map(len, ids))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._whole(texts)
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        split = [t.split() if t.isascii() and not _odd_ascii(t) else [w for w in ASCII_SPACE.split(t) if w] for t in texts]
-        get = self.young.get
-        found = [list(map(get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
+        if self.known_bytes > CACHE_BYTES:
+            self.known, self.known_bytes = {}, 0
+        split = [[w for w in ASCII_SPACE.split(t) if w] if _odd_space(t) else t.split() for t in texts]
+        missing = set().union(*split).difference(self.known)
         if missing:
-            if old := self.old:
-                self.young.update({w: old[w] for w in missing if w in old})
-                missing = missing.difference(old)
             self._learn(list(missing))
-            get = self.young.__getitem__
-            found = [[get(w) if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
-        return list(map(b"".join, found))
-
-    def rest(self) -> None:
-        """Call at a task's end: the worker lives on, its older words needn't."""
-        self.old = {}
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
-def _odd_ascii(text: str) -> bool:
-    """Characters at which str.split() parts words and the library doesn't."""
+def _odd_space(text: str) -> bool:
+    """Characters at which str.split() parts words and the library doesn't; at all other white space both do."""
     return any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 

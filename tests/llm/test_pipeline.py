@@ -1,6 +1,7 @@
 """Every stage works on what its predecessor kept, and its decisions take effect."""
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from ledgerlight.llm import jaccard_join, packing, quality, toxicity  # noqa: E402
@@ -30,6 +31,29 @@ def test_stages(spark):
     assert packing and quality and toxicity and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_odd_input(spark):
+    """Nulls, empty and long texts, repeated rows, columns with our names, and an empty table."""
+    good = " ".join(f"The {w} of the old house was painted, and everyone in the village came to look at it." for w in ("door", "roof", "wall", "gate"))
+    rows = [(1, good), (1, good), (2, None), (3, ""), (None, good + " Then they went home."), (4, "word " * 30_000), (5, None), (None, None)]
+    own = ["score", "score_", "__text", "lines_removed", "__cut", "__flags", "__doc", "text_a", "order"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("keep").alias(c) for c in own])
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        found = after.collect()
+        assert {tuple(r[c] for c in own) for r in found} <= {("keep",) * len(own)}, name
+        left[name] = sorted(((r["doc_id"], r["text"]) for r in found), key=str)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    everything = sorted(rows, key=str)
+    assert left["toxicity"] == everything and left["line_dedup"] == everything
+    assert not {2, 3, 5} & {i for i, _ in left["quality"]}
+    assert left["jaccard_join"] == sorted([*rows[1:4], rows[5], rows[6], rows[7]], key=str)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.filter("doc_id = 1").count() == 2 and pieces.filter("doc_id = 4").count() == 15
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
 def test_one_row_of_each_class(spark):
     words = [f"w{i}" for i in range(80)]
     a, near, b, c, d = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1]), " ".join(words[::2]), " ".join(words[1::2])

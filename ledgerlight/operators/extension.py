@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .scan import Options, approval, scanned_text
+from .scan import Options, approval, output_text
 
 log = logging.getLogger(__name__)
 # The calls that are recorded unless told otherwise.
@@ -27,7 +27,7 @@ def intercepted(calls: DataFrame, methods: tuple[str, ...] = INTERCEPTED, action
 def with_approvals(runs: DataFrame, approvals: DataFrame, options: Options | None = None, output: str = "output", key: str = "run_id") -> DataFrame:
     """Violations of the approval rule, less those that rows (key, kind: phrase or amount, approved) of ``approvals`` grant."""
     given = approvals.filter("approved").groupBy(key).agg(F.bool_or(F.col("kind") == "phrase").alias("__phrase"), F.bool_or(F.col("kind") == "amount").alias("__amount"))
-    joined = runs.join(given, key, "left").withColumn("__text", scanned_text(output))
+    joined = runs.join(given, key, "left").withColumn("__text", output_text(runs, output))
     found = approval(F.col("__text"), options or Options(), F.col("__phrase"), F.col("__amount"))
     return joined.withColumn("violations", found).drop("__text", "__phrase", "__amount")
 
@@ -79,7 +79,7 @@ def explained(runs: DataFrame, explainer: Explainer, n_steps: Column, output: st
                     out.append(f"Agent completed the task in {n} step(s). All accountability rules passed. [Explanation unavailable]")
             yield pd.Series(out)
 
-    return runs.withColumn("explanation", run(scanned_text(output), n_steps))
+    return runs.withColumn("explanation", run(F.substring(output_text(runs, output), 1, 800), n_steps))
 
 
 def resolve_explainer(explain: bool = True, configured: Explainer | None = None, custom: Explainer | None = None, environment: dict[str, str] | None = None, from_environment: Callable[[str], Explainer] | None = None) -> Explainer | None:

@@ -5,7 +5,7 @@ All need the stages of a pipeline in order, so one shuffle by pipeline serves wi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -71,19 +71,33 @@ def hops(traces: DataFrame) -> DataFrame:
 def ancestry(traces: DataFrame) -> DataFrame:
     """(audit_id, root_id, depth) by following parents to the first stage, however long the chain.
 
-    Each round doubles the distance that a row has covered, so a chain of n stages takes log2(n) joins.
+    Each round doubles the distance that a row has covered, so a chain of n stages takes log2(n) joins, and what hasn't
+    reached a root after log2 of all rows leads into a circle of parents: it has no root and no depth (both null).
     """
     from ..sources.storage import checkpointed
 
     now = traces.select("audit_id", F.col("parent_trace_id").alias("up"), F.when(F.col("parent_trace_id").isNull(), 0).otherwise(1).alias("depth"))
-    while True:
+    now = checkpointed(now.withColumn("open", F.col("up").isNotNull()))
+    for _ in range(now.count().bit_length() + 1):
         above = now.select(F.col("audit_id").alias("at"), F.col("up").alias("up2"), F.col("depth").alias("further"))
         # A row whose ancestor has none above stands at its root already.
         moved = now.join(above, F.col("up") == F.col("at"), "left")
-        after = checkpointed(moved.select("audit_id", F.when(F.col("up2").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"), (F.col("depth") + F.when(F.col("up2").isNull(), 0).otherwise(F.col("further"))).alias("depth"), F.col("up2").isNotNull().alias("open")))
-        if after.filter("open").isEmpty():
-            return after.select("audit_id", F.coalesce("up", "audit_id").alias("root_id"), "depth")
-        now = after.drop("open")
+        now = checkpointed(moved.select("audit_id", F.when(F.col("up2").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"), (F.col("depth") + F.when(F.col("up2").isNull(), 0).otherwise(F.col("further"))).alias("depth"), F.col("up2").isNotNull().alias("open")))
+        if now.filter("open").isEmpty():
+            break
+    return now.select("audit_id", F.when(~F.col("open"), F.coalesce("up", "audit_id")).alias("root_id"), F.when(~F.col("open"), F.col("depth")).alias("depth"))
+
+
+def numbered_steps(steps: DataFrame, trace: str = "trace_id", order: str = "timestamp", tie: str = "step_id") -> DataFrame:
+    """Adds step_index (from 0 within a trace) and last_action, that of the trace's last step."""
+    w = Window.partitionBy(trace).orderBy(order, tie)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return steps.withColumns({"step_index": F.row_number().over(w) - 1, "last_action": F.last("action").over(whole)})
+
+
+def observed(stages: DataFrame, observation: Observation) -> DataFrame:
+    """``stages``, whose counts the observation holds once any action has run over them: no pass of their own."""
+    return stages.observe(observation, F.count("*").alias("stages"), F.count_if("blocked").alias("blocked"), F.sum("duration_ms").alias("total_ms"))
 
 
 def lineage_table(summary: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:

@@ -79,6 +79,22 @@ def violation_feed(verdicts: DataFrame, limit: int = 6, order: str = "line_no")
     return found.select("audit_id", v["rule"].alias("rule"), F.substring(v["description"], 1, 50).alias("description"))
 
 
+def with_rule(verdicts: DataFrame, rule: str) -> DataFrame:
+    """Runs of which any violation is of the rule."""
+    return verdicts.filter(F.exists("violations", lambda v: v["rule"] == rule))
+
+
+def by_start(verdicts: DataFrame, start: str = "started_at", order: str = "line_no") -> DataFrame:
+    """Runs in the order in which they started, those of one moment in the order of their lines."""
+    return verdicts.orderBy(start, order)
+
+
+def pipeline_feed(summaries: DataFrame, limit: int = 6, order: str = "line_no") -> DataFrame:
+    """The latest pipelines: how many stages ran and where the pipeline was cut short."""
+    last = summaries.orderBy(F.desc(order)).limit(limit)
+    return last.select("pipeline_id", F.size("stages").cast("bigint").alias("n_stages"), "short_circuited", "blocked_at")
+
+
 def search(verdicts: DataFrame, query: str = "", risk: str = "all") -> DataFrame:
     """Runs of a risk level whose id, agent, pipeline, action or any violation's rule or description holds the query."""
     q = query.lower()

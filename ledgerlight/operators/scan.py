@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import catalog as C
 from ..functions.patterns import any_of, translate
@@ -139,7 +140,7 @@ def financial(text: Column, o: Options) -> Column:
         lambda m: F.size(m) > 0,
     )
     large = F.slice(F.filter(all_matches(text, C.TRANSACTION), lambda a: amount_of(a) >= o.threshold), 1, 1)
-    money = F.transform(large, lambda a: violation(rule, F.concat(F.lit("Output references transaction of "), a, F.lit(f" which exceeds threshold of ${o.threshold:g}")), a, F.when(amount_of(a) >= 10_000, "CRITICAL").otherwise("HIGH")))
+    money = F.transform(large, lambda a: violation(rule, F.concat(F.lit("Output references transaction of "), a, F.lit(f" which exceeds threshold of ${plain(o.threshold)}")), a, F.when(amount_of(a) >= 10_000, "CRITICAL").otherwise("HIGH")))
     return F.concat(words, money)
 
 
@@ -156,7 +157,7 @@ def approval(text: Column, o: Options, approved_phrase: Column | None = None, ap
     written = lambda a: F.call_function("format_number", a, F.lit("#,##0.###"))
     amount = where(
         F.array(largest_amount(text)),
-        lambda a: violation(rule, F.concat(F.lit("Transaction amount $"), written(a), F.lit(f" exceeds approval threshold of ${o.threshold:,g}")), F.concat(F.lit("$"), written(a)), F.when(a >= 10_000, "CRITICAL").otherwise("HIGH")),
+        lambda a: violation(rule, F.concat(F.lit("Transaction amount $"), written(a), F.lit(f" exceeds approval threshold of ${grouped(o.threshold)}")), F.concat(F.lit("$"), written(a)), F.when(a >= 10_000, "CRITICAL").otherwise("HIGH")),
         lambda a: (a >= o.threshold) & pending(approved_amount),
     )
     return F.concat(phrase, amount)
@@ -201,6 +202,22 @@ def scanned_text(output: str | Column = "output") -> Column:
     return F.coalesce((F.col(output) if isinstance(output, str) else output).cast("string"), F.lit("null"))
 
 
+def output_text(runs: DataFrame, output: str = "output") -> Column:
+    """What is scanned of a column: a text as it is, an object or list as its JSON, null as the text null."""
+    nested = isinstance(runs.schema[output].dataType, (T.StructType, T.MapType, T.ArrayType))
+    return scanned_text(F.to_json(F.col(output), {"ignoreNullFields": "false"}) if nested else output)
+
+
+def plain(number: float) -> str:
+    """A number as texts write it: without an exponent or needless decimals."""
+    return str(int(number)) if number == int(number) else repr(float(number))
+
+
+def grouped(number: float) -> str:
+    """With groups of thousands and up to three decimals."""
+    return f"{number:,.3f}".rstrip("0").rstrip(".")
+
+
 def violations_of(text: Column, rules: Iterable[str | Rule], options: Options | None = None) -> Column:
     """All rules' violations over ``text``, in the order of the rules."""
     found = [r.check(text, options or Options()) for r in resolve_rules(rules)]
@@ -209,7 +226,7 @@ def violations_of(text: Column, rules: Iterable[str | Rule], options: Options |
 
 def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None = None, output: str = "output") -> DataFrame:
     """``runs`` with a column ``violations``."""
-    return runs.withColumn("__text", scanned_text(output)).withColumn("violations", violations_of(F.col("__text"), rules, options)).drop("__text")
+    return runs.withColumn("__text", output_text(runs, output)).withColumn("violations", violations_of(F.col("__text"), rules, options)).drop("__text")
 
 
 def exploded(scanned: DataFrame, *keys: str) -> DataFrame:

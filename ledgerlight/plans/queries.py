@@ -14,7 +14,7 @@ from ..operators import extension as X
 from ..operators import flow, report, scan, verdict
 from ..operators import grounding as G
 from ..sources import ledger as L
-from ..sources.storage import shared_folder
+from ..sources.storage import checkpointed, shared_folder
 from ..streaming import live
 from . import fixtures
 from . import oracle as O
@@ -287,11 +287,110 @@ def ledger_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 LEDGER_ROUNDTRIP_SQL = O.on_verdicts("SELECT CAST(count(*) AS BIGINT) AS total_records, true AS intact, count(*) AS traces, count(*) FILTER (WHERE blocked) AS blocked FROM verdicts")
 
 
-def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    v = verdicts(spark, sf).select("pipeline_id", F.col("line_no").alias("ord"), F.col("audit_id").alias("stage"), "audit_id", "blocked", "risk_level", F.col("total_ms").alias("duration_ms"))
+def summaries(spark: SparkSession, sf: str, judged: DataFrame | None = None) -> DataFrame:
+    v = (verdicts(spark, sf) if judged is None else judged).select("pipeline_id", F.col("line_no").alias("ord"), F.col("audit_id").alias("stage"), "audit_id", "blocked", "risk_level", F.col("total_ms").alias("duration_ms"))
     return flow.summaries(v)
 
 
+def judged_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts without their texts, written down: a query that reads them twice scans outputs once."""
+    return checkpointed(verdicts(spark, sf).select("audit_id", "pipeline_id", "line_no", "blocked", "risk_level", "total_ms"))
+
+
+def api_stats(spark: SparkSession, sf: str) -> DataFrame:
+    v = judged_once(spark, sf)
+    return report.api_stats(v, summaries(spark, sf, v))
+
+
+def with_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = judged_once(spark, sf)
+    return report.with_summary(v, summaries(spark, sf, v)).select("audit_id", "short_circuited", "blocked_at")
+
+
+def pipeline_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return report.pipeline_feed(summaries(spark, sf), order="pipeline_id")
+
+
+def _plain_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as ledger records: twenty ledgers, a third of the rows in one of them."""
+    o = fixtures.orders_of(spark, sf)
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.lit("main + 1")).otherwise(F.concat(F.lit("l:"), (F.col("o_custkey") % 20).cast("string")))
+    return o.select(key.alias("ledger"), F.col("o_orderkey").alias("o"), F.concat(F.lit('{"id":"t'), F.col("o_orderkey").cast("string"), F.lit('","blocked":'), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("false"), F.lit(',"created_at":"2024"}')).alias("json"))
+
+
+_LEDGER_KEY = "CASE WHEN o_orderkey % 3 = 0 THEN 'main + 1' ELSE 'l:' || CAST(o_custkey % 20 AS BIGINT) END"
+
+
+def _appended_twice(spark: SparkSession, sf: str, second: DataFrame) -> str:
+    """Path of ledgers whose even orders were appended first, and carried on by ``second``."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    L.append(L.chained(_plain_rows(spark, sf).filter("o % 2 = 0"), "ledger", "o", "json"), path)
+    L.append(checkpointed(L.chained(second, "ledger", "o", "json", L.chain_state(L.lines(spark, path)))), path)
+    return path
+
+
+def ledger_append_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Append, carry on from the ledger's state, append, verify."""
+    return L.integrity(L.lines(spark, _appended_twice(spark, sf, _plain_rows(spark, sf).filter("o % 2 = 1"))))
+
+
+def ledger_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces, then a summary for each ledger's runs in the same chain: both read apart, all verified."""
+    rows = _plain_rows(spark, sf)
+    done = rows.groupBy("ledger").agg(F.count("*").alias("total_duration_ms"), F.lit(False).alias("short_circuited"), F.max("o").alias("o")).withColumn("pipeline_id", F.concat(F.lit("p-"), F.col("ledger")))
+    done = done.withColumn("json", L.summary_payload(done, ["pipeline_id", "short_circuited", "total_duration_ms"])).select("ledger", F.lit(1 << 40).cast("bigint").alias("o"), "json")
+    path = _appended_twice(spark, sf, rows.filter("o % 2 = 1").select("ledger", F.col("o").cast("bigint").alias("o"), "json").unionByName(done))
+    back = L.read(spark, path, strict=True)
+    seen = L.verdict_rows(back).filter("timestamp = '2024'").groupBy("ledger").agg(F.count("*").alias("traces"), F.count_if("blocked").alias("blocked"))
+    ends = L.summary_rows(back).select("ledger", "pipeline_id", F.col("total_duration_ms").alias("summarised"))
+    return L.integrity(L.lines(spark, path)).select("ledger", "total_records", "intact").join(seen, "ledger").join(ends, "ledger")
+
+
+def ledger_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines appended without a chain: readable, and legacy to the verifier."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    L.append_plain(_plain_rows(spark, sf), "ledger", "o", "json", path)
+    return L.integrity(L.lines(spark, path))
+
+
+def ledger_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """The last three records before each ledger's first bad line."""
+    return L.tail_scan(tampered(spark, sf), 3).select("ledger", "line_no", F.coalesce("seq", F.lit(-1)).alias("seq"))
+
+
+def step_index(spark: SparkSession, sf: str) -> DataFrame:
+    steps = table(spark, sf, "events").select(F.col("user_id").alias("trace_id"), F.col("ts").alias("timestamp"), F.col("event_id").alias("step_id"), F.col("event_type").alias("action"))
+    return flow.numbered_steps(steps).select("trace_id", "step_id", F.col("step_index").cast("bigint"), "last_action")
+
+
+def runs_by_start(spark: SparkSession, sf: str) -> DataFrame:
+    """A pipeline's runs as they started, and each run's place."""
+    v = verdicts(spark, sf, rules=("block_pii_leakage",)).filter("pipeline_id = 7").select("audit_id", "started_at", "line_no")
+    return report.by_start(v).select("audit_id", "line_no")
+
+
+def json_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs that are objects are scanned as their JSON."""
+    mail = F.concat(F.lit("user"), F.col("o_orderkey").cast("string"), F.lit("@example.com"))
+    runs = fixtures.orders_of(spark, sf).select(F.col("o_orderkey").alias("run_id"), F.struct(F.struct(mail.alias("mail"), F.lit(None).cast("string").alias("none")).alias("inner"), F.array(F.lit(True)).alias("flags")).alias("output"))
+    return scan.exploded(scan.scan(runs, ("block_pii_leakage",)), "run_id").select("run_id", "severity", "evidence")
+
+
+def large_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of thresholds from a million on, and of broken ones."""
+    runs = fixtures.orders_of(spark, sf).select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit("Transfer of $"), (F.col("o_orderkey") + 2_000_000).cast("string"), F.lit(" is due.")).alias("output"))
+    parts = [scan.exploded(scan.scan(runs, (rule,), scan.Options(threshold=t)), "run_id").select("run_id", "description") for rule, t in (("block_financial_advice", 1_500_000.0), ("require_human_approval", 12_345.67))]
+    return parts[0].unionByName(parts[1])
+
+
+def lineage_circles(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents in circles of three customers each have no root; others are their own."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    parent = F.when(F.col("k") % 7 == 0, F.col("k") - F.col("k") % 7).when(F.col("k") % 2 == 0, F.col("k") + 1 - 2 * (F.floor(F.col("k") / 2) % 2))
+    rows = c.select(F.col("k").cast("string").alias("audit_id"), parent.cast("bigint").cast("string").alias("parent_trace_id"))
+    return flow.ancestry(rows).filter("root_id is null").select("audit_id")
+
+
 def lite_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Risk by the lite dialect for runs with a finding."""
     runs = fixtures.runs(spark, sf).withColumn("violations", scan.lite_violations(F.col("output"))).filter(F.size("violations") > 0)
@@ -459,7 +558,7 @@ def queries() -> dict[str, Query]:
         "chain_tail": chain_tail,
         "ledger_roundtrip": ledger_roundtrip,
         "stats": _on_verdicts(report.stats),
-        "api_stats": lambda spark, sf: report.api_stats(verdicts(spark, sf), summaries(spark, sf)),
+        "api_stats": api_stats,
         "block_rate": _on_verdicts(report.block_rate),
         "risk_distribution": _on_verdicts(report.risk_distribution),
         "outcomes": _on_verdicts(report.outcomes),
@@ -467,7 +566,7 @@ def queries() -> dict[str, Query]:
         "blocked_recent": _on_verdicts(lambda v: report.blocked_recent(v).select(*FEED)),
         "by_id": _on_verdicts(lambda v: report.by_id(v, "run-33").select(*FEED)),
         "by_pipeline": _on_verdicts(lambda v: report.by_pipeline(v, "7").select(*FEED)),
-        "with_summary": lambda spark, sf: report.with_summary(verdicts(spark, sf), summaries(spark, sf)).select("audit_id", "short_circuited", "blocked_at"),
+        "with_summary": with_summary,
         "activity8": _on_verdicts(report.activity),
         "feed6": _on_verdicts(lambda v: report.violation_feed(v).select("audit_id", "rule")),
         "search": _on_verdicts(lambda v: report.search(v, "advice", "HIGH").select("audit_id", "risk_level")),
@@ -485,6 +584,17 @@ def queries() -> dict[str, Query]:
         "intercepted_calls": intercepted_calls,
         "event_ages": event_ages,
         "event_windows": event_windows,
+        "ledger_append_twice": ledger_append_twice,
+        "ledger_mixed": ledger_mixed,
+        "ledger_plain": ledger_plain,
+        "ledger_tail": ledger_tail,
+        "step_index": step_index,
+        "runs_by_start": runs_by_start,
+        "json_outputs": json_outputs,
+        "large_thresholds": large_thresholds,
+        "lineage_circles": lineage_circles,
+        "pipeline_feed": pipeline_feed,
+        "rule_filter": _on_verdicts(lambda v: report.with_rule(v, "block_pii_leakage").select("audit_id")),
     }
     return found
 
@@ -539,6 +649,17 @@ def oracle_sql() -> dict[str, str]:
         "stat_delta": "WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, n - lag(n) OVER (ORDER BY day) AS delta FROM d QUALIFY lag(n) OVER (ORDER BY day) IS NOT NULL",
         "stream_verdicts": f"{_STREAM_CTE} SELECT event_id, blocked, risk_level FROM s",
         "stream_stats": f"{_STREAM_CTE} SELECT risk_level, count(*) AS total, count(*) FILTER (WHERE blocked) AS blocked FROM s GROUP BY 1",
+        "ledger_append_twice": f"SELECT {_LEDGER_KEY} AS ledger, count(*) AS total_records, CAST(0 AS BIGINT) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1",
+        "ledger_plain": f"SELECT {_LEDGER_KEY} AS ledger, count(*) AS total_records, count(*) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1",
+        "ledger_mixed": f"SELECT {_LEDGER_KEY} AS ledger, count(*) + 1 AS total_records, true AS intact, count(*) AS traces, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS blocked, 'p-' || {_LEDGER_KEY} AS pipeline_id, count(*) AS summarised FROM orders GROUP BY 1, 6",
+        "ledger_tail": FAULTS + ", b AS (SELECT ledger, min(line_no) FILTER (WHERE corrupt) AS bad FROM f GROUP BY 1) SELECT ledger, CAST(line_no AS INT) AS line_no, coalesce(sq, -1) AS seq FROM f JOIN b USING (ledger) WHERE b.bad IS NULL OR line_no < b.bad QUALIFY row_number() OVER (PARTITION BY ledger ORDER BY line_no DESC) <= 3",
+        "step_index": "SELECT user_id AS trace_id, event_id AS step_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_index, last_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_action FROM events",
+        "runs_by_start": "SELECT 'run-' || o_orderkey AS audit_id, o_orderkey AS line_no FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate, o_orderkey",
+        "json_outputs": "SELECT o_orderkey AS run_id, 'HIGH' AS severity, 'use***@example.com' AS evidence FROM orders",
+        "large_thresholds": "SELECT o_orderkey AS run_id, 'Output references transaction of $' || (o_orderkey + 2000000) || ' which exceeds threshold of $1500000' AS description FROM orders UNION ALL SELECT o_orderkey, 'Transaction amount $' || format('{:,}', o_orderkey + 2000000) || ' exceeds approval threshold of $12,345.67' FROM orders",
+        "lineage_circles": "WITH RECURSIVE c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_custkey WHEN c_custkey % 2 = 0 THEN c_custkey + 1 - 2 * ((c_custkey // 2) % 2) END AS up FROM customer), r AS (SELECT k FROM c WHERE up IS NULL OR up NOT IN (SELECT k FROM c) UNION SELECT c.k FROM r JOIN c ON c.up = r.k) SELECT CAST(k AS VARCHAR) AS audit_id FROM c WHERE k NOT IN (SELECT k FROM r)",
+        "pipeline_feed": O.verdict_ctes() + _SUMM + " SELECT m.pipeline_id, count(*) AS n_stages, any_value(s.short_circuited) AS short_circuited, any_value(s.blocked_at) AS blocked_at FROM mm m JOIN summ s USING (pipeline_id) WHERE before = 0 GROUP BY 1 ORDER BY 1 DESC LIMIT 6",
+        "rule_filter": O.on_verdicts("SELECT audit_id FROM verdicts WHERE list_contains(rules, 'block_pii_leakage')"),
         "custom_rule": CUSTOM_SQL,
         "approvals_join": APPROVALS_SQL,
         "lite_rules_long": _lite_sql(),

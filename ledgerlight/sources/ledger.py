@@ -1,6 +1,6 @@
 """The audit ledger: append-only files of JSON lines, each line chained to the one before by SHA-256.
 
-A ledger is one file (or one value of a key column). Chaining is sequential by nature, so scale comes from many ledgers;
+A ledger is one folder of appended files, one file, or one value of a key column. Chaining is sequential by nature, so scale comes from many ledgers;
 within one, a task streams its lines in constant memory. Verifying a line's own hash needs no order at all; only links
 between neighbours do.
 """
@@ -13,7 +13,6 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .storage import exists
 
@@ -24,7 +23,6 @@ _STEPS = "array<struct<stepIndex:int,timestamp:string,action:string,input:string
 _STAGES = f"array<struct<name:string,auditId:string,parentTraceId:string,blocked:boolean,riskLevel:string,violations:{_VIOLATIONS},explanation:string,result:string,durationMs:bigint>>"
 #: Columns of a trace line in the order in which they are written and hashed, without the chain's own.
 TRACE = f"id string, started_at string, input string, steps {_STEPS}, blocked boolean, risk_level string, explanation string, reason string, violations {_VIOLATIONS}, result string, created_at string, timestamp string, metadata map<string,string>, pipeline_id string, parent_trace_id string, agent_name string"
-SUMMARIES = f"_type string, pipeline_id string, pipeline_name string, stages {_STAGES}, short_circuited boolean, blocked_at string, total_duration_ms bigint, timestamp string, created_at string"
 CHAIN = "seq bigint, prev_hash string, row_hash string"
 #: All columns of either kind; audit_id and audit_trail are how the lite dialect calls id and steps.
 ANY = ", ".join(dict.fromkeys(f"{a}" for a in [*TRACE.split(", "), "_type string", "pipeline_name string", f"stages {_STAGES}", "short_circuited boolean", "blocked_at string", "total_duration_ms bigint", *CHAIN.split(", "), "audit_id string", f"audit_trail {_STEPS}"]))
@@ -45,12 +43,25 @@ def config(path: str, explicit: dict | None = None) -> dict:
     return {**(found if isinstance(found, dict) else {}), **(explicit or {})}
 
 
+def _decoded(part: Column) -> Column:
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ledger, line_no, line) with exact bytes and numbers from 0; empty lines don't count, a missing file has none."""
+    """(ledger, line_no, line) with exact bytes and numbers from 0; empty lines don't count, a missing file has none.
+
+    A ledger is what one ``ledger=`` folder of ``append`` holds, its files in the order in which they were written, or else
+    a file. Files are read by lines and in parts, so a ledger may be of any size; numbers come from a sort by place.
+    """
     if not exists(spark, path_of(path)):
         return spark.createDataFrame([], "ledger string, line_no int, line string")
-    whole = spark.read.text(path_of(path), wholetext=True).select(F.col("_metadata.file_path").alias("ledger"), "value")
-    return whole.select("ledger", F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("line_no", "line"))
+    found = spark.read.option("lineSep", "\n").text(path_of(path)).filter("value <> ''").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line")
+    )
+    folder = _decoded(_decoded(F.regexp_extract("file", "/ledger=([^/]+)/[^/]+$", 1)))  # once as a URL, once as a folder's name
+    found = found.withColumn("ledger", F.when(folder == "", F.col("file")).otherwise(folder))
+    place = Window.partitionBy("ledger").orderBy("written", "file", "part", "nth")
+    return found.select("ledger", (F.row_number().over(place) - 1).cast("int").alias("line_no"), "line")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -61,14 +72,39 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Records of a ledger with line_no. Strict: any bad line empties the result; tolerant: bad lines are left out."""
+    """Records of ledgers with line_no. Strict: a ledger with any bad line has none; tolerant: bad lines are left out."""
     rows = parsed(lines(spark, path))
-    if strict and not rows.filter("corrupt").isEmpty():
-        rows = rows.limit(0)
-    good = rows.filter("not corrupt").select("ledger", "line_no", "r.*").drop("_corrupt")
+    if strict:
+        rows = rows.join(rows.filter("corrupt").select("ledger").distinct(), "ledger", "left_anti")
+    return records(rows.filter("not corrupt"))
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Columns of parsed lines, the lite dialect's names made ours."""
+    good = rows.select("ledger", "line_no", "r.*").drop("_corrupt")
     return good.withColumn("id", F.coalesce("id", "audit_id")).withColumn("steps", F.coalesce("steps", "audit_trail")).drop("audit_id", "audit_trail")
 
 
+def tail_scan(raw: DataFrame, limit: int = 50) -> DataFrame:
+    """The lite dialect's read: each ledger up to its first bad line, of that the last ``limit`` records, newest first."""
+    rows = parsed(raw)
+    bad = rows.filter("corrupt").groupBy("ledger").agg(F.min("line_no").alias("__bad"))
+    kept = rows.join(bad, "ledger", "left").filter(F.col("__bad").isNull() | (F.col("line_no") < F.col("__bad"))).drop("__bad")
+    newest = kept.withColumn("nth", F.row_number().over(Window.partitionBy("ledger").orderBy(F.desc("line_no")))).filter(F.col("nth") <= limit)
+    return records(newest)
+
+
+def verdict_rows(records: DataFrame) -> DataFrame:
+    """Trace records as verdicts: audit_id, and the time of the verdict or else of the line."""
+    t = traces(records)
+    return t.select("ledger", "line_no", F.col("id").alias("audit_id"), "blocked", "risk_level", "reason", "explanation", "violations", "result", F.coalesce("timestamp", "created_at").alias("timestamp"), "metadata", "pipeline_id", "parent_trace_id", "agent_name", "started_at")
+
+
+def summary_rows(records: DataFrame) -> DataFrame:
+    """Summary records as flow.summaries gives them."""
+    return pipelines(records).select("ledger", "line_no", "pipeline_id", "pipeline_name", "stages", "short_circuited", "blocked_at", "total_duration_ms", F.coalesce("timestamp", "created_at").alias("timestamp"))
+
+
 def traces(records: DataFrame) -> DataFrame:
     return records.filter(~F.col("_type").eqNullSafe(F.lit(SUMMARY)))
 
@@ -87,6 +123,11 @@ def payload(df: DataFrame, columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
 
 
+def summary_payload(df: DataFrame, columns: list[str]) -> Column:
+    """A pipeline summary's JSON: its type first, then the columns in the order given."""
+    return F.to_json(F.struct(F.lit(SUMMARY).alias("_type"), *[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+
+
 def chain_state(raw: DataFrame) -> DataFrame:
     """(ledger, prev_hash, seq): where the next line of each ledger starts."""
     last = raw.groupBy("ledger").agg(F.max_by("line", "line_no").alias("line"), F.count("*").alias("n"))
@@ -128,6 +169,11 @@ def append(chained_rows: DataFrame, path: str) -> None:
     one.write.mode("append").partitionBy("ledger").text(path)
 
 
+def append_plain(records: DataFrame, ledger: str, order: str, json_column: str, path: str) -> None:
+    """Append lines without a chain, as the lite dialect does; a verifier counts them as legacy."""
+    append(records.select(F.col(ledger).cast("string").alias("ledger"), F.col(order).alias("seq"), F.col(json_column).alias("line")), path)
+
+
 def faults(raw: DataFrame) -> DataFrame:
     """Lines (ledger, line_no, line) with what the verifier finds: legacy, corrupt, gap, bad_link, bad_hash, expected_seq."""
     w = Window.partitionBy("ledger").orderBy("line_no")
@@ -153,6 +199,3 @@ def integrity(raw: DataFrame) -> DataFrame:
     out = faults(raw).groupBy("ledger").agg(F.count("*").alias("total_records"), n("legacy").alias("legacy_records"), (n("corrupt") + n("bad_link") + n("bad_hash")).alias("broken_links"), n("gap").alias("sequence_gaps"))
     return out.withColumn("intact", (F.col("broken_links") == 0) & (F.col("sequence_gaps") == 0))
 
-
-def schema_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

@@ -171,3 +171,38 @@ def test_streams(spark, tmp_path):
     query.awaitTermination()
     got = {(r["pipeline_id"], r["ord"]): r["ran"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("p", 1): True, ("p", 2): True, ("p", 3): False, ("q", 1): True} and told
+
+
+def test_ledger_appended_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("a+b %", i, f'{{"id":"t{i}"}}') for i in range(5)] + [("z", 0, '{"id":"z"}')], "ledger string, o int, json string")
+    path = f"file://{tmp_path}/twice"
+    ledger.append(ledger.chained(rows.filter("o < 3"), "ledger", "o", "json"), path)
+    state = ledger.chain_state(ledger.lines(spark, path))
+    assert {r["ledger"]: r["seq"] for r in state.collect()} == {"a+b %": 3, "z": 1}
+    ledger.append(ledger.chained(rows.filter("o >= 3"), "ledger", "o", "json", state).cache(), path)
+    assert {r["ledger"]: (r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, path)).collect()} == {"a+b %": (5, True), "z": (1, True)}
+    (tmp_path / "twice" / "ledger=z" / "part-9.txt").write_text("{bad\n")
+    assert {r["ledger"] for r in ledger.read(spark, path, strict=True).collect()} == {"a+b %"}
+    assert [r["id"] for r in ledger.tail_scan(ledger.lines(spark, path), 2).filter("ledger = 'z'").collect()] == ["z"]
+
+
+def test_parents_in_a_circle(spark):
+    rows = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("r", None), ("s", "r"), ("t", "s")], "audit_id string, parent_trace_id string")
+    found = {r["audit_id"]: (r["root_id"], r["depth"]) for r in flow.ancestry(rows).collect()}
+    assert found == {"a": (None, None), "b": (None, None), "c": (None, None), "r": ("r", 0), "s": ("r", 1), "t": ("r", 2)}
+
+
+def test_nested_outputs_and_numbers(spark):
+    runs = spark.sql("SELECT 1 AS id, named_struct('a', map('m', 'jo.doe@example.com'), 'n', CAST(NULL AS STRING)) AS output")
+    found = scan.scan(runs, ["block_pii_leakage"]).first()["violations"]
+    assert [(v["severity"], v["evidence"]) for v in found] == [("HIGH", "jo.***@example.com")]
+    assert [scan.plain(x) for x in (1000.0, 1_500_000.0, 0.5)] == ["1000", "1500000", "0.5"]
+    assert [scan.grouped(x) for x in (1000.0, 12_345.67, 2.5)] == ["1,000", "12,345.67", "2.5"]
+
+
+def test_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("stages")
+    flow.observed(spark.sql("SELECT * FROM VALUES (true, 5L), (false, 7L) AS t(blocked, duration_ms)"), seen).collect()
+    assert seen.get == {"stages": 2, "blocked": 1, "total_ms": 12}

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from heapq import nsmallest
 
 import numpy as np
@@ -81,25 +81,29 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
-def evidence(counts: list[dict[str, int]], rows: list[int], weakest: float = 0.3) -> dict[str, float]:
-    """Smoothed log odds of label 1 for each feature that tells; those of rare or neutral features are 0 and left out.
+def slots_of(word: str) -> list[int]:
+    """A word's n-grams by their 32-bit hashes: smaller than texts, and hardly two of a sample's share one."""
+    return [zlib.crc32(g.encode()) for g in grams(word)]
+
+
+def evidence(clean: np.ndarray, toxic: np.ndarray, rows: np.ndarray, weakest: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Features that tell, and their smoothed log odds of label 1, from the numbers of texts that hold each feature.
 
     Smoothing grows with the texts labelled 1 up to 1000 of them: in a small sample few rows must tell.
     """
-    clean, toxic = counts
     strength = min(5.0, max(1.0, rows[1] / 200))
     least = min(5, max(2, rows[1] // 200))
-    keys = list({k for c in counts for k, n in c.items() if n >= least})
-    of_toxic, of_clean = (np.fromiter((c.get(k, 0) for k in keys), "f8", len(keys)) for c in (toxic, clean))
-    odds = np.log((of_toxic + strength) / (rows[1] + 2 * strength)) - np.log((of_clean + strength) / (rows[0] + 2 * strength))
-    return {keys[i]: float(odds[i]) for i in np.flatnonzero(np.abs(odds) >= weakest)}
+    met = np.flatnonzero(np.maximum(clean, toxic) >= least)
+    odds = np.log((toxic[met] + strength) / (rows[1] + 2 * strength)) - np.log((clean[met] + strength) / (rows[0] + 2 * strength))
+    tells = np.abs(odds) >= weakest
+    return met[tells], odds[tells]
 
 
 class Embeddings:
     """Rows of numbers for words and n-grams that have one; row 0 stands for all others and stays zero."""
 
-    def __init__(self, evidence: dict[str, float] | None = None, seed: int = 5):
-        known = sorted(evidence or {})
+    def __init__(self, evidence: dict, seed: int = 5):
+        known = sorted(evidence)
         self.row = dict(zip(known, range(1, len(known) + 1)))
         self.table = (0.1 * np.random.default_rng(seed).normal(size=(len(known) + 1, EMBEDDED))).astype("f4")
         self.table[1:, 0] = [evidence[k] for k in known] if known else []
@@ -118,15 +122,18 @@ class Embeddings:
 class Features:
     """Inputs of words from their embeddings."""
 
+    #: New words whose inputs are made together.
+    AT_ONCE = 8192
+
     def __init__(self, words: Embeddings, chars: Embeddings):
-        self.words, self.chars, self.cut = words, chars, grams
+        self.words, self.chars = words, chars
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, INPUTS), "f4")
 
     def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Embedding rows of words, of all their n-grams one after another, where each word's n-grams start, lengths."""
         get = self.chars.row.get
-        found = [[get(g, 0) for g in self.cut(w)] or [0] for w in words]
+        found = [[get(g, 0) for g in slots_of(w)] or [0] for w in words]
         starts = np.cumsum([0, *map(len, found)])[:-1]
         return np.array([self.words.row.get(w, 0) for w in words], "i8"), np.array([i for x in found for i in x], "i8"), starts, np.array([min(len(w), 20) / 10 for w in words], "f4")
 
@@ -144,10 +151,10 @@ class Features:
         new = [w for w in dict.fromkeys(words) if w not in index]
         while len(index) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if new:
-            start = len(index)
-            self.table[start : start + len(new)] = self.made(*self.parts(new))
-            index.update(zip(new, range(start, start + len(new)), strict=True))
+        for at in range(0, len(new), self.AT_ONCE):
+            some, start = new[at : at + self.AT_ONCE], len(index)
+            self.table[start : start + len(some)] = self.made(*self.parts(some))
+            index.update(zip(some, range(start, start + len(some)), strict=True))
         return self.table[np.fromiter(map(index.__getitem__, words), "i8", len(words))]
 
 
@@ -317,51 +324,46 @@ def _distinct(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
     return [texts[i] for i in seen.values()], y[list(seen.values())]
 
 
-def _whole(parts: list[list[Counter]]) -> list[dict[str, int]]:
-    """Sums of counts for each label, without keys that no label has twice: these tell nothing."""
-    total = [Counter(), Counter()]
-    for label in (0, 1):
-        for c in parts[label]:
-            total[label].update(c)
-    kept = {k for c in total for k, n in c.items() if n > 1}
-    return [{k: n for k, n in c.items() if k in kept} for c in total]
-
-
-def _less(a: dict[str, int], b: Counter) -> dict[str, int]:
-    get = b.get
-    return {k: n - get(k, 0) for k, n in a.items()}
-
-
 def train(texts: list[str], y: np.ndarray) -> Scorer | None:
     """Where embeddings start, then the network on windows, then both together; None without a text of each label."""
     if not (len(texts) and y.min() == 0 and y.max() == 1):
         return None
     texts, y = _distinct(texts, y)
-    split = [words_of(t) for t in texts]
-    once = [list(dict.fromkeys(words)) for words in split]
+    number: dict[str, int] = {}
+    split = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], "i4") for t in texts]
+    names = list(number)
+    cut, stops = array("I"), []
+    for w in names:
+        cut.extend(slots_of(w))
+        stops.append(len(cut))
+    stops = np.array(stops, "i8")
+    hashes, slots = np.unique(np.frombuffer(cut, "u4") if cut else np.zeros(0, "u4"), return_inverse=True)
+    slots = slots.astype("i4")
+    sizes = np.diff(stops, prepend=0)
     # Each part of the rows takes its evidence from the others while the network learns, so that it meets unseen words too.
     part = np.array([zlib.crc32(t.encode()) % PARTS for t in texts])
-    grams_of = {w: grams(w) for w in dict.fromkeys(w for ws in once for w in ws)}
-    met = [[(Counter(), Counter()) for _ in (0, 1)] for _ in range(PARTS)]  # by part, label, words or n-grams
-    for i, words in enumerate(once):
-        of_words, of_grams = met[part[i]][int(y[i])]
-        of_words.update(words)
-        of_grams.update(set().union(*map(grams_of.__getitem__, words)))
-    whole = [_whole([[met[k][label][kind] for k in range(PARTS)] for label in (0, 1)]) for kind in (0, 1)]
-    rows = np.array([[int((y[part == k] == label).sum()) for label in (0, 1)] for k in range(PARTS)])
+    met = [np.zeros((PARTS, 2, n), "u2") for n in (len(names), len(hashes))]  # texts by part and label that hold a word, an n-gram
+    rows = np.zeros((PARTS, 2), "i8")
+    for i, words in enumerate(split):
+        at = part[i], int(y[i])
+        rows[at] += 1
+        used = np.unique(words)
+        met[0][at][used] += 1
+        n = sizes[used]
+        met[1][at][np.unique(slots[np.repeat(stops[used] - np.cumsum(n), n) + np.arange(n.sum())])] += 1
     tables = []
-    for k in range(PARTS):
-        left = [[_less(whole[kind][label], met[k][label][kind]) for label in (0, 1)] for kind in (0, 1)]
-        tables.append(tuple(Embeddings(evidence(c, (rows.sum(0) - rows[k]).tolist())) for c in left))
-    tables.append(tuple(Embeddings(evidence(c, rows.sum(0).tolist())) for c in whole))
+    for k in range(PARTS + 1):  # without part k; at last from all
+        keep = [j for j in range(PARTS) if j != k]
+        found = [evidence(*m[keep].sum(0, dtype="i4"), rows[keep].sum(0)) for m in met]
+        tables.append((Embeddings({names[i]: o for i, o in zip(*(x.tolist() for x in found[0]), strict=True)}), Embeddings(dict(zip(hashes[found[1][0]].tolist(), found[1][1].tolist(), strict=True)))))
+    del met, slots, hashes, cut
     xs, masks, ys, read = [], [], [], []
     for k in range(PARTS):
         mine = np.flatnonzero(part == k)
         if not len(mine):
             continue
-        own = Scorer(*tables[k], {})
-        own.features.cut = grams_of.__getitem__
-        x, (first, ends), owner = own.windows([split[i] for i in mine])
+        mine_split = [[names[j] for j in split[i]] for i in mine]
+        x, (first, ends), owner = Scorer(*tables[k], {}).windows(mine_split)
         if not len(first):
             continue
         place = first + np.arange(WINDOW)[:, None]
@@ -375,7 +377,7 @@ def train(texts: list[str], y: np.ndarray) -> Scorer | None:
         xs.append(x[np.minimum(place[:, keep], len(x) - 1)])
         masks.append(mask[:, keep])
         ys.append(y[mine][owner[keep]])
-        flat = [w for i in mine for w in split[i]]
+        flat = [w for words in mine_split for w in words]
         read.extend([flat[a : min(a + WINDOW, b)] for a, b in zip(first[keep].tolist(), ends[keep].tolist())])
     if not xs or np.concatenate(ys).min() == np.concatenate(ys).max():
         return None
@@ -383,9 +385,7 @@ def train(texts: list[str], y: np.ndarray) -> Scorer | None:
     net = BiGRU()
     net.fit(lambda at: x[:, at], mask, label)
     scorer = Scorer(*tables[PARTS], net.w)
-    scorer.features.cut = grams_of.__getitem__
     _together(scorer, read, mask, label)
-    scorer.features.cut = grams
     return scorer
 
 

@@ -370,6 +370,44 @@ def test_licences(spark, odd, empty):
     assert [r["doc_id"] for r in license_scan.best_license(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()][:2] == [1, 2]
 
 
+def test_wrapped_licences(spark):
+    """Notices over several lines of a longer text, against what is planted and against the SQL."""
+    import textwrap
+
+    import duckdb
+    import pandas as pd
+
+    full = "\n".join(f"# {x}" for x in textwrap.wrap(license_scan.TEMPLATES["mit-text"], 60))
+    n = full.count("\n")
+    other = "\n".join(f"line {i} tells of rivers and hills numbered {i * 7}" for i in range(60))
+    mit = "Released under the MIT License."
+    rows = [
+        (1, f"head here\n\n{full}\n\n{other}"),
+        (2, f"{other}\n\n---\n{full}\ntail text"),
+        (3, full),
+        (4, "x y\nThis work is licensed under the GNU General\nPublic License, version 3.\nmore words follow here"),
+        (5, f"{other}\n{mit}\n{other}"),
+        (6, "\n".join([mit] * 300)),
+        (7, f"{other}\n{full}\n{full}\n{other}"),
+        (8, None),
+        (9, f"{other}\nReleased under\n\n...\nthe MIT License.\n{other}"),
+        (9, f"{other}\nReleased under\n\n...\nthe MIT License.\n{other}"),
+        (9, f"{mit}\n{other}"),
+    ]
+    found = license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["unit"], r["last_unit"], r["license"], round(r["dice"], 6)) for r in found.collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert got == sorted(con.execute(license_scan.OP9_SQL).fetchall())
+    whole = [g[:4] for g in got if g[4] == 1.0]
+    assert [g for g in whole if g[0] != 6] == [
+        (1, 3, 3 + n, "mit-text"), (2, 63, 63 + n, "mit-text"), (3, 0, 0, "mit-text"), (4, 2, 3, "gpl-3.0"), (5, 61, 61, "mit"),
+        (7, 61, 61 + n, "mit-text"), (7, 62 + n, 62 + 2 * n, "mit-text"), (9, 1, 1, "mit"), (9, 61, 64, "mit"), (9, 61, 64, "mit"),
+    ]
+    assert {g[0] for g in got} == {1, 2, 3, 4, 5, 6, 7, 9}
+    assert sum(g[0] == 6 for g in got) == 300 and all(g[1] == g[2] for g in got if g[0] == 6)  # lines only, no overlapping blocks
+
+
 def brute_links(rows):
     sets = {}
     for i, s in sorted(zip([r[0] for r in rows], jaccard_join.Shingler().sets([r[1] or "" for r in rows]), strict=True), key=lambda x: x[0]):

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import materialise, read_table, text_or_empty
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
@@ -161,7 +161,12 @@ def block_matches(docs: DataFrame, text: str = "text", id_column: str = "doc_id"
 
 def matches(docs: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """One row for each line, whole text or block of lines that matches: doc_id, unit (its first line; 0: the whole text),
-    last_unit (its last line), license, dice."""
+    last_unit (its last line), license, dice.
+
+    Texts that meet the pattern are written once, as lines and blocks are looked at apart and the pattern is the dear part."""
+    hint = template_sets(threshold, templates)[2]
+    few = docs.filter(F.lower(text_or_empty(text)).rlike(hint)).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    docs, text, id_column = materialise(few, "op9-hinted"), "text", "doc_id"
     units = unit_matches(docs, text, id_column, threshold, templates).select("doc_id", "unit", F.col("unit").alias("last_unit"), "license", "dice")
     return units.unionByName(block_matches(docs, text, id_column, threshold, templates))
 

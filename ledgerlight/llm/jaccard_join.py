@@ -2,14 +2,15 @@
 
 1. One pass over the texts gives each its set of five-word shingles as a digest and a MinHash signature. Texts with one
    and the same shingle set form a node; only one representative of it goes on, so copies cost nothing.
-2. Representatives that share a band of their signatures are candidates of each other. Each bucket links its members to
-   its smallest one (a star, not all pairs), and connected components over these links give coarse groups: no candidate
-   pair lies across two groups.
-3. Inside a group members meet in blocks. Signatures are compared some hashes at a time; a pair is dropped as soon as
-   the posterior probability of a similarity at or above the threshold falls below the tolerance. The exact Jaccard
-   similarity of the shingle sets decides on the rest. A block returns, for each member, its number of links, and a
-   forest that joins linked members; pairs aren't emitted.
-4. Connected components over the forests are the result's classes.
+2. Representatives that share a band of their signatures are candidates of each other. The members of a bucket meet in
+   blocks, by their signatures alone. Signatures are compared some hashes at a time; a pair is dropped as soon as the
+   posterior probability of a similarity at or above the threshold falls below the tolerance. A block returns a forest
+   over the pairs that are left; pairs that it joins already aren't compared, so near copies cost one look along them.
+3. Connected components over these forests are coarse groups: no pair that passed lies across two of them, and texts that
+   share a band but are unlike don't chain. Only members of a group fetch their texts. They meet in blocks, pairs are
+   pruned in the same way, and the exact Jaccard similarity of the shingle sets decides on the rest. A block returns,
+   for each member, its number of links, and a forest that joins linked members; pairs aren't emitted.
+4. Connected components over these forests are the result's classes.
 
 A text's shingles: words are maximal runs of letters, digits and underscores of the lower-case text; a text of one to
 four words is one shingle. Defined results: null texts and texts without words have no shingles and match nothing, each
@@ -197,6 +198,32 @@ class _Forest:
         return a != b
 
 
+def _likely(i: int, j: np.ndarray, sig: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Those of ``j`` whose pair with ``i`` stays above the tolerance at every step."""
+    agree = np.zeros(len(j), np.int64)
+    for k in range(0, HASHES, STEP):
+        if not len(j):
+            break
+        agree += (sig[j, k : k + STEP] == sig[i, k : k + STEP]).sum(1)
+        alive = agree >= least[k + STEP]
+        j, agree = j[alive], agree[alive]
+    return j
+
+
+def _likely_forest(sides: np.ndarray, sig: np.ndarray, least: dict[int, int]) -> list[tuple[int, int]]:
+    """A forest over the likely pairs inside one block (side 0), or between two (sides 1 and 2)."""
+    n, tree, out = len(sides), np.arange(len(sides)), []
+    across, other = bool(sides.any()), np.flatnonzero(sides == 2)
+    for i in np.flatnonzero(sides == 1).tolist() if across else range(n - 1):
+        j = other if across else np.arange(i + 1, n)
+        j = _likely(i, j[tree[j] != tree[i]], sig, least)
+        if len(j):
+            joined, first = np.unique(tree[j], return_index=True)
+            out.extend((i, int(x)) for x in j[first])
+            tree[np.isin(tree, joined)] = tree[i]
+    return out
+
+
 def _compare(ids: np.ndarray, sides: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], least: dict[int, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links of each member, forest): pairs inside one block (side 0), or between two (sides 1 and 2)."""
     n = len(ids)
@@ -207,13 +234,7 @@ def _compare(ids: np.ndarray, sides: np.ndarray, sig: np.ndarray, sets: list[np.
     for i in np.flatnonzero(sides == 1).tolist() if across else range(n - 1):
         j = other if across else np.arange(i + 1, n)
         j = j[np.minimum(sizes[i], sizes[j]) >= THRESHOLD * np.maximum(sizes[i], sizes[j]) - 1e-9]
-        agree = np.zeros(len(j), np.int64)
-        for k in range(0, HASHES, STEP):
-            if not len(j):
-                break
-            agree += (sig[j, k : k + STEP] == sig[i, k : k + STEP]).sum(1)
-            alive = agree >= least[k + STEP]
-            j, agree = j[alive], agree[alive]
+        j = _likely(i, j, sig, least)
         if not len(j):
             continue
         if not index:
@@ -236,6 +257,65 @@ def _compare(ids: np.ndarray, sides: np.ndarray, sig: np.ndarray, sets: list[np.
     return links, kept
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (doc_id, m, ...) of groups of m, in a row for each pair (lo, hi) of their group's blocks that they meet in.
+
+    A block meets itself and every other block of its group once. ``side`` is 0 inside a block, 1 in the lower and 2 in
+    the higher of two.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.withColumns({"__own": F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), "__all": F.sequence(F.lit(0), blocks - 1)})
+    paired = dealt.withColumn("__other", F.explode("__all"))
+    lo, hi = F.least("__own", "__other"), F.greatest("__own", "__other")
+    side = F.when(lo == hi, 0).when(F.col("__own") == lo, 1).otherwise(2)
+    return paired.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long"), "side": side.cast("long")}).drop("__own", "__all", "__other", "m")
+
+
+def likely_links(shared: DataFrame) -> DataFrame:
+    """Rows (band, doc_id, m, signature) of buckets of m members to (a, b): forests over the pairs that pruning leaves.
+
+    Tasks get their blocks sorted and hold the signatures of one block at a time: two times BLOCK members at most.
+    """
+    least = least_agreement()
+
+    def run(batches):
+        key, kept = None, []
+
+        def done():
+            ids, sides, sig = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, int),) * 3
+            kept.clear()
+            return [(int(ids[i]), int(ids[j])) for i, j in _likely_forest(sides, sig, least)]
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            ids, sides = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(-1, HASHES)
+            cuts, found = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1).tolist(), len(head)], []
+            for a, b in zip(cuts, cuts[1:]):
+                if tuple(head[a]) != key:
+                    found += done()
+                    key = tuple(head[a])
+                kept.append((ids[a:b], sides[a:b], sig[a:b]))
+            yield rows(found)
+        yield rows(done())
+
+    dealt = in_blocks(shared).select("band", "lo", "hi", "doc_id", "side", "signature")
+    return dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(frugal(run), "a long, b long")
+
+
+def coarse_groups(representatives: DataFrame) -> DataFrame:
+    """(node, component) of representatives (doc_id, signature) that have a likely partner."""
+    bands = materialise(banded(representatives), "op10-bands")
+    buckets = materialise(bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "op10-buckets")
+    shared = bands.join(buckets, "band").join(representatives, "doc_id")
+    return components(materialise(likely_links(shared), "op10-likely"), "op10-coarse")
+
+
 def meet(members: DataFrame) -> DataFrame:
     """Rows (block, side, doc_id, signature, text) to (doc_id, links, other): counts, and forest edges where ``other`` isn't null.
 
@@ -279,22 +359,14 @@ def near_rows(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "op10-sets")  # written, so numbers stay
     member = materialise(whole.select(*ROW, "set_digest").join(sets.select("set_digest", "node", "set_id", "n_copies"), "set_digest").drop("set_digest"), "op10-members")
     reps = sets.select(F.col("node").alias("doc_id"), "signature")
-    bands = materialise(banded(reps), "op10-bands")
-    leaders = materialise(bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader"), "op10-leaders")
-    coarse = components(bands.join(leaders, "band").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "op10-coarse")
+    coarse = coarse_groups(reps)
     counts = materialise(coarse.groupBy("component").agg(F.count("*").alias("m")), "op10-counts")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = coarse.join(counts, "component").select("node", "component", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    with_sign = dealt.join(sets.select("node", "signature", "first.*"), "node")
+    with_sign = coarse.join(counts, "component").join(sets.select("node", "signature", "first.*"), "node")
     texts = docs.select(*row_key(text, id_column), text_or_empty(text).alias("text"))
-    firsts = texts.join(with_sign, same_row(texts, with_sign)).select("node", "component", "nb", "own", "signature", "text")
+    firsts = texts.join(with_sign, same_row(texts, with_sign)).select("node", "component", "m", "signature", "text")
     firsts = materialise(firsts.dropDuplicates(["node"]).withColumnRenamed("node", "doc_id"), "op10-candidates")
-    # A block meets itself and every other block of its group once: rows (smaller, larger block).
-    others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least("own", x).alias("lo"), F.greatest("own", x).alias("hi")))
-    paired = firsts.withColumn("__pair", F.explode(others))
-    block = F.concat_ws("/", "component", "__pair.lo", "__pair.hi")
-    side = F.when(F.col("__pair.lo") == F.col("__pair.hi"), 0).when(F.col("own") == F.col("__pair.lo"), 1).otherwise(2)
-    met = materialise(meet(paired.select(block.alias("block"), side.alias("side"), "doc_id", "signature", "text")), "op10-met")
+    paired = in_blocks(firsts).withColumn("block", F.concat_ws("/", "component", "lo", "hi"))
+    met = materialise(meet(paired), "op10-met")
     linked = met.filter("other is null").groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("n_links"))
     groups = components(met.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")), "op10-classes")
     by_node = materialise(groups.join(linked, "node").join(sets.select("node", "set_id"), "node"), "op10-by-node")

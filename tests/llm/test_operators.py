@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -336,7 +337,11 @@ def brute_neighbours(rows, k):
     return sorted(out)
 
 
-def test_neighbours(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [neighbours.SAMPLE_ROWS, 256])
+def test_neighbours(spark, monkeypatch, sample):
+    """One level of leaves and, with small samples, two; queries of a block in slices."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(neighbours, "SLICE_QUERIES", 4)
     r = np.random.default_rng(5)
     centres = r.normal(size=(6, 16))
     rows = [(i, (centres[i % 6] + 0.3 * r.normal(size=16)).astype("f4").tolist()) for i in range(1500)]
@@ -356,6 +361,19 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_two_levels_find_what_one_search_finds():
+    r = np.random.default_rng(8)
+    rows, asked, bounds = r.normal(size=(4000, 8)), r.normal(size=(50, 8)), r.uniform(0.5, 9, 50)
+    top = neighbours.Tree(rows, 8)
+    at = top.leaf(rows)
+    tree = neighbours.TwoLevels(top, [neighbours.Tree(rows[at == t], 4) for t in range(7)] + [neighbours.Tree(rows[:0], 4)])
+    leaf = tree.leaf(rows)
+    assert len(set(leaf.tolist())) == 29 == tree.first[-1] and len(set(zip(at.tolist(), leaf.tolist(), strict=True))) == 29
+    low, high = np.array([rows[leaf == x].min(0) for x in range(29)]), np.array([rows[leaf == x].max(0) for x in range(29)])
+    got = set(zip(*(c.tolist() for c in tree.within(asked, bounds, low, high)), strict=True))
+    assert got == set(zip(*(c.tolist() for c in np.nonzero(neighbours.box_distance(asked, low, high) <= bounds[:, None])), strict=True))
+
+
 def test_chi_square():
     x = neighbours.chi_square_radius(8, 0.05)
     assert abs(x - 15.507) < 0.01
@@ -409,10 +427,17 @@ def test_wrapped_licences(spark):
     assert [g[1:3] for g in got if g[0] == 6] == [(i, i) for i in range(301)]
 
 
+def plain_shingles(text):
+    """Five-word shingles as tuples of words, without the operator's hashes."""
+    words = re.findall(r"\w+", (text or "").lower())
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def brute_links(rows):
     sets = {}
-    for i, s in sorted(zip([r[0] for r in rows], jaccard_join.Shingler().sets([r[1] or "" for r in rows]), strict=True), key=lambda x: x[0]):
-        sets.setdefault(s.tobytes() or f"none{i}".encode(), (i, set(s.tolist())))
+    for i, text in sorted(r[:2] for r in rows):
+        s = plain_shingles(text)
+        sets.setdefault(s or i, (i, s))
     items = [v for v in sets.values() if v[1]]
     links, up = Counter(), {i: i for i, _ in sets.values()}
 
@@ -452,6 +477,18 @@ def test_jaccard_join(spark, odd, empty, monkeypatch):
     assert jaccard_join.near_classes(odd).count() == odd.count()
 
 
+def test_unlike_texts_do_not_chain(spark):
+    """Each text shares half of its shingles with the next: bands link nearly all of them, pruned pairs few."""
+    r = np.random.default_rng(4)
+    part = r.integers(1, 1 << 63, (302, 40), dtype=np.uint64)
+    sig = jaccard_join.signatures([np.unique(part[i : i + 3]) for i in range(300)])
+    base = np.unique(r.integers(1, 1 << 63, 100, dtype=np.uint64))
+    near = jaccard_join.signatures([base[n % 7 :] for n in range(40)])
+    reps = spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(np.concatenate([sig, near]))], "doc_id long, signature binary")
+    groups = Counter(r["component"] for r in jaccard_join.coarse_groups(reps).collect())
+    assert groups[300] == 40 and max(n for c, n in groups.items() if c != 300) <= 6
+
+
 def test_pruning_thresholds():
     least = jaccard_join.least_agreement()
     for n, a in least.items():

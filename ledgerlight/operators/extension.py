@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -52,6 +53,30 @@ def pandas_rule(name: str, check: Callable[[str], list[dict]], description: str
 class Explainer(Protocol):
     def explain_allow(self, text: str, n_steps: int) -> str: ...
 
+    def explain_block(self, rules: list[str], last_action: str | None) -> str: ...
+
+
+@dataclass(frozen=True)
+class ChatExplainer:
+    """An explainer by a chat client that the caller brings: ``send(messages, model, base_url, max_tokens)`` gives a text.
+
+    A service with the same protocol elsewhere is this one with another ``base_url`` (``dataclasses.replace``).
+    """
+
+    send: Callable[[list[dict], str, str, int], str]
+    model: str
+    base_url: str
+    max_tokens: int = 300
+
+    def _ask(self, task: str, content: str) -> str:
+        return self.send([{"role": "system", "content": task}, {"role": "user", "content": content}], self.model, self.base_url, self.max_tokens)
+
+    def explain_allow(self, text: str, n_steps: int) -> str:
+        return self._ask("Say in two or three plain sentences why an agent came to this output and how sure it seems.", f"Steps: {n_steps}\nOutput: {text}")
+
+    def explain_block(self, rules: list[str], last_action: str | None) -> str:
+        return self._ask("Say plainly why this action of an agent was blocked, and name the rules that it broke.", f"Rules: {', '.join(rules)}\nAction: {last_action}")
+
 
 def with_retry(call: Callable[[], str], retries: int = 2, wait_s: float = 0.6) -> str:
     """Calls again after 0.6 s, 1.2 s and so on; the last failure is raised."""
@@ -82,6 +107,26 @@ def explained(runs: DataFrame, explainer: Explainer, n_steps: Column, output: st
     return runs.withColumn("explanation", run(F.substring(output_text(runs, output), 1, 800), n_steps))
 
 
+def explained_blocks(verdicts: DataFrame, explainer: Explainer, last_action: Column, retries: int = 2) -> DataFrame:
+    """``explanation`` of blocked rows by an outside explainer, batch by batch; a fixed text stands in where it fails."""
+
+    def one(rules, action) -> str | None:
+        if rules is None:
+            return None
+        try:
+            return with_retry(lambda: explainer.explain_block(list(rules), action), retries)
+        except Exception:
+            return f"Action BLOCKED. Violated rule(s): {', '.join(rules)}. Human review required."
+
+    @F.pandas_udf("string")
+    def run(rules: pd.Series, actions: pd.Series) -> pd.Series:
+        return pd.Series([one(r, a) for r, a in zip(rules, actions, strict=True)], dtype=object)
+
+    told = run(F.when(F.col("blocked"), F.transform("violations", lambda v: v["rule"])), last_action)
+    other = F.col("explanation") if "explanation" in verdicts.columns else F.lit(None).cast("string")
+    return verdicts.withColumn("explanation", F.when(F.col("blocked"), told).otherwise(other))
+
+
 def resolve_explainer(explain: bool = True, configured: Explainer | None = None, custom: Explainer | None = None, environment: dict[str, str] | None = None, from_environment: Callable[[str], Explainer] | None = None) -> Explainer | None:
     """A custom explainer first, none if switched off, then a configured one, then one for the first key that is set."""
     if custom is not None:

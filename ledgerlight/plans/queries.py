@@ -155,6 +155,12 @@ def grounding_by_context(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("run_id", "status", F.size(G.grounded_against(F.col("output"), F.col("context"))).cast("bigint").alias("n_violations"))
 
 
+GROUNDING_BY_CONTEXT_SQL = f"""{O.runs()}, {", ".join(f"{status} AS (WITH {O.grounding_ctes((fixtures.CONTEXT[i],))} SELECT run_id, count(*) AS n FROM grounded GROUP BY 1)" for i, status in enumerate(("by_f", "by_o")))}
+SELECT r.run_id, o_orderstatus AS status, coalesce(CASE o_orderstatus WHEN 'F' THEN by_f.n WHEN 'O' THEN by_o.n END, 0) AS n_violations
+FROM runs r JOIN orders ON r.run_id = o_orderkey LEFT JOIN by_f ON r.run_id = by_f.run_id LEFT JOIN by_o ON r.run_id = by_o.run_id
+"""
+
+
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of conversations as stages: a turn is blocked when its number and conversation say so, some fail."""
     c = table(spark, sf, "conversations")
@@ -620,6 +626,7 @@ def oracle_sql() -> dict[str, str]:
         "claim_sentences": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, s AS sentence FROM claims",
         "grounding_steps": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, bad_years, bad_nums, flip, round(score, 6) AS score, supported FROM scored",
         "grounding_violations": f"{O.runs(O.grounding_ctes())} SELECT run_id, g, severity, evidence, confidence FROM grounded",
+        "grounding_by_context": GROUNDING_BY_CONTEXT_SQL,
         "short_circuit": f"WITH {STAGED} SELECT pipeline_id, ord, stage, audit_id, blocked, risk_level FROM ran",
         "skipped_stages": f"WITH {STAGED} SELECT pipeline_id, ord, stage FROM m WHERE before = 1",
         "lineage_hops": f"WITH {STAGED}, l AS (SELECT audit_id, stage, lag(audit_id) OVER w AS parent_trace_id, lag(stage) OVER w AS parent_stage FROM ran WINDOW w AS (PARTITION BY pipeline_id ORDER BY ord)) SELECT audit_id, parent_trace_id, parent_stage FROM l",

@@ -163,10 +163,10 @@ def chained(records: DataFrame, ledger: str, order: str, json_column: str, state
     return ordered.mapInArrow(run, "ledger string, seq bigint, prev_hash string, row_hash string, line string")
 
 
-def append(chained_rows: DataFrame, path: str) -> None:
-    """Write chained lines, a file for each ledger, as text."""
+def append(chained_rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write chained lines, a file for each ledger, as text; mode "overwrite" replaces the folder at ``path``."""
     one = chained_rows.repartition("ledger").sortWithinPartitions("ledger", "seq").select("ledger", F.col("line").alias("value"))
-    one.write.mode("append").partitionBy("ledger").text(path)
+    one.write.mode(mode).partitionBy("ledger").text(path)
 
 
 def append_plain(records: DataFrame, ledger: str, order: str, json_column: str, path: str) -> None:

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.extension import safe_callback
 from ..operators.report import stats
+from ..sources import ledger
+from ..sources.storage import exists
 
 
 def files(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", max_files: int | None = None) -> DataFrame:
@@ -56,21 +58,59 @@ def windowed(events: DataFrame, time: str = "ts", late: str = "10 minutes", size
     return events.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
 
 
-def breaker(stages: DataFrame) -> DataFrame:
+def breaker(stages: DataFrame, time: str | None = None, late: str = "10 minutes", idle_ms: int = 86_400_000) -> DataFrame:
     """Adds ``ran``: false for stages that come after a blocked one of their pipeline, across batches.
 
-    Needs pipeline_id, ord and blocked. Within a batch stages count in their order; the state is one flag a pipeline.
+    Needs pipeline_id, ord and blocked. Within a batch stages count in their order. Only blocked pipelines have state, one
+    flag each. With a ``time`` column the flag goes once the watermark, ``late`` behind the latest stage of any pipeline,
+    is ``idle_ms`` milliseconds past the pipeline's last stage, and stages behind the watermark don't count; without one
+    it stays.
     """
-    out = stages.select("pipeline_id", "ord", "blocked")
+    names = ["pipeline_id", "ord", "blocked"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stages.select(names).schema) + ", ran boolean"
+    timed = stages.select(names) if time is None else stages.withWatermark(time, late).select(*names, F.col(time).alias("__time"), F.unix_millis(time).alias("__ms"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_before = not (state.exists and state.get[0])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        open_before = not state.exists
         rows = pd.concat(list(batches)).sort_values("ord")
         before = rows["blocked"].cummax().shift(fill_value=False)
         rows["ran"] = open_before & ~before.astype(bool)
-        if rows["blocked"].any():
+        if rows["blocked"].any() or not open_before:
             state.update((True,))
-        yield rows[["pipeline_id", "ord", "blocked", "ran"]]
+            if time is not None:
+                state.setTimeoutTimestamp(max(int(rows["__ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+        yield rows[[*names, "ran"]]
 
-    schema = out.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ") + ", ran boolean"
-    return out.groupBy("pipeline_id").applyInPandasWithState(step, schema, "tripped boolean", "append", GroupStateTimeout.NoTimeout)
+    ends = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy("pipeline_id").applyInPandasWithState(step, schema, "tripped boolean", "append", ends)
+
+
+def ledger_batches(path: str, states: str, by: str, order: str, json_column: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: chains the records of each batch on to what the batches before it wrote.
+
+    Lines go to a folder for each batch under ``path``, which ``ledger.lines`` reads as a whole, and where every chain ends
+    then to ``states``; so nothing written is read again, and a batch that comes again replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark, own, before = batch.sparkSession, f"{path}/batch={n:012d}", None
+        if exists(spark, states):
+            ends = spark.read.schema("ledger string, prev_hash string, seq bigint, after bigint").parquet(states).filter(F.col("after") < n)
+            last = ends.agg(F.max("after")).first()[0]
+            before = None if last is None else ends.filter(F.col("after") == last).drop("after")
+        ledger.append(ledger.chained(batch, by, order, json_column, before), own, mode="overwrite")
+        after = ledger.chain_state(ledger.lines(spark, own))
+        if before is not None:
+            after = after.unionByName(before.join(after, "ledger", "left_anti"))
+        after.write.mode("overwrite").parquet(f"{states}/after={n}")
+
+    return write
+
+
+def to_ledger(records: DataFrame, path: str, states: str, checkpoint: str, by: str, order: str, json_column: str, every: str | None = None):
+    """Start appending a stream of records to chained ledgers, one for each value of ``by``."""
+    writer = records.writeStream.foreachBatch(ledger_batches(path, states, by, order, json_column)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

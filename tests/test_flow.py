@@ -159,18 +159,39 @@ def test_feeds(spark):
 
 
 def test_streams(spark, tmp_path):
-    stages = spark.createDataFrame([("p", 1, False), ("p", 2, True), ("p", 3, False), ("q", 1, False)], "pipeline_id string, ord int, blocked boolean")
-    stages.filter("ord <= 2").coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
-    stages.filter("ord > 2").coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
-    schema = "pipeline_id string, ord int, blocked boolean"
+    """A breaker over several triggers: a blocked pipeline stays so, until the watermark says that it has been idle."""
+    schema = "pipeline_id string, ord int, blocked boolean, ts timestamp"
     told = []
-    for part in ("1", "2"):
-        source = live.files(spark, str(tmp_path / "in" / "*"), schema)
-        del part
-    query = live.to_files(live.breaker(source), str(tmp_path / "out"), str(tmp_path / "cp"), on_batch=lambda b, n: told.append(n) or 1 / 0)
-    query.awaitTermination()
-    got = {(r["pipeline_id"], r["ord"]): r["ran"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {("p", 1): True, ("p", 2): True, ("p", 3): False, ("q", 1): True} and told
+
+    def trigger(n, *rows):
+        made = spark.createDataFrame(rows, "pipeline_id string, ord int, blocked boolean, minute int")
+        made.selectExpr("pipeline_id", "ord", "blocked", "timestamp_seconds(minute * 60) AS ts").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stages = live.breaker(live.files(spark, str(tmp_path / "in" / "*"), schema), "ts", "1 minute", 600_000)
+        live.to_files(stages, str(tmp_path / "out"), str(tmp_path / "cp"), on_batch=lambda b, n: told.append(n) or 1 / 0).awaitTermination(60)
+        return {(r["pipeline_id"], r["ord"]): r["ran"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    assert trigger(1, ("p", 1, False, 1), ("p", 2, True, 2), ("q", 1, False, 2)) == {("p", 1): True, ("p", 2): True, ("q", 1): True} and told
+    assert trigger(2, ("p", 3, False, 3), ("q", 2, False, 30))[("p", 3)] is False
+    assert trigger(3, ("p", 4, False, 31))[("p", 4)] is True
+
+
+def test_ledger_from_a_stream(spark, tmp_path):
+    """Batches chain on to each other, new ledgers come up, and a batch that comes again replaces itself."""
+    path, states = f"file://{tmp_path}/ledgers", f"file://{tmp_path}/states"
+    schema = "name string, o int, json string"
+    rows = lambda *r: spark.createDataFrame([(k, o, f'{{"id":"{k}{o}"}}') for k, o in r], schema)
+    write = live.ledger_batches(path, states, "name", "o", "json")
+    write(rows(("a", 0), ("a", 1), ("b", 0)), 0)
+    write(rows(("a", 2)), 1)
+    write(rows(("a", 2), ("c", 0)), 1)
+    write(rows(), 2)
+    write(rows(("b", 1), ("a", 3)), 3)
+    found = lambda: {r["ledger"]: (r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, path)).collect()}
+    assert found() == {"a": (4, True), "b": (2, True), "c": (1, True)}
+    rows(("d", 0), ("d", 1)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.files(spark, str(tmp_path / "in"), schema)
+    live.to_ledger(stream, f"{path}-2", f"{states}-2", str(tmp_path / "cp"), "name", "o", "json").awaitTermination()
+    assert [(r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, f"{path}-2")).collect()] == [(2, True)]
 
 
 def test_ledger_appended_twice(spark, tmp_path):

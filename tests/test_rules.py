@@ -1,12 +1,14 @@
 """Rules: positives, near misses and counts, from reading what the rules are to do."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import catalog as C
 from ledgerlight.functions.patterns import translate
 from ledgerlight.operators import scan
-from ledgerlight.operators.extension import approval_requests, intercepted, pandas_rule, resolve_explainer, with_approvals, with_retry
+from ledgerlight.operators.extension import ChatExplainer, approval_requests, explained_blocks, intercepted, pandas_rule, resolve_explainer, with_approvals, with_retry
 
 
 def found(spark, text, rules, options=None, keep=("rule", "severity")):
@@ -130,6 +132,23 @@ def test_interception_and_explainers(spark):
     assert resolve_explainer(custom="mine", explain=False) == "mine"
 
 
+def test_explained_blocks(spark):
+    asked = ChatExplainer(lambda messages, model, url, most: f"{url} {model} {most}: {messages[1]['content']}", "m", "one")
+    broken = ChatExplainer(lambda *_: 1 // 0, "m", "one")
+    rows = spark.sql("SELECT * FROM VALUES (true, array(named_struct('rule', 'r1'), named_struct('rule', 'r2')), 'old'), (false, array(), 'old') AS t(blocked, violations, explanation)")
+    told = lambda e: [r["explanation"] for r in explained_blocks(rows, e, F.lit("send"), retries=0).collect()]
+    assert told(replace(asked, base_url="two")) == ["two m 300: Rules: r1, r2\nAction: send", "old"]
+    assert told(broken) == ["Action BLOCKED. Violated rule(s): r1, r2. Human review required.", "old"]
+
+
+def test_names_of_the_package():
+    import ledgerlight
+
+    assert all(getattr(ledgerlight, name) is not None for name in ledgerlight.__all__)
+    with pytest.raises(AttributeError):
+        ledgerlight.nothing  # noqa: B018
+
+
 def test_scan_is_one_narrow_stage(spark, tmp_path):
     """No shuffle, no Python, and only the columns that are needed are read."""
     spark.createDataFrame([(1, "a@b.com", "unused")], "id int, output string, unread_column string").write.parquet(str(tmp_path / "t"))

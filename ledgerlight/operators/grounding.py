@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions.patterns import any_of
-from .scan import VIOLATION, Options, all_matches, java, violation
+from .scan import Options, all_matches, if_likely, java, nothing, violation
 
 RULE = "block_hallucination"
 MOST = 3
@@ -129,14 +129,13 @@ def _first_faults(text: Column, facts: Column) -> Column:
     """The first violations of a text's claims; without claims nothing is drawn from the context."""
     found = lambda claims: F.slice(F.filter(F.transform(claims, lambda s: judged(s, facts)), lambda v: v.isNotNull()), 1, MOST)
     claims = F.filter(sentences(text), is_claim)
-    return F.element_at(F.transform(F.array(claims), lambda c: F.when(F.size(c) == 0, F.array().cast(f"array<{VIOLATION}>")).otherwise(found(c))), 1)
+    return if_likely(text, [any_of(C.CLAIM_MARKERS)], F.element_at(F.transform(F.array(claims), lambda c: F.when(F.size(c) == 0, nothing()).otherwise(found(c))), 1))
 
 
 def grounded_against(text: Column, context: Column) -> Column:
     """Violations of ``text`` against a context column; a null or empty context checks nothing."""
-    empty = F.array().cast(f"array<{VIOLATION}>")
     found = F.element_at(F.transform(F.array(context_facts(context)), lambda facts: _first_faults(text, facts)), 1)
-    return F.when(context.isNull() | (context == "") | ~is_claim(text), empty).otherwise(found)
+    return F.when(context.isNull() | (context == "") | ~is_claim(text), nothing()).otherwise(found)
 
 
 @lru_cache(maxsize=64)
@@ -148,7 +147,7 @@ def _literal(context: str):
 def hallucination(text: Column, o: Options) -> Column:
     """The rule with context documents from the options, joined by single spaces; their facts are constants of the plan."""
     if not o.context:
-        return F.array().cast(f"array<{VIOLATION}>")
+        return nothing()
     f = _literal(" ".join(o.context))
     known = [F.struct(F.lit(n["value"]).alias("value"), F.lit(n["unit"]).alias("unit"), F.lit(n["raw"]).alias("raw")) for n in f["numbers"]]
     facts = F.struct(

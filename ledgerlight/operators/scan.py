@@ -1,7 +1,8 @@
 """Rule scan: text in, ordered violations out, as native column expressions.
 
 A violation is a struct (rule, description, evidence, severity, remediation, confidence). Every rule is one narrow
-projection, so a scan of any number of rules is one stage without a shuffle.
+projection, so a scan of any number of rules is one stage without a shuffle. Patterns run only on texts that hold one of
+their literal stems, which plain substring search tells.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalog as C
 from ..functions.patterns import any_of, translate
+from ..functions.stems import holds_any, stems_of
 
 VIOLATION = "struct<rule:string,description:string,evidence:string,severity:string,remediation:string,confidence:double>"
 REMEDIATION = {
@@ -69,6 +71,16 @@ def where(values: Column, make: Callable[[Column], Column], test: Callable[[Colu
     return F.transform(F.filter(values, test), make)
 
 
+def nothing() -> Column:
+    return F.array().cast(f"array<{VIOLATION}>")
+
+
+def if_likely(text: Column, patterns: Iterable[str], found: Column) -> Column:
+    """``found``, worked out only where one of the patterns may match ``text``, else nothing."""
+    some = stems_of(tuple(patterns))
+    return found if some is None else F.when(holds_any(text, some), found).otherwise(nothing())
+
+
 def all_matches(text: Column, pattern: str, ignore_case: bool = False, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), F.lit(group))
 
@@ -83,12 +95,13 @@ def group_rule(rule: str) -> Callable[[Column, Options], Column]:
     def check(text: Column, _: Options) -> Column:
         def one(group: C.Group) -> Column:
             cut = (lambda m: m) if group.cut is None else (lambda m: F.substring(m, 1, group.cut))
-            return where(F.array(first_match(text, group.patterns, group.exact)), lambda m: violation(rule, group.description, cut(m), group.severity), lambda m: m != "")
+            found = where(F.array(first_match(text, group.patterns, group.exact)), lambda m: violation(rule, group.description, cut(m), group.severity), lambda m: m != "")
+            return if_likely(text, group.patterns, found)
 
         found = F.concat(*[one(g) for g in C.GROUPS[rule]])
         if rule == "block_ai_identity_deception":
             allowed = F.lower(text).rlike(any_of([a.lower() for a in C.IDENTITY_ALLOWED]))
-            return F.when(allowed, F.array().cast(f"array<{VIOLATION}>")).otherwise(found)
+            return if_likely(text, [p for g in C.GROUPS[rule] for p in g.patterns], F.when(allowed, nothing()).otherwise(found))
         return found
 
     return check
@@ -109,7 +122,9 @@ def mask_email(email: Column) -> Column:
 
 def pii_matches(text: Column, kind: str) -> Column:
     found = all_matches(text, C.PII[kind])
-    return F.filter(found, luhn) if kind == "cc" else found
+    found = F.filter(found, luhn) if kind == "cc" else found
+    some = stems_of((C.PII[kind],))
+    return found if some is None else F.when(holds_any(text, some), found).otherwise(F.array().cast("array<string>"))
 
 
 def _pii_kind(text: Column, kind: str) -> Column:
@@ -141,7 +156,7 @@ def financial(text: Column, o: Options) -> Column:
     )
     large = F.slice(F.filter(all_matches(text, C.TRANSACTION), lambda a: amount_of(a) >= o.threshold), 1, 1)
     money = F.transform(large, lambda a: violation(rule, F.concat(F.lit("Output references transaction of "), a, F.lit(f" which exceeds threshold of ${plain(o.threshold)}")), a, F.when(amount_of(a) >= 10_000, "CRITICAL").otherwise("HIGH")))
-    return F.concat(words, money)
+    return F.concat(if_likely(text, [any_of(C.FINANCIAL_PHRASES)], words), if_likely(text, [C.TRANSACTION], money))
 
 
 def largest_amount(text: Column) -> Column:
@@ -160,7 +175,8 @@ def approval(text: Column, o: Options, approved_phrase: Column | None = None, ap
         lambda a: violation(rule, F.concat(F.lit("Transaction amount $"), written(a), F.lit(f" exceeds approval threshold of ${grouped(o.threshold)}")), F.concat(F.lit("$"), written(a)), F.when(a >= 10_000, "CRITICAL").otherwise("HIGH")),
         lambda a: (a >= o.threshold) & pending(approved_amount),
     )
-    return F.concat(phrase, amount)
+    # No amount counts as zero, which reaches a threshold of zero.
+    return F.concat(if_likely(text, [any_of(C.APPROVAL_PHRASES)], phrase), amount if o.threshold <= 0 else if_likely(text, [C.APPROVAL_AMOUNT], amount))
 
 
 def _grounding(text: Column, o: Options) -> Column:
@@ -221,7 +237,7 @@ def grouped(number: float) -> str:
 def violations_of(text: Column, rules: Iterable[str | Rule], options: Options | None = None) -> Column:
     """All rules' violations over ``text``, in the order of the rules."""
     found = [r.check(text, options or Options()) for r in resolve_rules(rules)]
-    return F.concat(*found) if found else F.array().cast(f"array<{VIOLATION}>")
+    return F.concat(*found) if found else nothing()
 
 
 def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None = None, output: str = "output") -> DataFrame:
@@ -229,6 +245,44 @@ def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None =
     return runs.withColumn("__text", output_text(runs, output)).withColumn("violations", violations_of(F.col("__text"), rules, options)).drop("__text")
 
 
+def catalog_table(spark: SparkSession) -> DataFrame:
+    """(name, rule, ord, bundles): every name that a rule may be asked for by, and the bundles that hold the rule."""
+    names = {r: r for r in C.RULES} | C.ALIASES
+    rows = [(n, r, C.RULES.index(r), sorted(b for b, own in C.BUNDLES.items() if n in own or r in own)) for n, r in names.items()]
+    return spark.createDataFrame(rows, "name string, rule string, ord int, bundles array<string>")
+
+
+def named_rules(runs: DataFrame, *keys: str, names: str = "rules", more: Iterable[Rule] = ()) -> DataFrame:
+    """(keys, pos, name, rule): what each run asks for, and the rule that answers to it; null if none does."""
+    known = catalog_table(runs.sparkSession).select("name", "rule")
+    own = [(r.name, r.name) for r in more]
+    known = known.unionByName(runs.sparkSession.createDataFrame(own, "name string, rule string")) if own else known
+    asked = runs.select(*keys, F.posexplode_outer(names).alias("pos", "name")).filter("pos is not null")
+    return asked.join(F.broadcast(known), "name", "left").select(*keys, "pos", "name", "rule")  # the catalog: a row for each name
+
+
+def unknown_names(runs: DataFrame, *keys: str, names: str = "rules", more: Iterable[Rule] = ()) -> DataFrame:
+    """(keys, name): names that no rule answers to."""
+    return named_rules(runs, *keys, names=names, more=more).filter("rule is null").select(*keys, "name")
+
+
+def scan_named(runs: DataFrame, names: str = "rules", options: Options | None = None, output: str = "output", more: Iterable[Rule] = ()) -> DataFrame:
+    """``runs`` with a column ``violations`` by the rules that each run names itself, in its order.
+
+    Names may be aliases; those that no rule answers to find nothing (``unknown_names`` tells them), nor does a null list.
+    Still one projection: a rule is worked out only on the runs that name it.
+    """
+    book = [*resolve_rules(C.RULES), *more]
+    aliases = F.create_map(*[F.lit(x) for pair in C.ALIASES.items() for x in pair])
+    asked = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.coalesce(F.element_at(aliases, n), n))
+    made = runs.withColumns({"__text": output_text(runs, output), "__asked": asked})
+    found = [F.when(F.array_contains("__asked", r.name), r.check(F.col("__text"), options or Options())).otherwise(nothing()) for r in book]
+    by_rule = F.map_from_arrays(F.array(*[F.lit(r.name) for r in book]), F.array(*found))
+    # Bound in a lambda, so that the map is made once for a run and not for each of its names.
+    every = F.element_at(F.transform(F.array(by_rule), lambda m: F.flatten(F.transform("__asked", lambda n: F.coalesce(F.element_at(m, n), nothing())))), 1)
+    return made.withColumn("violations", every).drop("__text", "__asked")
+
+
 def exploded(scanned: DataFrame, *keys: str) -> DataFrame:
     """One row for each violation: keys, ord (from 0), and the violation's fields.
 
@@ -249,6 +303,6 @@ def lite_violations(text: Column, rules: Iterable[str] = C.RULES) -> Column:
         hit = F.coalesce(*[F.when(m != "", violation(rule, d, None if rule in C.LITE_SILENT else F.substring(m, 1, 80), s, remediation="")) for m, d, s in tests])
         found = F.filter(F.array(hit), lambda v: v.isNotNull())
         if rule == "block_ai_identity_deception":
-            found = F.when(text.rlike(any_of(C.LITE_IDENTITY_ALLOWED)), F.array().cast(f"array<{VIOLATION}>")).otherwise(found)
-        parts.append(found)
-    return F.concat(*parts) if parts else F.array().cast(f"array<{VIOLATION}>")
+            found = F.when(text.rlike(any_of(C.LITE_IDENTITY_ALLOWED)), nothing()).otherwise(found)
+        parts.append(if_likely(text, [p for p, *_ in C.LITE[rule]], found))
+    return F.concat(*parts) if parts else nothing()

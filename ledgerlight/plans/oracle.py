@@ -102,6 +102,31 @@ grounded AS (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY
              FROM found WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n) <= 3)"""
 
 
+TRIM = r"^\s+|\s+$"
+
+
+def grounding_by_table(name: str, key: str, context: str) -> str:
+    """(key, n, bad_years, bad_nums, flip, score, supported): claims of a table against all texts of another, one by one."""
+    stop = ", ".join(map(quoted, C.STOPWORDS))
+    return f"""
+WITH k AS (SELECT text, lower(text) AS lower, list_transform(regexp_extract_all(text, {p(C.YEAR)}, 1), lambda y: CAST(y AS INT)) AS years, {numbers('text')} AS nums FROM {context} WHERE text IS NOT NULL),
+states AS (SELECT coalesce(bool_or(regexp_matches(text, {p(C.OBLIGATION, True)})), false) AS obliged, coalesce(bool_or(regexp_matches(text, {p(C.QUANTITY, True)})), false) AS limited, flatten(list(years)) AS years, flatten(list(nums)) AS nums, list(lower) AS lowers FROM k),
+split AS (SELECT {key}, list_filter(list_transform(string_split_regex(text, '[.!?;]+'), lambda s: regexp_replace(s, {p(TRIM)}, '', 'g')), lambda s: s <> '') AS ss FROM {name}),
+sent AS (SELECT {key}, generate_subscripts(ss, 1) - 1 AS n, unnest(ss) AS s FROM split),
+claims AS (SELECT *, {numbers('s')} AS own, list_distinct(list_transform(regexp_extract_all(s, {p(C.CUED_YEAR, True)}, 1), lambda y: CAST(y AS INT))) AS said,
+           list_filter(string_split_regex(regexp_replace(lower(s), '[^a-z0-9 ]', ' ', 'g'), '\\s+'), lambda w: len(w) > 2 AND w NOT IN ({stop})) AS tok FROM sent WHERE regexp_matches(s, {p(any_of(C.CLAIM_MARKERS), True)})),
+tokens AS (SELECT DISTINCT unnest(tok) AS t FROM claims), pairs AS (SELECT DISTINCT unnest([tok[i] || ' ' || tok[i + 1] FOR i IN range(1, len(tok))]) AS t FROM claims),
+held AS (SELECT t FROM (SELECT * FROM tokens UNION SELECT * FROM pairs), states WHERE len(list_filter(lowers, lambda l: contains(l, t))) > 0),
+shares AS (SELECT {key}, n, count(h.t) AS single FROM (SELECT {key}, n, unnest(tok) AS t FROM claims) c LEFT JOIN held h ON c.t = h.t GROUP BY ALL),
+two AS (SELECT {key}, n, count(h.t) AS held_pairs FROM (SELECT {key}, n, unnest([tok[i] || ' ' || tok[i + 1] FOR i IN range(1, len(tok))]) AS t FROM claims) c LEFT JOIN held h ON c.t = h.t GROUP BY ALL),
+steps AS (SELECT {key}, n, tok, len(list_filter(said, lambda y: NOT coalesce(list_contains(states.years, y), false))) AS bad_years,
+  len(list_filter(own, lambda x: coalesce(len(list_filter(states.nums, lambda k: k.unit = x.unit AND abs(k.value - x.value) / greatest(k.value, x.value, 1) <= 0.01)), 0) = 0)) AS bad_nums,
+  regexp_matches(s, {p(any_of(C.NEGATIONS), True)}) AND ((obliged AND (regexp_matches(s, {p(C.NEGATED_OBLIGATION[0], True)}) OR regexp_matches(s, {p(C.NEGATED_OBLIGATION[1], True)}))) OR (limited AND regexp_matches(s, {p(C.NEGATED_LIMIT, True)}))) AS flip,
+  coalesce(held_pairs, 0) / nullif(len(tok) - 1, 0) AS by_pair, coalesce(single, 0) / nullif(len(tok), 0) AS by_word FROM claims LEFT JOIN shares USING ({key}, n) LEFT JOIN two USING ({key}, n), states)
+SELECT {key}, n, bad_years, bad_nums, flip, round(CASE WHEN len(tok) = 0 THEN 1.0 WHEN len(tok) >= 4 AND by_pair >= 0.55 THEN by_pair ELSE by_word END, 6) AS score,
+  CASE WHEN len(tok) = 0 THEN true WHEN len(tok) >= 4 THEN by_pair >= 0.55 OR by_word >= 0.60 ELSE by_word >= 0.55 END AS supported FROM steps"""
+
+
 def runs(*more: str) -> str:
     return "WITH " + ", ".join([f"runs AS ({X.RUNS_SQL})", *more])
 

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..operators import context as K
 from ..operators import entities as E
 from ..operators import extension as X
 from ..operators import flow, report, scan, verdict
 from ..operators import grounding as G
 from ..sources import ledger as L
-from ..sources.storage import checkpointed, shared_folder
+from ..sources.storage import checkpointed, shared_folder, spread
 from ..streaming import live
 from . import fixtures
 from . import oracle as O
@@ -57,7 +58,7 @@ def _verdict(mode: str) -> Query:
 def _pii_counts(name: str, key: str, text: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         counts = {k: F.size(scan.pii_matches(F.col("t"), k)).cast("bigint") for k in C.PII_TEXTS}
-        return table(spark, sf, name).select(key, scan.scanned_text(text).alias("t")).select(key, *[c.alias(k) for k, c in counts.items()])
+        return spread(table(spark, sf, name).select(key, text), key).select(key, scan.scanned_text(text).alias("t")).select(key, *[c.alias(k) for k, c in counts.items()])
 
     return run
 
@@ -68,7 +69,7 @@ def _pii_sql(name: str, key: str, text: str) -> str:
 
 def document_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: personal data in whole documents, verdicts by risk level."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return report.stats(verdict.evaluate(docs, ["block_pii_leakage"], output="text"))
 
 
@@ -161,6 +162,47 @@ FROM runs r JOIN orders ON r.run_id = o_orderkey LEFT JOIN by_f ON r.run_id = by
 """
 
 
+def grounding_by_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The claims of documents, held against the table of benchmark passages."""
+    claimed = K.claims(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text")
+    found = K.judged(claimed, K.index_of(table(spark, sf, "benchmark")), "doc_id", "n")
+    return found.select("doc_id", F.col("n").cast("bigint").alias("n"), "bad_years", "bad_nums", "flip", F.round("score", 6).alias("score"), "supported")
+
+
+#: What runs ask for, by their keys; one name is an alias, one is nobody's.
+RULE_LISTS = (
+    ("block_pii_leakage", "require_human_approval"),
+    ("require_human_approval", "block_discrimination_output", "no_such_rule"),
+    ("block_harmful_content", "block_hallucination", "block_manipulation"),
+    ("block_financial_advice", "block_special_category_data", "block_prompt_injection", "block_legal_advice"),
+    (),
+)
+
+
+def _asking(spark: SparkSession, sf: str) -> DataFrame:
+    lists = F.array(*[F.array(*[F.lit(n) for n in names]).cast("array<string>") for names in RULE_LISTS])
+    return fixtures.runs(spark, sf).withColumn("rules", F.element_at(lists, (F.col("run_id") % len(RULE_LISTS) + 1).cast("int")))
+
+
+def rules_per_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run by the rules that it names itself."""
+    rows = scan.exploded(scan.scan_named(_asking(spark, sf), options=OPTIONS), "run_id")
+    return rows.select("run_id", F.col("ord").cast("int"), "rule", "severity", "evidence")
+
+
+def unknown_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.unknown_names(_asking(spark, sf), "run_id")
+
+
+def _rules_per_run_sql() -> str:
+    parts = []
+    for i, names in enumerate(RULE_LISTS):
+        for j, rule in enumerate(C.ALIASES.get(n, n) for n in names if n != "no_such_rule"):
+            rows = O.rule_rows(rule) if rule != "block_hallucination" else "SELECT run_id, g, severity, evidence FROM grounded"
+            parts.append(f"SELECT run_id, {j} AS r, g, {O.quoted(rule)} AS rule, severity, evidence FROM ({rows}) WHERE run_id % {len(RULE_LISTS)} = {i}")
+    return f"{O.runs(O.grounding_ctes(), 'v AS (' + ' UNION ALL '.join(parts) + ')')} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY r, g) - 1 AS INT) AS ord, rule, severity, evidence FROM v"
+
+
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of conversations as stages: a turn is blocked when its number and conversation say so, some fail."""
     c = table(spark, sf, "conversations")
@@ -279,8 +321,8 @@ LEDGER_VERIFY_SQL = FAULTS + """SELECT ledger, count(*) AS total_records, count(
 
 
 def ledger_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts written as chained lines, a ledger for each agent, read again and verified."""
-    v = verdicts(spark, sf).withColumns({"id": F.col("audit_id"), "ledger": F.coalesce("agent_name", F.lit("none"))})
+    """Verdicts written as chained lines, customers dealt out over the ledgers, read again and verified."""
+    v = verdicts(spark, sf).withColumns({"id": F.col("audit_id"), "ledger": F.concat(F.lit("c-"), (F.col("pipeline_id") % 500).cast("string"))})
     kept = v.withColumn("json", L.payload(v, ["id", "blocked", "risk_level", "reason", "violations", "agent_name"]))
     path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     L.append(L.chained(kept, "ledger", "line_no", "json"), path)
@@ -330,8 +372,8 @@ _LEDGER_KEY = "CASE WHEN o_orderkey % 3 = 0 THEN 'main + 1' ELSE 'l:' || CAST(o_
 def _appended_twice(spark: SparkSession, sf: str, second: DataFrame) -> str:
     """Path of ledgers whose even orders were appended first, and carried on by ``second``."""
     path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    L.append(L.chained(_plain_rows(spark, sf).filter("o % 2 = 0"), "ledger", "o", "json"), path)
-    L.append(checkpointed(L.chained(second, "ledger", "o", "json", L.chain_state(L.lines(spark, path)))), path)
+    done = L.append(L.chained(_plain_rows(spark, sf).filter("o % 2 = 0"), "ledger", "o", "json"), path)
+    L.append(L.chained(second, "ledger", "o", "json", L.chain_state(L.lines(spark, path))), path, after=done)
     return path
 
 
@@ -352,6 +394,36 @@ def ledger_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return L.integrity(L.lines(spark, path)).select("ledger", "total_records", "intact").join(seen, "ledger").join(ends, "ledger")
 
 
+def ledger_many_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Two folders of ledgers in three appends each, one of them tried twice, read by a pattern and verified."""
+    at = f"{shared_folder(spark)}/ledgers-{uuid.uuid4().hex}"
+    for side in (0, 1):
+        path, rows = f"{at}/side{side}", _plain_rows(spark, sf).filter(F.col("o") % 2 == side)
+        for part in (0, 1, 2, 2):
+            done, state = L.last_commit(spark, path), L.chain_state(L.lines(spark, path))
+            own = rows.filter(F.pmod(F.floor(F.col("o") / 2), F.lit(3)) == part)
+            L.append(L.chained(own, "ledger", "o", "json", state), path, after=done, append_id=f"part-{part}")
+    return L.integrity(L.lines(spark, f"{at}/side*"))
+
+
+LEDGER_MANY_SQL = """
+SELECT 'side' || CAST(o_orderkey % 2 AS BIGINT) || '/' || {key} AS ledger, count(*) AS total_records, CAST(0 AS BIGINT) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1
+"""
+#: Valid lines whose row_hash stands elsewhere, with a nested one, or changed besides.
+REORDERED = """
+CASE seq % 5 WHEN 1 THEN concat('{"row_hash":"', row_hash, '",', substr(line, 2, length(line) - 80), '}')
+ WHEN 2 THEN concat('{"row_hash":"', row_hash, '",', replace(substr(line, 2, length(line) - 80), '"amount":', '"amount":9'), '}')
+ WHEN 3 THEN replace(concat(substr(line, 1, length(line) - 79), '}'), ',"prev_hash"', concat(',"row_hash":"', row_hash, '","prev_hash"'))
+ WHEN 4 THEN concat('{"a":{"row_hash":"', row_hash, '"},', substr(line, 2)) ELSE line END
+"""
+
+
+def ledger_reordered_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines whose own hash is judged wrong, by where among their keys it stands and whether more was changed."""
+    rows = _chain(spark, sf).select("ledger", F.col("seq").alias("line_no"), F.expr(REORDERED).alias("line"))
+    return L.faults(rows).select("ledger", "line_no", "bad_hash", "bad_link", "gap")
+
+
 def ledger_plain(spark: SparkSession, sf: str) -> DataFrame:
     """Lines appended without a chain: readable, and legacy to the verifier."""
     path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
@@ -424,6 +496,36 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(F.col("window.start").cast("string").alias("start"), "event_type", "n")
 
 
+def _late_stream(spark: SparkSession, sf: str, slide: str | None) -> DataFrame:
+    """Events as a stream in three goes: the earlier half but for each tenth event, the later half so, then those tenths."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    half = events.agg(F.expr("timestamp_micros((min(unix_micros(ts)) + max(unix_micros(ts))) div 2)")).first()[0]
+    early, tenth = F.col("ts") < F.lit(half), F.col("event_id") % 10 == 0
+    for n, part in enumerate((~tenth & early, ~tenth & ~early, tenth)):
+        events.filter(part).write.parquet(f"{at}/in/go={n}")
+        found = live.windowed(live.files(spark, f"{at}/in/*", "event_id bigint, event_type string, ts timestamp"), "ts", "10 minutes", "1 hour", "event_type", slide=slide)
+        live.to_files(found.select(F.col("window.start").alias("start"), "event_type", "n"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{at}/out").select(F.col("start").cast("string").alias("start"), "event_type", "n")
+
+
+def event_windows_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours that have ended for good, without the rows that came after that."""
+    return _late_stream(spark, sf, None)
+
+
+def event_windows_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return _late_stream(spark, sf, "20 minutes")
+
+
+LATE_SQL = """
+WITH w AS (SELECT max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 10 MINUTE AS before, max(ts) - INTERVAL 10 MINUTE AS after FROM events),
+e AS (SELECT event_id, event_type, unnest([time_bucket(INTERVAL '{slide} minutes', ts) - to_minutes({slide} * i) FOR i IN range(60 // {slide})]) AS start FROM events)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM e, w
+WHERE start + INTERVAL 1 HOUR <= after AND (event_id % 10 <> 0 OR start + INTERVAL 1 HOUR > before) GROUP BY ALL
+"""
+
+
 def _on_verdicts(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: make(verdicts(spark, sf))
 
@@ -549,6 +651,9 @@ def queries() -> dict[str, Query]:
         "overlap_score": _step("not supported", "score"),
         "grounding_violations": grounding_violations,
         "grounding_by_context": grounding_by_context,
+        "grounding_by_document": grounding_by_document,
+        "rules_per_run": rules_per_run,
+        "unknown_rules": unknown_rules,
         "short_circuit": short_circuit,
         "skipped_stages": skipped_stages,
         "lineage_hops": lineage_hops,
@@ -590,8 +695,12 @@ def queries() -> dict[str, Query]:
         "intercepted_calls": intercepted_calls,
         "event_ages": event_ages,
         "event_windows": event_windows,
+        "event_windows_late": event_windows_late,
+        "event_windows_sliding": event_windows_sliding,
         "ledger_append_twice": ledger_append_twice,
         "ledger_mixed": ledger_mixed,
+        "ledger_many_files": ledger_many_files,
+        "ledger_reordered_keys": ledger_reordered_keys,
         "ledger_plain": ledger_plain,
         "ledger_tail": ledger_tail,
         "step_index": step_index,
@@ -627,6 +736,9 @@ def oracle_sql() -> dict[str, str]:
         "grounding_steps": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, bad_years, bad_nums, flip, round(score, 6) AS score, supported FROM scored",
         "grounding_violations": f"{O.runs(O.grounding_ctes())} SELECT run_id, g, severity, evidence, confidence FROM grounded",
         "grounding_by_context": GROUNDING_BY_CONTEXT_SQL,
+        "grounding_by_document": O.grounding_by_table("documents", "doc_id", "benchmark"),
+        "rules_per_run": _rules_per_run_sql(),
+        "unknown_rules": "SELECT o_orderkey AS run_id, 'no_such_rule' AS name FROM orders WHERE o_orderkey % 5 = 1",
         "short_circuit": f"WITH {STAGED} SELECT pipeline_id, ord, stage, audit_id, blocked, risk_level FROM ran",
         "skipped_stages": f"WITH {STAGED} SELECT pipeline_id, ord, stage FROM m WHERE before = 1",
         "lineage_hops": f"WITH {STAGED}, l AS (SELECT audit_id, stage, lag(audit_id) OVER w AS parent_trace_id, lag(stage) OVER w AS parent_stage FROM ran WINDOW w AS (PARTITION BY pipeline_id ORDER BY ord)) SELECT audit_id, parent_trace_id, parent_stage FROM l",
@@ -647,6 +759,8 @@ def oracle_sql() -> dict[str, str]:
         "intercepted_calls": "SELECT CASE event_type WHEN 'purchase' THEN 'run' WHEN 'view' THEN 'query' END AS action, count(*) AS n FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1",
         "event_ages": "WITH a AS (SELECT event_id, epoch(TIMESTAMP '2025-01-01') - floor(epoch(ts)) AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || 's ago' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ago' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ago' ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ago' END AS ago FROM a",
         "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "event_windows_late": LATE_SQL.format(slide=60),
+        "event_windows_sliding": LATE_SQL.format(slide=20),
         "temporal_mismatch": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, bad_years FROM scored WHERE bad_years > 0",
         "numeric_ungrounded": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, bad_nums FROM scored WHERE bad_nums > 0",
         "negation_flip": f"{O.runs(O.grounding_ctes())} SELECT run_id, n, flip FROM scored WHERE flip",
@@ -657,6 +771,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_verdicts": f"{_STREAM_CTE} SELECT event_id, blocked, risk_level FROM s",
         "stream_stats": f"{_STREAM_CTE} SELECT risk_level, count(*) AS total, count(*) FILTER (WHERE blocked) AS blocked FROM s GROUP BY 1",
         "ledger_append_twice": f"SELECT {_LEDGER_KEY} AS ledger, count(*) AS total_records, CAST(0 AS BIGINT) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1",
+        "ledger_many_files": LEDGER_MANY_SQL.format(key=_LEDGER_KEY),
+        "ledger_reordered_keys": f"WITH {CHAIN} SELECT ledger, seq AS line_no, seq % 5 IN (2, 4) AS bad_hash, false AS bad_link, false AS gap FROM c",
         "ledger_plain": f"SELECT {_LEDGER_KEY} AS ledger, count(*) AS total_records, count(*) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1",
         "ledger_mixed": f"SELECT {_LEDGER_KEY} AS ledger, count(*) + 1 AS total_records, true AS intact, count(*) AS traces, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS blocked, 'p-' || {_LEDGER_KEY} AS pipeline_id, count(*) AS summarised FROM orders GROUP BY 1, 6",
         "ledger_tail": FAULTS + ", b AS (SELECT ledger, min(line_no) FILTER (WHERE corrupt) AS bad FROM f GROUP BY 1) SELECT ledger, CAST(line_no AS INT) AS line_no, coalesce(sq, -1) AS seq FROM f JOIN b USING (ledger) WHERE b.bad IS NULL OR line_no < b.bad QUALIFY row_number() OVER (PARTITION BY ledger ORDER BY line_no DESC) <= 3",

@@ -1,23 +1,34 @@
 """The audit ledger: append-only files of JSON lines, each line chained to the one before by SHA-256.
 
-A ledger is one folder of appended files, one file, or one value of a key column. Chaining is sequential by nature, so scale comes from many ledgers;
-within one, a task streams its lines in constant memory. Verifying a line's own hash needs no order at all; only links
-between neighbours do.
+A folder of ledgers holds one ledger for each value of a key column. An append writes its lines to a folder of its own and
+then takes the next commit number by creating a file that can be created once only, so a half-written append is invisible,
+and of two writers that go on from the same state one fails. Lines are ordered by commit number and place in the commit's
+file; times and names of files don't count, so folders may be copied and touched. A plain file of lines is a ledger too.
+
+Chaining is sequential by nature, so scale comes from many ledgers; within one, a task streams its lines in constant memory.
+Reading and verifying aren't: lines are numbered by file split and verified in segments, each of which yields where it ends,
+and only those ends are looked at in order. Verifying a line's own hash needs no order at all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import exists
+from .storage import exists, listed, matching, publish
 
 GENESIS = "0" * 64
 SUMMARY = "pipeline_summary"
+#: Name of the ledger of records whose key is null or empty.
+NO_KEY = "(none)"
+#: Lines of a segment that a verifier looks at in order.
+SEGMENT = 1 << 16
 _VIOLATIONS = "array<struct<rule:string,description:string,evidence:string,severity:string,remediation:string,confidence:double>>"
 _STEPS = "array<struct<stepIndex:int,timestamp:string,action:string,input:string,output:string,durationMs:bigint,metadata:map<string,string>>>"
 _STAGES = f"array<struct<name:string,auditId:string,parentTraceId:string,blocked:boolean,riskLevel:string,violations:{_VIOLATIONS},explanation:string,result:string,durationMs:bigint>>"
@@ -47,21 +58,61 @@ def _decoded(part: Column) -> Column:
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
+def _plain_path(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
+class AppendConflict(RuntimeError):
+    """Another append has taken the commit number: read the ledgers' state again, and chain on from that."""
+
+
+def commits(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """(number, folder, append id) of the appends to the ledgers at ``path``, a row for each append."""
+    if not exists(spark, f"{path}/_commits"):
+        return []
+    found = spark.read.text(f"{path}/_commits/[0-9]*").select(F.regexp_extract("_metadata.file_path", r"(\d+)$", 1).cast("bigint"), F.split("value", " ", 2))
+    return sorted((n, parts[0], parts[1] if len(parts) > 1 else "") for n, parts in found.collect())
+
+
+def last_commit(spark: SparkSession, path: str) -> int:
+    """The number of the last append, 0 before the first. Give what it was before ``chain_state`` to ``append``."""
+    return max((n for n, _, _ in commits(spark, path)), default=0)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(ledger, line_no, line) with exact bytes and numbers from 0; empty lines don't count, a missing file has none.
 
-    A ledger is what one ``ledger=`` folder of ``append`` holds, its files in the order in which they were written, or else
-    a file. Files are read by lines and in parts, so a ledger may be of any size; numbers come from a sort by place.
+    ``path`` may be a pattern; one that matches nothing raises. A ledger is what one ``ledger=`` folder holds, by commits or
+    else by the names of its files, or a file by itself. If several folders match, names of ledgers start with the folder's.
+    Files are read by lines and in parts, so a ledger may be of any size: lines are numbered within their part, and parts by
+    the number of lines before them.
     """
-    if not exists(spark, path_of(path)):
-        return spark.createDataFrame([], "ledger string, line_no int, line string")
-    found = spark.read.option("lineSep", "\n").text(path_of(path)).filter("value <> ''").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line")
+    places = matching(spark, path_of(path))
+    by_commits = [p for p in places if exists(spark, f"{p}/_commits")]
+    appended = [(place, *c) for place in by_commits for c in commits(spark, place)]
+    # Besides its appends a folder may hold ledgers from before there were commits: those lines come first.
+    plain = [p for p in places if p not in by_commits] + [f for p in by_commits for f in listed(spark, f"{p}/ledger=*")]
+    folders = [f"{place}/{folder}" for place, _, folder, _ in appended]
+    if not plain and not folders:
+        return spark.createDataFrame([], "ledger string, line_no bigint, line string")
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").schema("value string")
+    found = reader.text([*plain, *folders]).filter("value <> ''").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line")
     )
-    folder = _decoded(_decoded(F.regexp_extract("file", "/ledger=([^/]+)/[^/]+$", 1)))  # once as a URL, once as a folder's name
-    found = found.withColumn("ledger", F.when(folder == "", F.col("file")).otherwise(folder))
-    place = Window.partitionBy("ledger").orderBy("written", "file", "part", "nth")
-    return found.select("ledger", (F.row_number().over(place) - 1).cast("int").alias("line_no"), "line")
+    names = {p: p.rstrip("/").rpartition("/")[2] for p in places}
+    names = names if len(set(names.values())) == len(places) else {p: p for p in places}
+    numbers = spark.createDataFrame([(_plain_path(f"{place}/{folder}"), n, names[place]) for place, n, folder, _ in appended], "folder string, commit bigint, place string")
+    folder = F.regexp_replace(_decoded(F.regexp_extract("file", "^(.*/data-[0-9a-f]{32})/", 1)), "^file:/+", "file:/")
+    found = found.withColumn("folder", folder).join(F.broadcast(numbers), "folder", "left")  # a row for each append
+    key = _decoded(_decoded(F.regexp_extract("file", "/ledger=([^/]+)/[^/]+$", 1)))  # once as a URL, once as a folder's name
+    place = F.coalesce("place", F.regexp_extract("file", "([^/]+)/ledger=[^/]+/[^/]+$", 1))
+    named = key if len(places) == 1 else F.concat(place, F.lit("/"), key)
+    found = found.withColumns({"ledger": F.when(key == "", F.col("file")).otherwise(named), "commit": F.coalesce("commit", F.lit(0))})
+    sizes = found.groupBy("ledger", "commit", "file", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("ledger").orderBy("commit", "file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("file", "part").orderBy("nth")) - 1
+    return found.withColumn("within", within).join(starts, ["file", "part"]).select("ledger", (F.col("start") + F.col("within")).alias("line_no"), "line")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -137,9 +188,26 @@ def chain_state(raw: DataFrame) -> DataFrame:
     return last.select("ledger", F.coalesce(r["row_hash"], F.lit(GENESIS)).alias("prev_hash"), seq.cast("bigint").alias("seq"))
 
 
+def ledger_key(key: Column) -> Column:
+    """What names a record's ledger: its key as text; null and empty keys share one."""
+    return F.coalesce(F.nullif(key.cast("string"), F.lit("")), F.lit(NO_KEY))
+
+
+def linked(text: str | None, seq: int, prev: str) -> tuple[str, str]:
+    """(line, its hash): a record's JSON with its place in the chain. Null stands for an empty object; line ends become
+    blanks; what isn't an object raises."""
+    body = ("{}" if text is None else text).strip().replace("\n", " ")
+    if not (body.startswith("{") and body.endswith("}")):
+        raise ValueError(f"a ledger's records are JSON objects, not {body[:80]!r}")
+    start = f"{body[:-1]}," if body[1:-1].strip() else "{"
+    hashed = f'{start}"seq":{seq},"prev_hash":"{prev}"}}'
+    digest = hashlib.sha256(hashed.encode()).hexdigest()
+    return f'{hashed[:-1]},"row_hash":"{digest}"}}', digest
+
+
 def chained(records: DataFrame, ledger: str, order: str, json_column: str, state: DataFrame | None = None) -> DataFrame:
     """(ledger, seq, prev_hash, row_hash, line): records of each ledger in order, chained on from ``state``."""
-    rows = records.select(F.col(ledger).cast("string").alias("ledger"), F.col(order).alias("o"), F.col(json_column).alias("json"))
+    rows = records.select(ledger_key(F.col(ledger)).alias("ledger"), F.col(order).alias("o"), F.col(json_column).alias("json"))
     if state is not None:
         rows = rows.join(state.select("ledger", F.col("prev_hash").alias("p"), F.col("seq").alias("s")), "ledger", "left")
     else:
@@ -152,9 +220,8 @@ def chained(records: DataFrame, ledger: str, order: str, json_column: str, state
             for key, text, p, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     now, prev, seq = key, p or GENESIS, s or 0
-                body = f'{text[:-1]},"seq":{seq},"prev_hash":"{prev}"}}'
-                digest = hashlib.sha256(body.encode()).hexdigest()
-                out.append((key, seq, prev, digest, f'{body[:-1]},"row_hash":"{digest}"}}'))
+                line, digest = linked(text, seq, prev)
+                out.append((key, seq, prev, digest, line))
                 prev, seq = digest, seq + 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["ledger", "seq", "prev_hash", "row_hash", "line"])
@@ -163,33 +230,82 @@ def chained(records: DataFrame, ledger: str, order: str, json_column: str, state
     return ordered.mapInArrow(run, "ledger string, seq bigint, prev_hash string, row_hash string, line string")
 
 
-def append(chained_rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write chained lines, a file for each ledger, as text; mode "overwrite" replaces the folder at ``path``."""
+def _commit(rows: DataFrame, path: str, after: int | None, append_id: str) -> int:
+    """Write rows (ledger, value) as one append; its number."""
+    spark = rows.sparkSession
+    done = commits(spark, path)
+    again = [n for n, _, own in done if append_id and own == append_id]
+    if again:
+        return again[0]
+    number = (max((n for n, _, _ in done), default=0) if after is None else after) + 1
+    if re.search(r"\s", append_id):
+        raise ValueError("an append id has no white space")
+    folder = f"data-{uuid.uuid4().hex}"
+    rows.write.partitionBy("ledger").text(f"{path}/{folder}")
+    if not publish(spark, f"{path}/_commits/{number:012d}", f"{folder} {append_id}".strip()):
+        raise AppendConflict(f"another append to {path} has taken number {number}")
+    return number
+
+
+def append(chained_rows: DataFrame, path: str, after: int | None = None, append_id: str = "") -> int:
+    """Append chained lines to the ledgers at ``path``, a file for each ledger; the append's number.
+
+    ``after`` is the last commit that the rows were chained on from: if another append has come since, this one raises
+    AppendConflict and shows nothing. An append whose ``append_id`` is there already does nothing, so it may be tried again.
+    What failed appends have written stays in folders that no commit names.
+    """
     one = chained_rows.repartition("ledger").sortWithinPartitions("ledger", "seq").select("ledger", F.col("line").alias("value"))
-    one.write.mode(mode).partitionBy("ledger").text(path)
+    return _commit(one, path, after, append_id)
+
+
+def append_plain(records: DataFrame, ledger: str, order: str, json_column: str, path: str, append_id: str = "") -> int:
+    """Append lines without a chain, as the lite dialect does; a verifier counts them as legacy. A ledger's lines go to as
+    many files as its size asks for, in order by their names."""
+    rows = records.select(ledger_key(F.col(ledger)).alias("ledger"), F.col(order).alias("o"), F.col(json_column).alias("value"))
+    dealt = rows.repartitionByRange("ledger", "o").sortWithinPartitions("ledger", "o").select("ledger", "value")
+    return _commit(dealt, path, None, append_id)
+
 
+def _hash_fits(line: Column, row_hash: Column) -> Column:
+    """Whether a line without its row_hash has that hash, the other bytes as they are, wherever among its keys that stands.
 
-def append_plain(records: DataFrame, ledger: str, order: str, json_column: str, path: str) -> None:
-    """Append lines without a chain, as the lite dialect does; a verifier counts them as legacy."""
-    append(records.select(F.col(ledger).cast("string").alias("ledger"), F.col(order).alias("seq"), F.col(json_column).alias("line")), path)
+    At its end, where lines are written with it, one replacement finds it. Elsewhere nested objects may hold such a pair as
+    well, so leaving out any of the pairs with this very hash may fit.
+    """
+    last = F.sha2(F.concat(F.regexp_replace(line, r',"row_hash":"[^"]*"\}\s*$', ""), F.lit("}")), 256)
+    pair = F.concat(F.lit('"row_hash":"'), row_hash, F.lit('"'))
+
+    def without(parts: Column, i: Column) -> Column:
+        left, right = (F.call_function("array_join", side, pair) for side in (F.slice(parts, 1, i), F.slice(parts, i + 1, F.size(parts) - i)))
+        return F.when(left.endswith(","), F.concat(F.substr(left, F.lit(1), F.length(left) - 1), right)).otherwise(F.concat(left, F.regexp_replace(right, "^,", "")))
+
+    pieces = F.split(line, F.concat(F.lit(r"\Q"), pair, F.lit(r"\E")))
+    any_fits = F.exists(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.sha2(without(pieces, i), 256) == row_hash)
+    return F.when(last == row_hash, True).when(row_hash.rlike("^[0-9a-f]{64}$") & (F.size(pieces) > 1), any_fits).otherwise(False)
 
 
 def faults(raw: DataFrame) -> DataFrame:
-    """Lines (ledger, line_no, line) with what the verifier finds: legacy, corrupt, gap, bad_link, bad_hash, expected_seq."""
-    w = Window.partitionBy("ledger").orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    """Lines (ledger, line_no, line) with what the verifier finds: legacy, corrupt, gap, bad_link, bad_hash, expected_seq.
+
+    A first pass finds the last chained line of each segment of SEGMENT lines; what is the last one before each segment is
+    worked out from these alone. A second one judges the lines, each segment by itself.
+    """
     p = parsed(raw).select("ledger", "line_no", "line", "corrupt", "r.row_hash", "r.prev_hash", "r.seq", F.coalesce("r.id", "r.audit_id", "r.pipeline_id", F.lit("unknown")).alias("id"))
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    p = p.withColumn("legacy", ~F.col("corrupt") & (empty("row_hash") | empty("prev_hash") | F.col("seq").isNull()))
+    p = p.withColumns({"legacy": ~F.col("corrupt") & (empty("row_hash") | empty("prev_hash") | F.col("seq").isNull()), "segment": F.floor(F.col("line_no") / SEGMENT)})
     valid = ~F.col("corrupt") & ~F.col("legacy")
-    p = p.withColumn("__last", F.last(F.when(valid, F.struct("row_hash", "seq", "line_no")), ignorenulls=True).over(before))
+    chained_line = F.when(valid, F.struct("line_no", "seq", "row_hash"))
+    before = Window.partitionBy("ledger").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    ends = p.groupBy("ledger", "segment").agg(F.max(chained_line).alias("end")).withColumn("carried", F.last("end", ignorenulls=True).over(before))
+    p = p.join(ends.filter("carried is not null").select("ledger", "segment", "carried"), ["ledger", "segment"], "left")
+    inside = Window.partitionBy("ledger", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("__last", F.coalesce(F.last(chained_line, ignorenulls=True).over(inside), "carried"))
     expected = F.coalesce(F.col("__last.seq") + F.col("line_no") - F.col("__last.line_no"), F.col("line_no").cast("bigint"))
-    body = F.concat(F.regexp_replace("line", r',"row_hash":"[^"]*"\}\s*$', ""), F.lit("}"))
     return p.select(
         "ledger", "line_no", "id", "seq", "corrupt", "legacy", expected.alias("expected_seq"),
         (valid & (F.col("seq") != expected)).alias("gap"),
         (valid & (F.col("prev_hash") != F.coalesce("__last.row_hash", F.lit(GENESIS)))).alias("bad_link"),
-        (valid & (F.sha2(body, 256) != F.col("row_hash"))).alias("bad_hash"),
+        (valid & ~_hash_fits(F.col("line"), F.col("row_hash"))).alias("bad_hash"),
     )
 
 

@@ -1,12 +1,16 @@
 """Grounding, verdicts, pipelines, entities, ledger, reports and streams."""
 
 import json
+import os
+import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import entities, flow, report, scan, verdict
 from ledgerlight.sources import ledger
+from ledgerlight.sources.storage import checkpointed, publish
 from ledgerlight.streaming import live
 
 CONTEXT = {
@@ -167,31 +171,85 @@ def test_streams(spark, tmp_path):
         made = spark.createDataFrame(rows, "pipeline_id string, ord int, blocked boolean, minute int")
         made.selectExpr("pipeline_id", "ord", "blocked", "timestamp_seconds(minute * 60) AS ts").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
         stages = live.breaker(live.files(spark, str(tmp_path / "in" / "*"), schema), "ts", "1 minute", 600_000)
-        live.to_files(stages, str(tmp_path / "out"), str(tmp_path / "cp"), on_batch=lambda b, n: told.append(n) or 1 / 0).awaitTermination(60)
+        live.to_files(stages, str(tmp_path / "out"), str(tmp_path / "cp"), on_batch=lambda b, n: told.append(n) or 1 / 0).awaitTermination(120)
         return {(r["pipeline_id"], r["ord"]): r["ran"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
 
     assert trigger(1, ("p", 1, False, 1), ("p", 2, True, 2), ("q", 1, False, 2)) == {("p", 1): True, ("p", 2): True, ("q", 1): True} and told
-    assert trigger(2, ("p", 3, False, 3), ("q", 2, False, 30))[("p", 3)] is False
-    assert trigger(3, ("p", 4, False, 31))[("p", 4)] is True
+    assert trigger(2, ("p", 3, False, 3), ("q", 2, False, 30))[("p", 3)] is False  # another start, from the checkpoint
+    assert trigger(3, ("p", 4, False, 31))[("p", 4)] is True  # idle since minute 3
+    assert ("q", 9) not in trigger(4, ("q", 9, True, 1))  # behind the watermark
+
+
+def test_breaker_without_time_keeps_its_flags(spark, tmp_path):
+    schema = "pipeline_id string, ord int, blocked boolean"
+    for n, rows in enumerate(([("p", 2, True), ("p", 1, False), ("p", None, False)], [("p", 3, False), ("q", 1, False)])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / str(n)))
+        live.to_files(live.breaker(live.files(spark, str(tmp_path / "in" / "*"), schema)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {(r["pipeline_id"], r["ord"]): r["ran"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("p", None): True, ("p", 1): True, ("p", 2): True, ("p", 3): False, ("q", 1): True}
+
+
+def verified(spark, path):
+    return {r["ledger"]: (r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, path)).collect()}
 
 
 def test_ledger_from_a_stream(spark, tmp_path):
-    """Batches chain on to each other, new ledgers come up, and a batch that comes again replaces itself."""
-    path, states = f"file://{tmp_path}/ledgers", f"file://{tmp_path}/states"
-    schema = "name string, o int, json string"
+    """A ledger that was begun in batch is carried on; starts go on from the checkpoint; a batch that comes again is left out."""
+    path, schema = f"file://{tmp_path}/ledgers", "name string, o int, json string"
     rows = lambda *r: spark.createDataFrame([(k, o, f'{{"id":"{k}{o}"}}') for k, o in r], schema)
-    write = live.ledger_batches(path, states, "name", "o", "json")
-    write(rows(("a", 0), ("a", 1), ("b", 0)), 0)
-    write(rows(("a", 2)), 1)
-    write(rows(("a", 2), ("c", 0)), 1)
-    write(rows(), 2)
-    write(rows(("b", 1), ("a", 3)), 3)
-    found = lambda: {r["ledger"]: (r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, path)).collect()}
-    assert found() == {"a": (4, True), "b": (2, True), "c": (1, True)}
-    rows(("d", 0), ("d", 1)).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = live.files(spark, str(tmp_path / "in"), schema)
-    live.to_ledger(stream, f"{path}-2", f"{states}-2", str(tmp_path / "cp"), "name", "o", "json").awaitTermination()
-    assert [(r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, f"{path}-2")).collect()] == [(2, True)]
+    ledger.append(ledger.chained(rows(("a", 0), ("a", 1)), "name", "o", "json"), path)
+
+    def trigger(n, *r):
+        rows(*r).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        live.to_ledger(live.files(spark, str(tmp_path / "in" / "*"), schema), path, str(tmp_path / "cp"), "name", "o", "json").awaitTermination(120)
+        return verified(spark, path)
+
+    assert trigger(1, ("a", 3), ("a", 2), ("b", 0)) == {"a": (4, True), "b": (1, True)}
+    assert trigger(2, ("b", 1), (None, 0), ("", 1)) == {"a": (4, True), "b": (2, True), ledger.NO_KEY: (2, True)}
+    for name in ("1", ".1.crc"):  # as if the query had ended after its write, before it could say so
+        (tmp_path / "cp" / "commits" / name).unlink()
+    assert trigger(3, ("a", 4)) == {"a": (5, True), "b": (2, True), ledger.NO_KEY: (2, True)}
+    assert [n for n, _, _ in ledger.commits(spark, path)] == [1, 2, 3, 4]
+
+
+def test_late_rows_and_sessions(spark, tmp_path):
+    """Windows and sessions of a stream that is started again and again; what comes too late is dropped and counted."""
+    schema = "k string, ts timestamp"
+
+    def trigger(n, minutes, made, out):
+        spark.createDataFrame([("a", m) for m in minutes], "k string, minute int").selectExpr("k", "timestamp_seconds(minute * 60) AS ts").coalesce(1).write.parquet(str(tmp_path / f"in-{out}" / str(n)))
+        query = live.to_files(made(live.files(spark, str(tmp_path / f"in-{out}" / "*"), schema)), str(tmp_path / out), str(tmp_path / f"cp-{out}"))
+        query.awaitTermination(120)
+        return live.late_rows(query)
+
+    batches = [(0, 5, 58, 61), (100, 125, 130), (7, 110, 240)]
+    flat = lambda w: w.selectExpr("unix_timestamp(w.start) div 60 AS a", "unix_timestamp(w.end) div 60 AS b", "n")
+    cases = {
+        "sliding": lambda e: flat(live.windowed(e, "ts", "10 minutes", "1 hour", slide="30 minutes").withColumnRenamed("window", "w")),
+        "sessions": lambda e: flat(live.sessions(e, "ts", "10 minutes", "20 minutes", "k").withColumnRenamed("session_window", "w")),
+    }
+    late = {out: [trigger(n, b, made, out) for n, b in enumerate(batches)] for out, made in cases.items()}
+    got = {out: sorted(map(tuple, spark.read.parquet(str(tmp_path / out)).collect())) for out in cases}
+    # The watermark is at 120 when minutes 7 and 110 come: only windows that end after that take them.
+    assert got["sliding"] == [(-30, 30, 2), (0, 60, 3), (30, 90, 2), (60, 120, 2), (90, 150, 4), (120, 180, 2)] and late["sliding"][:2] == [0, 0] and late["sliding"][2] >= 1
+    # That of minute 100 has ended by then, so minute 110 begins another one.
+    assert got["sessions"] == [(0, 25, 2), (58, 81, 2), (100, 120, 1), (110, 150, 3)] and late["sessions"] == [0, 0, 1]
+
+
+def test_approvals_in_time(spark, tmp_path):
+    v, a = tmp_path / "v", tmp_path / "a"
+
+    def trigger(n, verdicts, approvals):
+        for at, rows, columns in ((v, verdicts, "ts"), (a, approvals, "approved_at")):
+            spark.createDataFrame(rows, "run_id int, minute int").selectExpr("run_id", f"timestamp_seconds(6000 + minute * 60) AS {columns}").coalesce(1).write.parquet(str(at / str(n)))
+        streams = [live.files(spark, str(at / "*"), f"run_id int, {c} timestamp") for at, c in ((v, "ts"), (a, "approved_at"))]
+        joined = live.approved_in_time(*streams).selectExpr("run_id", "unix_timestamp(approved_at) div 60 - 100 AS given")
+        live.to_files(joined, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+
+    trigger(1, [(1, 0), (2, 0), (3, 5)], [(1, 30)])
+    trigger(2, [(4, 300)], [(2, 61), (3, 65), (9, 300)])
+    trigger(3, [(5, 301)], [(4, 310), (9, 302)])
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == [(1, 30), (2, None), (3, 65), (4, 310)]
 
 
 def test_ledger_appended_twice(spark, tmp_path):
@@ -200,13 +258,157 @@ def test_ledger_appended_twice(spark, tmp_path):
     ledger.append(ledger.chained(rows.filter("o < 3"), "ledger", "o", "json"), path)
     state = ledger.chain_state(ledger.lines(spark, path))
     assert {r["ledger"]: r["seq"] for r in state.collect()} == {"a+b %": 3, "z": 1}
-    ledger.append(ledger.chained(rows.filter("o >= 3"), "ledger", "o", "json", state).cache(), path)
-    assert {r["ledger"]: (r["total_records"], r["intact"]) for r in ledger.integrity(ledger.lines(spark, path)).collect()} == {"a+b %": (5, True), "z": (1, True)}
-    (tmp_path / "twice" / "ledger=z" / "part-9.txt").write_text("{bad\n")
+    ledger.append(ledger.chained(rows.filter("o >= 3"), "ledger", "o", "json", state), path)
+    assert verified(spark, path) == {"a+b %": (5, True), "z": (1, True)}
+    bad = spark.createDataFrame([("z", 1, "{bad")], "ledger string, o int, json string")
+    ledger.append_plain(bad, "ledger", "o", "json", path)
     assert {r["ledger"] for r in ledger.read(spark, path, strict=True).collect()} == {"a+b %"}
     assert [r["id"] for r in ledger.tail_scan(ledger.lines(spark, path), 2).filter("ledger = 'z'").collect()] == ["z"]
 
 
+def in_appends(spark, path, n=3, size=4):
+    """``n`` appends of ``size`` records each to the ledgers a and b."""
+    for i in range(n):
+        rows = spark.createDataFrame([(k, o, f'{{"id":"{k}{o}"}}') for k in "ab" for o in range(i * size, (i + 1) * size)], "ledger string, o int, json string")
+        done = ledger.last_commit(spark, path)
+        ledger.append(ledger.chained(rows, "ledger", "o", "json", ledger.chain_state(ledger.lines(spark, path))), path, after=done, append_id=f"n{i}")
+
+
+def test_order_is_by_commit(spark, tmp_path):
+    """Times and names of files don't count; what no commit names isn't there; old layouts come first; patterns match."""
+    path = f"file://{tmp_path}/here"
+    in_appends(spark, path)
+    assert verified(spark, path) == {"a": (12, True), "b": (12, True)}
+    shutil.copytree(tmp_path / "here", tmp_path / "there")
+    files = sorted((tmp_path / "there").rglob("*.txt"))
+    for i, f in enumerate(reversed(files)):
+        os.utime(f, (1e9 + i, 1e9 + i))
+    assert verified(spark, f"{tmp_path}/there") == {"a": (12, True), "b": (12, True)}
+    for f in files:  # all in one tick
+        os.utime(f, (1e9, 1e9))
+    assert verified(spark, f"{tmp_path}/there") == {"a": (12, True), "b": (12, True)}
+    assert verified(spark, f"{tmp_path}/*ere") == {f"{d}/{k}": (12, True) for d in ("here", "there") for k in "ab"}
+    with pytest.raises(FileNotFoundError):
+        ledger.lines(spark, f"{tmp_path}/*nowhere")
+    one = next(r["line"] for r in ledger.lines(spark, path).filter("ledger = 'a' and line_no = 0").collect())
+    for n in range(2):
+        (tmp_path / f"l{n}.ndjson").write_text(one + "\n")
+    found = verified(spark, f"{tmp_path}/l*.ndjson")
+    assert sorted(k.rpartition("/")[2] for k in found) == ["l0.ndjson", "l1.ndjson"] and set(found.values()) == {(1, True)}
+    (tmp_path / "there" / "ledger=c").mkdir()
+    (tmp_path / "there" / "ledger=c" / "part-0.txt").write_text(one + "\n")
+    assert verified(spark, f"{tmp_path}/there")["c"] == (1, True)
+    (tmp_path / "there" / f"data-{'0' * 32}" / "ledger=a").mkdir(parents=True)
+    (tmp_path / "there" / f"data-{'0' * 32}" / "ledger=a" / "part-0.txt").write_text("{half")
+    assert verified(spark, f"{tmp_path}/there")["a"] == (12, True)
+
+
+def test_appends_repeated_lost_and_at_once(spark, tmp_path):
+    path = f"file://{tmp_path}/x"
+    in_appends(spark, path)
+    in_appends(spark, path)  # the same ids again
+    assert verified(spark, path) == {"a": (12, True), "b": (12, True)}
+    rows = spark.createDataFrame([("a", 99, '{"id":"late"}')], "ledger string, o int, json string")
+    state, done = checkpointed(ledger.chain_state(ledger.lines(spark, path))), ledger.last_commit(spark, path)
+    assert ledger.append(ledger.chained(rows, "ledger", "o", "json", state), path, after=done) == 4
+    with pytest.raises(ledger.AppendConflict):  # another writer that had read the same state
+        ledger.append(ledger.chained(rows, "ledger", "o", "json", state), path, after=done)
+    assert verified(spark, path) == {"a": (13, True), "b": (12, True)}
+    number, folder, _ = ledger.commits(spark, path)[1]
+    (tmp_path / "x" / "_commits" / f"{number:012d}").unlink()
+    shutil.rmtree(tmp_path / "x" / folder)
+    got = {r["ledger"]: (r["total_records"], r["broken_links"], r["sequence_gaps"]) for r in ledger.integrity(ledger.lines(spark, path)).collect()}
+    assert got == {"a": (9, 1, 1), "b": (8, 1, 1)}
+
+
+def test_only_one_of_two_takes_a_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    (tmp_path / "_commits").mkdir()
+    with ThreadPoolExecutor(8) as pool:
+        took = list(pool.map(lambda i: publish(spark, f"file://{tmp_path}/_commits/1", f"writer {i}"), range(16)))
+    assert took.count(True) == 1 and (tmp_path / "_commits" / "1").read_text() == f"writer {took.index(True)}"
+
+
+def test_odd_records(spark):
+    texts = ["{}", None, ' {"a":1} ', "{ }", '{"a":\n1}']
+    rows = spark.createDataFrame([(None if i == 1 else "k", i, t) for i, t in enumerate(texts)] + [("", 9, "{}")], "key string, o int, json string")
+    made = ledger.chained(rows, "key", "o", "json").collect()
+    by = {k: [r["line"] for r in made if r["ledger"] == k] for k in ("k", ledger.NO_KEY)}
+    assert _sequential(by["k"][:-1]) == (3, 0, 0, 0) and _sequential(by[ledger.NO_KEY]) == (2, 0, 0, 0) and len(by["k"]) == 4 and len(by[ledger.NO_KEY]) == 2
+    raw = spark.createDataFrame([(k, i, x) for k, v in by.items() for i, x in enumerate(v)], "ledger string, line_no bigint, line string")
+    assert all(r["intact"] for r in ledger.integrity(raw).collect())
+    with pytest.raises(ValueError):
+        ledger.linked("[1]", 0, ledger.GENESIS)
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1 << 16])
+def test_verified_in_segments(spark, monkeypatch, segment):
+    """Segments of any length find what one look over the whole ledger finds."""
+    monkeypatch.setattr(ledger, "SEGMENT", segment)
+    rows = spark.createDataFrame([("a", i, f'{{"id":"t{i}"}}') for i in range(20)], "ledger string, o int, json string")
+    lines = [r["line"] for r in ledger.chained(rows, "ledger", "o", "json").orderBy("seq").collect()]
+    old, broken, edited = '{"id":"old"}', "{broken", lines[7].replace("t7", "t8")
+    variants = {
+        "good": lines, "first_lost": lines[1:], "cut": lines[:9], "middle_lost": lines[:6] + lines[9:], "swapped": [*lines[:6], lines[7], lines[6], *lines[8:]], "twice": lines[:8] + lines[7:], "edited": [*lines[:7], edited, *lines[8:]],
+        "corrupt_run": [*lines[:5], *[broken] * 7, *lines[12:]], "legacy_head": [*[old] * 7, *lines], "legacy_between": [*lines[:4], *[old] * 8, *lines[4:]], "only_odd": [old, broken] * 5, "reversed": lines[::-1],
+    }
+    raw = spark.createDataFrame([(k, i, x) for k, v in variants.items() for i, x in enumerate(v)], "ledger string, line_no bigint, line string")
+    got = {r["ledger"]: (r["total_records"], r["legacy_records"], r["broken_links"], r["sequence_gaps"]) for r in ledger.integrity(raw).collect()}
+    assert got == {k: _sequential(v) for k, v in variants.items()}
+
+
+def test_no_window_over_a_whole_ledger(spark):
+    raw = spark.createDataFrame([("a", 0, "{}")], "ledger string, line_no bigint, line string")
+    plan = ledger.integrity(raw)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if re.match(r"[\s:|+-]*Window ", line)]
+    assert windows and all("segment" in w for w in windows)
+
+
+def test_hash_wherever_it_stands(spark):
+    line, digest = ledger.linked('{"id":"x","n":{"row_hash":"' + "0" * 64 + '"}}', 0, ledger.GENESIS)
+    body = line.replace(f',"row_hash":"{digest}"', "")
+    pair = f'"row_hash":"{digest}"'
+    cases = {
+        line: True, "{" + pair + "," + body[1:]: True, body.replace(',"seq"', f',{pair},"seq"'): True, "{" + pair + "," + body[1:].replace('"x"', '"y"'): False, line.replace('"x"', '"y"'): False,
+        body[:-1] + ',"row_hash":"' + "1" * 64 + '"}': False, '{"m":{' + pair + "}," + line[1:]: False, '{"row_hash":"' + ".*" * 32 + '",' + body[1:]: False,
+    }
+    raw = spark.createDataFrame([(str(i), 0, x) for i, x in enumerate(cases)], "ledger string, line_no bigint, line string")
+    got = {int(r["ledger"]): r["bad_hash"] for r in ledger.faults(raw).collect()}
+    assert [not got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_contradictions_are_counted_without_pairs(spark):
+    """As many as there are pairs: equal and near amounts, ones at the edge and below one, several in a stage, stages of one place."""
+    import random
+
+    r = random.Random(3)
+    edges = [100.0, 99.0, 101.0, 101.010101, 98.999999999, 100.00000000001, 1.0, 0.99, 1.01, 0.9899999, 0.5, 0.51, 0.49, 0.505, 0.001, 0.0, 1e15, 0.99e15]
+    rows = []
+    for p in range(6):
+        for stage in range(12):
+            for k in range(r.randint(0, 6)):
+                x = r.choice(edges) if p < 4 else round(100 * 1.004 ** r.randint(0, 40), r.randint(0, 4))
+                rows.append((p, f"s{stage}", stage // 2 if p == 1 else stage, k, "amount", f"{x}:{r.choice(['usd', 'mg'])}", x))
+            rows += [(p, f"s{stage}", stage // 2 if p == 1 else stage, 20 + k, r.choice(["date", "id", "org"]), r.choice("xyz"), None) for k in range(3)]
+            rows += [(p, f"s{stage}", stage // 2 if p == 1 else stage, 30 + k, "person", f"{r.choice('ab')} {r.choice('cde')}", None) for k in range(3)]
+    df = spark.createDataFrame(rows, "pipeline_id int, stage string, stage_ord int, pos int, type string, value string, number double")
+    df = df.withColumns({"unit": F.when(F.col("type") == "amount", F.element_at(F.split("value", ":"), 2)), "raw": F.col("value")}).filter("number is null or number > 0")
+    pairs = {row["pipeline_id"]: row["count"] for row in entities.contradictions(df).groupBy("pipeline_id").count().collect()}
+    counted = {row["pipeline_id"]: row["n_contradictions"] for row in entities.contradiction_counts(checkpointed(entities.once_a_stage(df))).collect()}
+    assert pairs == {k: n for k, n in counted.items() if n} and len(pairs) == 6
+
+
+def test_a_pipeline_of_many_stages(spark):
+    """A hundred thousand stages: five thousand million pairs, counted."""
+    n = 100_000
+    one = spark.range(n).selectExpr("1 AS pipeline_id", "id AS stage", "id AS stage_ord", "0 AS pos", "'amount' AS type", "concat(100 + id % 1000, ':usd') AS value", "double(100 + id % 1000) AS number", "'usd' AS unit", "'' AS raw")
+    got = entities.contradiction_counts(entities.once_a_stage(one)).first()["n_contradictions"]
+    values = [100 + i for i in range(1000)]
+    near = sum((n // 1000) ** 2 for i, y in enumerate(values) for x in values[:i] if (y - x) / y <= 0.01)
+    assert got == n * (n - 1) // 2 - near - 1000 * (n // 1000) * (n // 1000 - 1) // 2
+
+
 def test_parents_in_a_circle(spark):
     rows = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("r", None), ("s", "r"), ("t", "s")], "audit_id string, parent_trace_id string")
     found = {r["audit_id"]: (r["root_id"], r["depth"]) for r in flow.ancestry(rows).collect()}

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import scan
+from .flow import ran
 from .scan import Options, approval, output_text
 
 log = logging.getLogger(__name__)
+#: Characters of an output that an explainer is shown.
+MOST_OUTPUT = 800
 # The calls that are recorded unless told otherwise.
 INTERCEPTED = ("run", "execute", "invoke", "call", "generate", "chat", "complete", "query", "stream", "ask")
 
@@ -51,7 +55,7 @@ def pandas_rule(name: str, check: Callable[[str], list[dict]], description: str
 
 
 class Explainer(Protocol):
-    def explain_allow(self, text: str, n_steps: int) -> str: ...
+    def explain_allow(self, text: str, n_steps: int, task: str | None, steps: list[tuple[str, int]]) -> str: ...
 
     def explain_block(self, rules: list[str], last_action: str | None) -> str: ...
 
@@ -71,8 +75,10 @@ class ChatExplainer:
     def _ask(self, task: str, content: str) -> str:
         return self.send([{"role": "system", "content": task}, {"role": "user", "content": content}], self.model, self.base_url, self.max_tokens)
 
-    def explain_allow(self, text: str, n_steps: int) -> str:
-        return self._ask("Say in two or three plain sentences why an agent came to this output and how sure it seems.", f"Steps: {n_steps}\nOutput: {text}")
+    def explain_allow(self, text: str, n_steps: int, task: str | None = None, steps: Sequence[tuple[str, int]] = ()) -> str:
+        taken = [f"{i}. {action}, {ms} ms" for i, (action, ms) in enumerate(steps, 1)] or ["none recorded"]
+        content = "\n".join([f"Task: {json.dumps(task, ensure_ascii=False)}", f"Steps: {n_steps}", *taken, f"Output: {json.dumps(text, ensure_ascii=False)[:MOST_OUTPUT]}"])
+        return self._ask("Say in two or three plain sentences, for a reader without technical knowledge, why an agent came to this output: what it weighed, how it reasoned, how sure it seems.", content)
 
     def explain_block(self, rules: list[str], last_action: str | None) -> str:
         return self._ask("Say plainly why this action of an agent was blocked, and name the rules that it broke.", f"Rules: {', '.join(rules)}\nAction: {last_action}")
@@ -90,21 +96,27 @@ def with_retry(call: Callable[[], str], retries: int = 2, wait_s: float = 0.6) -
     raise AssertionError
 
 
-def explained(runs: DataFrame, explainer: Explainer, n_steps: Column, output: str = "output", retries: int = 2) -> DataFrame:
-    """Adds ``explanation`` by an outside explainer, batch by batch; a fixed text stands in where it fails."""
+def explained(runs: DataFrame, explainer: Explainer, n_steps: Column, output: str = "output", retries: int = 2, task: Column | None = None, steps: Column | None = None) -> DataFrame:
+    """Adds ``explanation`` by an outside explainer, batch by batch; a fixed text stands in where it fails or says nothing.
+
+    ``task`` is what the run was asked for, ``steps`` an array of structs (action, duration_ms).
+    """
+
+    def one(text: str, n: int, asked: str | None, taken) -> str:
+        done = f"Agent completed the task in {n} step(s). All accountability rules passed."
+        plain = [] if taken is None else [(s["action"], s["duration_ms"]) for s in taken]
+        try:
+            return (with_retry(lambda: explainer.explain_allow(text, n, asked, plain), retries) or "").strip() or done
+        except Exception:
+            return f"{done} [Explanation unavailable]"
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, steps in batches:
-            out = []
-            for t, n in zip(texts, steps, strict=True):
-                try:
-                    out.append(with_retry(lambda t=t, n=n: explainer.explain_allow(t, n), retries))
-                except Exception:
-                    out.append(f"Agent completed the task in {n} step(s). All accountability rules passed. [Explanation unavailable]")
-            yield pd.Series(out)
+    def run(texts: pd.Series, counts: pd.Series, tasks: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(texts, counts, tasks, lists, strict=True)], dtype=object)
 
-    return runs.withColumn("explanation", run(F.substring(output_text(runs, output), 1, 800), n_steps))
+    none = F.lit(None).cast("array<struct<action:string,duration_ms:bigint>>")
+    told = run(F.substring(output_text(runs, output), 1, MOST_OUTPUT), n_steps, F.lit(None).cast("string") if task is None else task.cast("string"), none if steps is None else steps)
+    return runs.withColumn("explanation", told)
 
 
 def explained_blocks(verdicts: DataFrame, explainer: Explainer, last_action: Column, retries: int = 2) -> DataFrame:
@@ -149,3 +161,18 @@ def safe_callback(callback: Callable[..., None]) -> Callable[..., None]:
             log.exception("callback failed")
 
     return run
+
+
+def tell_stages(stages: DataFrame, callback: Callable[[str, Row], None], pipeline: str = "pipeline_id", order: str = "ord", stage: str = "stage") -> None:
+    """Calls ``callback(stage, row)`` for each stage that ran, a pipeline's in their order, where the rows are.
+
+    Stages that the circuit breaker skipped aren't told; a callback's errors are logged and don't end the job. It runs in
+    the tasks, and again if a task does, so it should send or write, not gather.
+    """
+    told = safe_callback(callback)
+
+    def each(rows: Iterator[Row]) -> None:
+        for row in rows:
+            told(row[stage], row)
+
+    ran(stages, pipeline, order).repartition(pipeline).sortWithinPartitions(pipeline, order).foreachPartition(each)

@@ -101,6 +101,7 @@ def observed(stages: DataFrame, observation: Observation) -> DataFrame:
 
 
 def lineage_table(summary: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:
-    """Stages of summaries as rows numbered from 1."""
-    rows = summary.select(pipeline, F.posexplode("stages").alias("n", "s"))
-    return rows.select(pipeline, (F.col("n") + 1).alias("number"), "s.stage", "s.audit_id", "s.blocked", "s.risk_level", "s.duration_ms")
+    """Stages of summaries as rows numbered from 1, each with the trace of the stage before it."""
+    rows = summary.select(pipeline, F.posexplode("stages").alias("n", "s"), F.col("stages").alias("all"))
+    parent = F.when(F.col("n") > 0, F.get("all", F.col("n") - 1)["audit_id"])
+    return rows.select(pipeline, (F.col("n") + 1).alias("number"), "s.stage", "s.audit_id", parent.alias("parent_trace_id"), "s.blocked", "s.risk_level", "s.duration_ms")

@@ -15,6 +15,7 @@ from ..operators import extension as X
 from ..operators import flow, report, scan, verdict
 from ..operators import grounding as G
 from ..sources import ledger as L
+from ..sources import rollup as R
 from ..sources.storage import checkpointed, shared_folder, spread
 from ..streaming import live
 from . import fixtures
@@ -431,6 +432,26 @@ def ledger_plain(spark: SparkSession, sf: str) -> DataFrame:
     return L.integrity(L.lines(spark, path))
 
 
+def _polled(spark: SparkSession, sf: str) -> str:
+    """Where the figures of ledgers of orders are kept, polled after each of three appends."""
+    at = f"{shared_folder(spark)}/polled-{uuid.uuid4().hex}"
+    rows = _plain_rows(spark, sf).withColumn("json", F.regexp_replace("json", "\\}$", F.concat(F.lit(',"risk_level":"'), F.when(F.col("o") % 7 == 0, "HIGH").otherwise("LOW"), F.lit('"}'))))
+    for part in range(3):
+        state = L.chain_state(L.lines(spark, f"{at}/ledgers"))
+        L.append(L.chained(rows.filter(F.col("o") % 3 == part), "ledger", "o", "json", state), f"{at}/ledgers")
+        R.poll(spark, f"{at}/ledgers", f"{at}/kept")
+    return f"{at}/kept"
+
+
+def polled_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by risk of a ledger that grows, from figures kept for each append."""
+    return R.stats(spark, _polled(spark, sf))
+
+
+def polled_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    return R.integrity(spark, _polled(spark, sf))
+
+
 def ledger_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The last three records before each ledger's first bad line."""
     return L.tail_scan(tampered(spark, sf), 3).select("ledger", "line_no", F.coalesce("seq", F.lit(-1)).alias("seq"))
@@ -702,6 +723,8 @@ def queries() -> dict[str, Query]:
         "ledger_many_files": ledger_many_files,
         "ledger_reordered_keys": ledger_reordered_keys,
         "ledger_plain": ledger_plain,
+        "polled_stats": polled_stats,
+        "polled_integrity": polled_integrity,
         "ledger_tail": ledger_tail,
         "step_index": step_index,
         "runs_by_start": runs_by_start,
@@ -743,7 +766,7 @@ def oracle_sql() -> dict[str, str]:
         "skipped_stages": f"WITH {STAGED} SELECT pipeline_id, ord, stage FROM m WHERE before = 1",
         "lineage_hops": f"WITH {STAGED}, l AS (SELECT audit_id, stage, lag(audit_id) OVER w AS parent_trace_id, lag(stage) OVER w AS parent_stage FROM ran WINDOW w AS (PARTITION BY pipeline_id ORDER BY ord)) SELECT audit_id, parent_trace_id, parent_stage FROM l",
         "lineage_recursive": f"WITH RECURSIVE {STAGED}, l AS (SELECT audit_id, lag(audit_id) OVER (PARTITION BY pipeline_id ORDER BY ord) AS parent FROM ran), r AS (SELECT audit_id, audit_id AS root_id, 0 AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.audit_id, r.root_id, r.depth + 1 FROM r JOIN l ON l.parent = r.audit_id) SELECT audit_id, root_id, CAST(depth AS BIGINT) AS depth FROM r",
-        "lineage_table": f"WITH {STAGED} SELECT pipeline_id, CAST(row_number() OVER (PARTITION BY pipeline_id ORDER BY ord) AS INT) AS number, stage, audit_id, blocked, risk_level, duration_ms FROM ran",
+        "lineage_table": f"WITH {STAGED} SELECT pipeline_id, CAST(row_number() OVER (PARTITION BY pipeline_id ORDER BY ord) AS INT) AS number, stage, audit_id, lag(audit_id) OVER (PARTITION BY pipeline_id ORDER BY ord) AS parent_trace_id, blocked, risk_level, duration_ms FROM ran",
         "pipeline_summary": f"WITH {STAGED} SELECT pipeline_id, count(*) AS n_stages, string_agg(stage, ',' ORDER BY ord) AS stage_names, bool_or(blocked) AS short_circuited, first(stage ORDER BY ord) FILTER (WHERE blocked) AS blocked_at, CAST(sum(duration_ms) AS BIGINT) AS total_duration_ms FROM ran GROUP BY pipeline_id",
         **{f"entities_{k}": f"{O.entity_ctes()} SELECT pipeline_id, stage, value, raw FROM ents WHERE type = '{k}'" for k in E.WEIGHTS},
         "contradictions": f"{O.contradiction_ctes()} SELECT * FROM pairs",
@@ -774,6 +797,8 @@ def oracle_sql() -> dict[str, str]:
         "ledger_many_files": LEDGER_MANY_SQL.format(key=_LEDGER_KEY),
         "ledger_reordered_keys": f"WITH {CHAIN} SELECT ledger, seq AS line_no, seq % 5 IN (2, 4) AS bad_hash, false AS bad_link, false AS gap FROM c",
         "ledger_plain": f"SELECT {_LEDGER_KEY} AS ledger, count(*) AS total_records, count(*) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1",
+        "polled_stats": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level, count(*) AS total, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS blocked FROM orders GROUP BY 1",
+        "polled_integrity": f"SELECT {_LEDGER_KEY} AS ledger, count(*) AS total_records, CAST(0 AS BIGINT) AS legacy_records, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS sequence_gaps, true AS intact FROM orders GROUP BY 1",
         "ledger_mixed": f"SELECT {_LEDGER_KEY} AS ledger, count(*) + 1 AS total_records, true AS intact, count(*) AS traces, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS blocked, 'p-' || {_LEDGER_KEY} AS pipeline_id, count(*) AS summarised FROM orders GROUP BY 1, 6",
         "ledger_tail": FAULTS + ", b AS (SELECT ledger, min(line_no) FILTER (WHERE corrupt) AS bad FROM f GROUP BY 1) SELECT ledger, CAST(line_no AS INT) AS line_no, coalesce(sq, -1) AS seq FROM f JOIN b USING (ledger) WHERE b.bad IS NULL OR line_no < b.bad QUALIFY row_number() OVER (PARTITION BY ledger ORDER BY line_no DESC) <= 3",
         "step_index": "SELECT user_id AS trace_id, event_id AS step_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_index, last_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_action FROM events",

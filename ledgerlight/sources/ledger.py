@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,40 +80,54 @@ def last_commit(spark: SparkSession, path: str) -> int:
     return max((n for n, _, _ in commits(spark, path)), default=0)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ledger, line_no, line) with exact bytes and numbers from 0; empty lines don't count, a missing file has none.
+LINES = "ledger string, append string, commit bigint, n bigint, line string"
 
-    ``path`` may be a pattern; one that matches nothing raises. A ledger is what one ``ledger=`` folder holds, by commits or
-    else by the names of its files, or a file by itself. If several folders match, names of ledgers start with the folder's.
-    Files are read by lines and in parts, so a ledger may be of any size: lines are numbered within their part, and parts by
-    the number of lines before them.
+
+def numbered(spark: SparkSession, path: str, but: set[str] = frozenset()) -> DataFrame:
+    """(ledger, append, commit, n, line): lines with their numbers, from 0, within what each append gave a ledger.
+
+    ``append`` is the append's folder; what no commit names (plain files, old layouts) has none, and commit 0. Appends in
+    ``but`` aren't read. Files are read by lines and in parts, so a ledger may be of any size: lines are numbered within
+    their part, and parts by the number of lines before them.
     """
     places = matching(spark, path_of(path))
     by_commits = [p for p in places if exists(spark, f"{p}/_commits")]
-    appended = [(place, *c) for place in by_commits for c in commits(spark, place)]
+    appended = [(place, n, folder) for place in by_commits for n, folder, _ in commits(spark, place) if folder not in but]
     # Besides its appends a folder may hold ledgers from before there were commits: those lines come first.
     plain = [p for p in places if p not in by_commits] + [f for p in by_commits for f in listed(spark, f"{p}/ledger=*")]
-    folders = [f"{place}/{folder}" for place, _, folder, _ in appended]
-    if not plain and not folders:
-        return spark.createDataFrame([], "ledger string, line_no bigint, line string")
+    if not plain and not appended:
+        return spark.createDataFrame([], LINES)
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").schema("value string")
-    found = reader.text([*plain, *folders]).filter("value <> ''").select(
+    found = reader.text([*plain, *[f"{place}/{folder}" for place, _, folder in appended]]).filter("value <> ''").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line")
     )
     names = {p: p.rstrip("/").rpartition("/")[2] for p in places}
     names = names if len(set(names.values())) == len(places) else {p: p for p in places}
-    numbers = spark.createDataFrame([(_plain_path(f"{place}/{folder}"), n, names[place]) for place, n, folder, _ in appended], "folder string, commit bigint, place string")
-    folder = F.regexp_replace(_decoded(F.regexp_extract("file", "^(.*/data-[0-9a-f]{32})/", 1)), "^file:/+", "file:/")
-    found = found.withColumn("folder", folder).join(F.broadcast(numbers), "folder", "left")  # a row for each append
+    numbers = spark.createDataFrame([(_plain_path(f"{place}/{folder}"), folder, n, names[place]) for place, n, folder in appended], "at string, append string, commit bigint, place string")
+    at = F.regexp_replace(_decoded(F.regexp_extract("file", "^(.*/data-[0-9a-f]{32})/", 1)), "^file:/+", "file:/")
+    found = found.withColumn("at", at).join(F.broadcast(numbers), "at", "left")  # a row for each append
     key = _decoded(_decoded(F.regexp_extract("file", "/ledger=([^/]+)/[^/]+$", 1)))  # once as a URL, once as a folder's name
     place = F.coalesce("place", F.regexp_extract("file", "([^/]+)/ledger=[^/]+/[^/]+$", 1))
     named = key if len(places) == 1 else F.concat(place, F.lit("/"), key)
     found = found.withColumns({"ledger": F.when(key == "", F.col("file")).otherwise(named), "commit": F.coalesce("commit", F.lit(0))})
-    sizes = found.groupBy("ledger", "commit", "file", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("ledger").orderBy("commit", "file", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sizes = found.groupBy("ledger", "commit", "file", "part").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("ledger", "commit").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("file", "part").orderBy("nth")) - 1
-    return found.withColumn("within", within).join(starts, ["file", "part"]).select("ledger", (F.col("start") + F.col("within")).alias("line_no"), "line")
+    return found.withColumn("within", within).join(starts, ["file", "part"]).select("ledger", "append", "commit", (F.col("start") + F.col("within")).alias("n"), "line")
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ledger, line_no, line) with exact bytes and numbers from 0; empty lines don't count, a missing file has none.
+
+    ``path`` may be a pattern; one that matches nothing raises. A ledger is what one ``ledger=`` folder holds, by commits or
+    else by the names of its files, or a file by itself. If several folders match, names of ledgers start with the folder's.
+    """
+    found = numbered(spark, path)
+    before = Window.partitionBy("ledger").orderBy("commit").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("ledger", "commit").agg(F.count("*").alias("size"))
+    starts = sizes.select("ledger", "commit", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    return found.join(starts, ["ledger", "commit"]).select("ledger", (F.col("start") + F.col("n")).alias("line_no"), "line")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -230,23 +245,26 @@ def chained(records: DataFrame, ledger: str, order: str, json_column: str, state
     return ordered.mapInArrow(run, "ledger string, seq bigint, prev_hash string, row_hash string, line string")
 
 
-def _commit(rows: DataFrame, path: str, after: int | None, append_id: str) -> int:
-    """Write rows (ledger, value) as one append; its number."""
-    spark = rows.sparkSession
+def commit(spark: SparkSession, path: str, write: Callable[[str], None], after: int | None = None, append_id: str = "") -> int:
+    """Let ``write`` fill a folder under ``path`` and make it an append; its number. See ``append``."""
+    if re.search(r"\s", append_id):
+        raise ValueError("an append id has no white space")
     done = commits(spark, path)
     again = [n for n, _, own in done if append_id and own == append_id]
     if again:
         return again[0]
     number = (max((n for n, _, _ in done), default=0) if after is None else after) + 1
-    if re.search(r"\s", append_id):
-        raise ValueError("an append id has no white space")
     folder = f"data-{uuid.uuid4().hex}"
-    rows.write.partitionBy("ledger").text(f"{path}/{folder}")
+    write(f"{path}/{folder}")
     if not publish(spark, f"{path}/_commits/{number:012d}", f"{folder} {append_id}".strip()):
         raise AppendConflict(f"another append to {path} has taken number {number}")
     return number
 
 
+def _commit(rows: DataFrame, path: str, after: int | None, append_id: str) -> int:
+    return commit(rows.sparkSession, path, lambda folder: rows.write.partitionBy("ledger").text(folder), after, append_id)
+
+
 def append(chained_rows: DataFrame, path: str, after: int | None = None, append_id: str = "") -> int:
     """Append chained lines to the ledgers at ``path``, a file for each ledger; the append's number.
 
@@ -284,15 +302,20 @@ def _hash_fits(line: Column, row_hash: Column) -> Column:
     return F.when(last == row_hash, True).when(row_hash.rlike("^[0-9a-f]{64}$") & (F.size(pieces) > 1), any_fits).otherwise(False)
 
 
+def _links(raw: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line, corrupt, legacy, row_hash, prev_hash, seq, id) of lines."""
+    p = parsed(raw).select(*keys, "line", "corrupt", "r.row_hash", "r.prev_hash", "r.seq", F.coalesce("r.id", "r.audit_id", "r.pipeline_id", F.lit("unknown")).alias("id"))
+    empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    return p.withColumn("legacy", ~F.col("corrupt") & (empty("row_hash") | empty("prev_hash") | F.col("seq").isNull()))
+
+
 def faults(raw: DataFrame) -> DataFrame:
     """Lines (ledger, line_no, line) with what the verifier finds: legacy, corrupt, gap, bad_link, bad_hash, expected_seq.
 
     A first pass finds the last chained line of each segment of SEGMENT lines; what is the last one before each segment is
     worked out from these alone. A second one judges the lines, each segment by itself.
     """
-    p = parsed(raw).select("ledger", "line_no", "line", "corrupt", "r.row_hash", "r.prev_hash", "r.seq", F.coalesce("r.id", "r.audit_id", "r.pipeline_id", F.lit("unknown")).alias("id"))
-    empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    p = p.withColumns({"legacy": ~F.col("corrupt") & (empty("row_hash") | empty("prev_hash") | F.col("seq").isNull()), "segment": F.floor(F.col("line_no") / SEGMENT)})
+    p = _links(raw, "ledger", "line_no").withColumn("segment", F.floor(F.col("line_no") / SEGMENT))
     valid = ~F.col("corrupt") & ~F.col("legacy")
     chained_line = F.when(valid, F.struct("line_no", "seq", "row_hash"))
     before = Window.partitionBy("ledger").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)

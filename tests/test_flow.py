@@ -8,8 +8,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import entities, flow, report, scan, verdict
-from ledgerlight.sources import ledger
+from ledgerlight.operators import entities, extension, flow, report, scan, verdict
+from ledgerlight.sources import ledger, rollup
 from ledgerlight.sources.storage import checkpointed, publish
 from ledgerlight.streaming import live
 
@@ -429,3 +429,72 @@ def test_observed_counts(spark):
     seen = Observation("stages")
     flow.observed(spark.sql("SELECT * FROM VALUES (true, 5L), (false, 7L) AS t(blocked, duration_ms)"), seen).collect()
     assert seen.get == {"stages": 2, "blocked": 1, "total_ms": 12}
+
+
+def test_polls_read_what_is_new(spark, tmp_path, monkeypatch):
+    """Figures of a ledger that grows, is tampered with and polled: equal to the full pass; one more append reads itself only."""
+    path, kept = f"file://{tmp_path}/x", f"file://{tmp_path}/kept"
+    monkeypatch.setattr(ledger, "SEGMENT", 3)
+    read = []
+    numbered = ledger.numbered
+
+    def counted(*args, **more):
+        found = numbered(*args, **more)
+        read.append(found.count())
+        return found
+
+    def added(i, size=4):
+        rows = spark.createDataFrame([(k, o, f'{{"id":"{k}{o}","risk_level":"{["LOW", "HIGH"][o % 2]}","blocked":{str(o % 4 == 1).lower()}}}') for k in "ab" for o in range(i * size, (i + 1) * size)], "ledger string, o int, json string")
+        ledger.append(ledger.chained(rows, "ledger", "o", "json", ledger.chain_state(ledger.lines(spark, path))), path)
+
+    def same():
+        full = ledger.integrity(ledger.lines(spark, path))
+        assert sorted(map(tuple, rollup.integrity(spark, kept).select(full.columns).collect())) == sorted(map(tuple, full.collect()))
+        rows = ledger.verdict_rows(ledger.read(spark, path))
+        assert sorted(map(tuple, rollup.stats(spark, kept).collect()), key=str) == sorted(map(tuple, report.stats(rows).select("risk_level", "total", "blocked").collect()), key=str)
+
+    for i in range(2):
+        added(i)
+    monkeypatch.setattr(rollup.ledger, "numbered", counted)
+    assert rollup.poll(spark, path, kept) == 2 and read == [16]
+    read.clear()
+    monkeypatch.setattr(ledger, "numbered", numbered)
+    added(2)
+    monkeypatch.setattr(rollup.ledger, "numbered", counted)
+    assert rollup.poll(spark, path, kept) == 1 and read == [8]
+    assert rollup.poll(spark, path, kept) == 0 and read == [8]
+    monkeypatch.setattr(ledger, "numbered", numbered)
+    same()
+    # An append whose lines were edited, cut and mixed with others before it was first polled, and one after it.
+    added(3, 5)
+    _, folder, _ = ledger.commits(spark, path)[-1]
+    (one,) = (tmp_path / "x" / folder / "ledger=a").glob("part-*.txt")
+    made = one.read_text().splitlines()
+    one.write_text("\n".join([made[0].replace("LOW", "XLOW").replace("HIGH", "XHIGH"), "{broken", '{"id":"old"}', *made[2:]]) + "\n")
+    for crc in one.parent.glob(".*.crc"):
+        crc.unlink()
+    added(4)
+    assert rollup.poll(spark, path, kept) == 2
+    same()
+    assert rollup.integrity(spark, kept).filter("not intact").count() >= 1
+
+
+def test_stages_are_told(spark, tmp_path):
+    rows = [("p", 1, "a", False), ("p", 2, "b", True), ("p", 3, "c", False), ("q", 1, "a", False)]
+    stages = spark.createDataFrame(rows, "pipeline_id string, ord int, stage string, blocked boolean")
+    folder = str(tmp_path)
+
+    def callback(name, row):
+        with open(f"{folder}/{row['pipeline_id']}", "a") as f:
+            f.write(name)
+        raise ValueError(name)
+
+    extension.tell_stages(stages, callback)
+    assert {f.name: f.read_text() for f in tmp_path.iterdir()} == {"p": "ab", "q": "a"}
+
+
+def test_lineage_rows_name_their_parents(spark):
+    rows = [("p", 1, "a", "t1", False), ("p", 2, "b", "t2", False), ("p", 3, "c", "t3", True), ("p", 4, "d", "t4", False)]
+    stages = spark.createDataFrame(rows, "pipeline_id string, ord int, stage string, audit_id string, blocked boolean").withColumns({"risk_level": F.lit("LOW"), "duration_ms": F.lit(1)})
+    got = flow.lineage_table(flow.summaries(stages)).orderBy("number").collect()
+    assert [(r["number"], r["audit_id"], r["parent_trace_id"]) for r in got] == [(1, "t1", None), (2, "t2", "t1"), (3, "t3", "t2")]

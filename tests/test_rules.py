@@ -1,14 +1,19 @@
 """Rules: positives, near misses and counts, from reading what the rules are to do."""
 
+import re
 from dataclasses import replace
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import catalog as C
-from ledgerlight.functions.patterns import translate
+from ledgerlight.functions.patterns import any_of, translate
+from ledgerlight.functions.stems import stems, stems_of
 from ledgerlight.operators import scan
-from ledgerlight.operators.extension import ChatExplainer, approval_requests, explained_blocks, intercepted, pandas_rule, resolve_explainer, with_approvals, with_retry
+from ledgerlight.operators.extension import ChatExplainer, approval_requests, explained, explained_blocks, intercepted, pandas_rule, resolve_explainer, with_approvals, with_retry
+from ledgerlight.plans import fixtures
 
 
 def found(spark, text, rules, options=None, keep=("rule", "severity")):
@@ -156,3 +161,59 @@ def test_scan_is_one_narrow_stage(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "unread_column" not in plan
     assert df.count() == 1
+
+
+def test_explained_runs(spark):
+    rows = spark.createDataFrame([("x" * 900, 2, "do it", [("look", 5), ("act", 7)]), ("y", 0, None, None)], "output string, n int, task string, steps array<struct<action:string,duration_ms:bigint>>")
+    told = lambda e: [r["explanation"] for r in explained(rows, e, F.col("n"), retries=0, task=F.col("task"), steps=F.col("steps")).collect()]
+    first, second = told(ChatExplainer(lambda messages, model, url, most: " " + messages[1]["content"] + "\n", "m", "one"))
+    assert first.splitlines() == ['Task: "do it"', "Steps: 2", "1. look, 5 ms", "2. act, 7 ms", 'Output: "' + "x" * 799] and "none recorded" in second and "Task: null" in second
+    done = [f"Agent completed the task in {n} step(s). All accountability rules passed." for n in (2, 0)]
+    assert told(ChatExplainer(lambda *_: "  ", "m", "one")) == done and told(ChatExplainer(lambda *_: None, "m", "one")) == done
+    assert told(ChatExplainer(lambda *_: 1 // 0, "m", "one")) == [f"{d} [Explanation unavailable]" for d in done]
+
+
+def every_pattern():
+    found = [p for groups in C.GROUPS.values() for g in groups for p in g.patterns] + [*C.PII.values(), C.TRANSACTION, C.APPROVAL_AMOUNT]
+    return found + [any_of(x) for x in (C.FINANCIAL_PHRASES, C.APPROVAL_PHRASES, C.CLAIM_MARKERS)] + [p for tests in C.LITE.values() for p, *_ in tests]
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_a_match_holds_a_stem(data):
+    """Whatever a pattern matches, in any case, has one of its stems in its lower case."""
+    pattern = data.draw(st.sampled_from(every_pattern()))
+    text = data.draw(st.from_regex(re.compile(pattern, re.IGNORECASE | re.ASCII)))
+    assert stems(pattern) is None or any(s in text.lower() for s in stems(pattern))
+
+
+def test_stems():
+    assert stems(r"\b(?:ab|cd)ef\b") and stems("a|") is None and stems(r"x*") is None and stems(r"(?:foo)?bar+") == {"ba"} and stems(r"[0-9]+%") is not None
+    assert stems_of([r"hate", r"I hate all"]) == {"hate"} and stems_of(["abc", ".*"]) is None
+    assert sum(stems_of(g.patterns) is not None for groups in C.GROUPS.values() for g in groups) >= 25
+
+
+def test_scan_with_stems_is_the_scan(spark, monkeypatch):
+    """The same findings as with all patterns run on all texts."""
+    texts = [r["output"] for r in fixtures.runs(spark, "/root/testdata/sf0.001").select("output").distinct().limit(200).collect()] + ["", "ſelf-harm methodſ", "I HATE ALL", "İnvest in", "\u212aill", "$0 and nothing"]
+    df = spark.createDataFrame([(t,) for t in texts], "output string")
+    found = lambda: [r["violations"] for r in scan.scan(df, C.RULES, scan.Options(threshold=0.0)).collect()]
+    gated = found()
+    monkeypatch.setattr(scan, "stems_of", lambda _: None)
+    assert gated == found() and any(gated)
+
+
+def test_runs_that_name_their_rules(spark):
+    """Aliases, several rules in any order, a custom one, unknown names, empty and null lists, repeated names."""
+    own = scan.make_rule("own", lambda t, _: F.array(scan.violation("own", "always", None, "LOW")))
+    lists = [["block_harmful_content", "block_pii_leakage"], ["block_pii_leakage", "block_harmful_content"], ["own", "nobody", "block_pii_leakage"], [], None, ["block_discrimination_output", None], ["own", "own"]]
+    text = "I hate all of this, mail jo.doe@example.com"
+    runs = spark.createDataFrame([(i, text, names) for i, names in enumerate(lists)], "run_id int, output string, rules array<string>")
+    got = {r["run_id"]: [v["rule"] for v in r["violations"]] for r in scan.scan_named(runs, more=[own]).collect()}
+    assert got == {0: ["block_harmful_content", "block_pii_leakage"], 1: ["block_pii_leakage", "block_harmful_content"], 2: ["own", "block_pii_leakage"], 3: [], 4: [], 5: [], 6: ["own", "own"]}
+    assert sorted(map(tuple, scan.unknown_names(runs, "run_id", more=[own]).collect()), key=str) == [(2, "nobody"), (5, None)]
+    assert {r["rule"] for r in scan.named_rules(runs, "run_id").filter("name = 'block_discrimination_output'").collect()} == {"block_discriminatory_output"}
+    table = {r["name"]: r for r in scan.catalog_table(spark).collect()}
+    assert set(C.RULES) < set(table) and "OWASP_LLM" in table["block_prompt_injection"]["bundles"]
+    plan = scan.scan_named(runs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -57,6 +57,10 @@ _RUNS = re.compile(r"\w+").findall
 RUN, SHARED = 40, max(GRAMS)
 #: Distinct words a worker keeps features of.
 KEPT_WORDS = 300_000
+#: What the CRC of zlib does with a byte: eight steps of its polynomial.
+_CRC = np.arange(256, dtype="u4")
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> np.uint32(1)) ^ np.uint32(0xEDB88320), _CRC >> np.uint32(1))
 
 
 def words_of(text: str) -> list[str]:
@@ -86,6 +90,28 @@ def slots_of(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) for g in grams(word)]
 
 
+def slots_at_once(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of many words one after another, each word's as ``slots_of`` gives them but for their order, and how many."""
+    marked = [f"^{w}$".replace("^\0", "").replace("\0$", "") for w in words]
+    data = np.frombuffer("".join(marked).encode() + bytes(4), "u1")
+    starts = np.flatnonzero((data[:-4] & 0xC0) != 0x80)  # first bytes of characters
+    sizes = np.diff(starts, append=len(data) - 4)
+    n = np.fromiter(map(len, marked), "i8", len(marked))
+    first = np.cumsum(n) - n
+    left = np.repeat(first + n, n) - np.arange(len(starts))  # characters of the word from each one on
+    state, found = np.full(len(starts), 0xFFFFFFFF, "u4"), []
+    for k in range(max(GRAMS)):  # all n-grams take in their next character
+        at = np.minimum(np.arange(k, len(starts) + k), len(starts) - 1)
+        for b in range(int(sizes.max(initial=0))):
+            new = _CRC[(state ^ data[starts[at] + b]) & 0xFF] ^ (state >> np.uint32(8))
+            state = new if not b else np.where(b < sizes[at], new, state)
+        if k + 1 in GRAMS:
+            found.append(state ^ np.uint32(0xFFFFFFFF))
+    whole = left[:, None] >= np.array(GRAMS)
+    counts = np.add.reduceat(whole.sum(1), first) if len(words) else np.zeros(0, "i8")
+    return np.stack(found, 1)[whole], counts
+
+
 def evidence(clean: np.ndarray, toxic: np.ndarray, rows: np.ndarray, weakest: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Features that tell, and their smoothed log odds of label 1, from the numbers of texts that hold each feature.
 
@@ -105,10 +131,18 @@ class Embeddings:
     def __init__(self, evidence: dict, seed: int = 5):
         known = sorted(evidence)
         self.row = dict(zip(known, range(1, len(known) + 1)))
+        self.known = np.array(known, "u4") if known and isinstance(known[0], int) else np.zeros(0, "u4")
         self.table = (0.1 * np.random.default_rng(seed).normal(size=(len(known) + 1, EMBEDDED))).astype("f4")
         self.table[1:, 0] = [evidence[k] for k in known] if known else []
         self.table[0] = 0
 
+    def rows_of(self, slots: np.ndarray) -> np.ndarray:
+        """Rows of n-grams by their slots."""
+        if not len(self.known):
+            return np.zeros(len(slots), "i8")
+        at = np.minimum(np.searchsorted(self.known, slots), len(self.known) - 1)
+        return np.where(self.known[at] == slots, at + 1, 0)
+
     def step(self, rows: np.ndarray, gradient: np.ndarray, seen: np.ndarray, rate: float) -> None:
         """Adaptive step on the rows; ``gradient`` holds a line for each of them, and rows may repeat."""
         used, at = np.unique(rows, return_inverse=True)
@@ -125,17 +159,21 @@ class Features:
     #: New words whose inputs are made together.
     AT_ONCE = 8192
 
-    def __init__(self, words: Embeddings, chars: Embeddings):
-        self.words, self.chars = words, chars
+    def __init__(self, words: Embeddings, chars: Embeddings, project: np.ndarray | None = None):
+        """``project``: a matrix that inputs are multiplied by as they are made, once for each distinct word."""
+        self.words, self.chars, self.project = words, chars, project
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, INPUTS), "f4")
+        self.width = INPUTS if project is None else project.shape[1]
+        self.table = np.zeros((1024, self.width), "f4")
 
     def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Embedding rows of words, of all their n-grams one after another, where each word's n-grams start, lengths."""
-        get = self.chars.row.get
-        found = [[get(g, 0) for g in slots_of(w)] or [0] for w in words]
-        starts = np.cumsum([0, *map(len, found)])[:-1]
-        return np.array([self.words.row.get(w, 0) for w in words], "i8"), np.array([i for x in found for i in x], "i8"), starts, np.array([min(len(w), 20) / 10 for w in words], "f4")
+        slots, counts = slots_at_once(words)
+        # A word without n-grams has row 0 for one.
+        chars = np.insert(self.chars.rows_of(slots), (np.cumsum(counts) - counts)[counts == 0], 0) if len(words) else np.zeros(0, "i8")
+        starts = np.cumsum(np.maximum(counts, 1)) - np.maximum(counts, 1)
+        get = self.words.row.get
+        return np.array([get(w, 0) for w in words], "i8"), chars, starts, np.array([min(len(w), 20) / 10 for w in words], "f4")
 
     def made(self, own: np.ndarray, chars: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
         """(words, INPUTS) from ``parts``."""
@@ -153,7 +191,8 @@ class Features:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for at in range(0, len(new), self.AT_ONCE):
             some, start = new[at : at + self.AT_ONCE], len(index)
-            self.table[start : start + len(some)] = self.made(*self.parts(some))
+            made = self.made(*self.parts(some))
+            self.table[start : start + len(some)] = made if self.project is None else made @ self.project
             index.update(zip(some, range(start, start + len(some)), strict=True))
         return self.table[np.fromiter(map(index.__getitem__, words), "i8", len(words))]
 
@@ -191,6 +230,44 @@ class BiGRU:
             state = out[t] = after
         return out
 
+    def projection(self) -> np.ndarray:
+        """What inputs are multiplied by for both directions, side by side."""
+        return np.concatenate([self.w["fW"], self.w["bW"]], 1)
+
+    def _states(self, d: str, x: np.ndarray, place: np.ndarray, mask: np.ndarray, out: np.ndarray) -> None:
+        """As ``_run``, from words' projected inputs and each window's places among them, without anything kept."""
+        h, u = HIDDEN, self.w[d + "U"]
+        u_gates, u_new = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+        state, full = np.zeros((place.shape[1], h), "f4"), mask.all(1)
+        for t in range(len(place)) if d == "f" else range(len(place) - 1, -1, -1):
+            own = x.take(place[t], axis=0)
+            gates = state @ u_gates
+            gates += own[:, : 2 * h]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new = (gates[:, h:] * state) @ u_new
+            new += own[:, 2 * h :]
+            np.tanh(new, out=new)
+            new -= state
+            new *= gates[:, :h]
+            if not full[t]:
+                new *= mask[t][:, None]
+            state = state + new
+            out[t] = state
+
+    def score(self, x: tuple[np.ndarray, np.ndarray], place: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Scores by window: ``x`` holds words' projected inputs for each direction, ``place`` (time, window) where its are."""
+        w, h = self.w, HIDDEN
+        states = np.empty((*place.shape, 2 * h), "f4")
+        for i, d in enumerate("fb"):
+            self._states(d, x[i], place, mask, states[:, :, i * h : (i + 1) * h])
+        e = np.where(mask > 0, np.tanh(states @ w["A"]) @ w["v"], -1e9)
+        a = np.exp(e - e.max(0))
+        a /= a.sum(0)
+        return sigmoid(np.einsum("tb,tbh->bh", a, states) @ w["o"] + w["c"])
+
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """x: (time, window, INPUTS). Scores by window."""
         w, logs = self.w, {"f": [], "b": []}
@@ -269,14 +346,16 @@ class Scorer:
         self.features = Features(words, chars)
         self.net = BiGRU()
         self.net.w = weights
+        self.ready: Features | None = None
 
     def state(self) -> tuple[Embeddings, Embeddings, dict[str, np.ndarray]]:
         """All that a worker needs to score."""
         return self.features.words, self.features.chars, self.net.w
 
-    def windows(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, split: list[list[str]], features: Features | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of texts as words: inputs of all words with padding behind, first words of all windows, each window's text."""
-        x = self.features.rows([w for ws in split for w in ws])
+        features = features or self.features
+        x = features.rows([w for ws in split for w in ws])
         first, owner, ends, at = [], [], [], 0
         for i, ws in enumerate(split):
             s = starts_of(len(ws))
@@ -284,14 +363,16 @@ class Scorer:
             owner.extend([i] * len(s))
             at += len(ws)
             ends.extend([at] * len(s))
-        return np.concatenate([x, np.zeros((WINDOW, INPUTS), "f4")]), np.array([first, ends], "i8").reshape(2, -1), np.array(owner, "i8")
+        return np.concatenate([x, np.zeros((WINDOW, features.width), "f4")]), np.array([first, ends], "i8").reshape(2, -1), np.array(owner, "i8")
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x, (first, ends), owner = self.windows([words_of(t) for t in texts])
-        out = np.zeros(len(texts))
+        if self.ready is None:  # learnt by now: words' inputs are projected once
+            self.ready = Features(self.features.words, self.features.chars, self.net.projection())
+        x, (first, ends), owner = self.windows([words_of(t) for t in texts], self.ready)
+        out, sides = np.zeros(len(texts)), tuple(np.ascontiguousarray(x[:, i : i + 3 * HIDDEN]) for i in (0, 3 * HIDDEN))
         for at in range(0, len(first), self.TOGETHER):
             place = first[at : at + self.TOGETHER] + np.arange(WINDOW)[:, None]
-            score = self.net.forward(x[np.minimum(place, len(x) - 1)], (place < ends[at : at + self.TOGETHER]).astype("f4"))
+            score = self.net.score(sides, np.minimum(place, len(x) - 1), (place < ends[at : at + self.TOGETHER]).astype("f4"))
             np.maximum.at(out, owner[at : at + self.TOGETHER], score)
         return np.round(out, 5)  # what windows stand beside one another moves the eighth digit
 

@@ -6,13 +6,16 @@ its splits taken from bounded samples and its boxes from all rows, deals every v
 two levels: each leaf of the first is split by a tree from a sample of its own. A query first looks into its own leaf,
 then goes to the leaves in which, by the chi-square test against its k-th distance so far, a nearer vector may still lie
 with more than probability ``MISS``. Inside a leaf, a tree of small cells is visited in the order of projected distance
-and vectors are verified on all dimensions until the same test holds. Leaves beyond BLOCK_ROWS (from some 10^9 vectors on,
+until the same test holds. Eight projected dimensions tell little of a single vector, so each vector of a cell that is
+visited is tested by itself, on ``FINE`` projections and with probability ``FINE_MISS``, before it is verified on all
+dimensions. Leaves beyond BLOCK_ROWS (from some 10^9 vectors on,
 when both levels are full) are cut by hash into blocks that are all visited; many queries of one block go in slices.
 
 Equal vectors are one point of the index with their smallest ids (no result can hold more of them), so a vector that many
 rows share costs as much as any other. Defined results: vectors that are null, of another length than most, zero, or with
-null or non-finite components take no part, neither as queries nor as candidates; ties go to smaller ids; rows that repeat
-an id with an equal vector count once; an empty table gives an empty table; only id and vector are read.
+null or non-finite components take no part, neither as queries nor as candidates; ties go to smaller ids; of the rows of
+one id that may take part the one with the smallest vector does (the first component decides, then the next), and the id
+asks if any of its rows does; an empty table gives an empty table; only id and vector are read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table
 
 PROJECTED, MISS = 8, 0.005
+FINE, FINE_MISS = 32, 0.1
 #: Rows from which a tree takes its splits, first in hash order; leaves get about 64 of them at least. So a tree has at
 #: most 512 leaves, both levels together at most 262,144: their boxes, the most that is broadcast, take 32 MB.
 SAMPLE_ROWS, SAMPLE_LEAF = 32_768, 64
@@ -51,6 +55,10 @@ def projection(dimension: int, seed: int = 41) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(dimension, PROJECTED))
 
 
+def fine_projection(dimension: int, seed: int = 43) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(dimension, FINE))
+
+
 class Tree:
     """Median splits, the widest dimension first: ``split[node]`` (dimension, value) of a complete binary tree."""
 
@@ -129,25 +137,30 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
 
 
 class Block:
-    """Vectors of one block and their local tree."""
+    """Vectors of one block and their local tree; counts the vectors that were verified on all dimensions."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, project: np.ndarray):
-        low_dim = vectors @ project
-        parts = cells(low_dim)
+        low_dim, self.fine_project = vectors @ project, fine_projection(vectors.shape[1])
+        parts, fine = cells(low_dim), vectors @ self.fine_project
         self.low = np.array([low_dim[c].min(0) for c in parts])
         self.high = np.array([low_dim[c].max(0) for c in parts])
-        self.ids, self.vectors, self.project = [ids[c] for c in parts], [vectors[c] for c in parts], project
+        self.ids, self.vectors, self.fine, self.project = [ids[c] for c in parts], [vectors[c] for c in parts], [fine[c] for c in parts], project
+        self.verified = 0
 
     def nearest(self, queries: np.ndarray, bounds: np.ndarray, k: int, radius: float):
-        """For each query (ids, distances) of its k nearest here, verified cell by cell until the test holds."""
+        """For each query (ids, distances) of its k nearest here, verified until the tests hold."""
+        fine_radius = chi_square_radius(FINE, FINE_MISS)
         reach = box_distance(queries @ self.project, self.low, self.high)
-        for q, bound, far in zip(queries, bounds, reach, strict=True):
+        for q, bound, far, fine in zip(queries, bounds, reach, queries @ self.fine_project, strict=True):
             ids, dist = np.zeros(0, "i8"), np.zeros(0)
             for c in np.argsort(far, kind="stable"):
-                if far[c] > radius * min(bound, dist[k - 1] if len(dist) >= k else np.inf) ** 2:
+                limit = min(bound, dist[k - 1] if len(dist) >= k else np.inf) ** 2
+                if far[c] > radius * limit:
                     break
-                ids = np.concatenate([ids, self.ids[c]])
-                dist = np.concatenate([dist, np.sqrt(np.square(self.vectors[c] - q).sum(1))])
+                near = np.square(self.fine[c] - fine).sum(1) <= fine_radius * limit
+                self.verified += int(near.sum())
+                ids = np.concatenate([ids, self.ids[c][near]])
+                dist = np.concatenate([dist, np.sqrt(np.square(self.vectors[c][near] - q).sum(1))])
                 order = np.lexsort((ids, dist))[:k]
                 ids, dist = ids[order], dist[order]
             yield ids, dist
@@ -271,7 +284,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
     rows = valid(vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).filter("id is not null"), "vector")
     # -0.0 and 0.0 are equal components, so they hash alike.
     same = F.transform("vector", lambda x: x + F.lit(0.0))
-    rows = materialise(rows.withColumns({"a": F.xxhash64(same), "b": F.xxhash64(F.lit(7), same)}).dropDuplicates(["id", "a", "b"]), "op8-rows")
+    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.bool_or("is_query").alias("is_query"))
+    rows = materialise(rows.withColumns({"a": F.xxhash64(same), "b": F.xxhash64(F.lit(7), same)}), "op8-rows")
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, id long, dist double")

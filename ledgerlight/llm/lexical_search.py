@@ -7,8 +7,9 @@
    that the sum of bound errors (a block's maximum less each posting's own part) and of a cost for each block is least.
    A shard is one row of the index; its size is bounded by ``SHARD_DOCS`` and ``SHARD_POSTINGS`` in the mean.
 3. Queries come in blocks of bounded size, which are broadcast, and meet every shard where it is read; nothing is
-   shuffled. A query's block maxima add up to a bound for each document of the shard. Documents are scored in the order of
-   their bounds, only while a bound reaches the query's k-th best score so far; all others are skipped with their blocks.
+   shuffled. A query's block maxima add up to a bound for each document of the shard; short lists, whose blocks stretch over
+   many documents that they don't hold, count for their documents only, as a pivot would. Documents are scored in the order
+   of their bounds, only while a bound reaches the query's k-th best score so far; all others are skipped with their blocks.
    That score is carried from shard to shard within a task, and a task returns k documents for each query.
 
 The index holds all terms; for a query set that is known beforehand and small, terms that no query has can be left out.
@@ -42,6 +43,8 @@ BLOCK_POSTINGS, ONE_BLOCK, SEGMENT = 64, 8, 1024
 BLOCK_COST = 3_000_000
 #: Terms of a block of queries, and terms and their bytes up to which an index can be held to those of the queries.
 QUERY_TERMS, WANTED_TERMS, WANTED_BYTES = 1 << 20, 200_000, 8 << 20
+#: Lists that hold less than one in so many documents of the shard are short.
+SHORT = 16
 #: Documents scored at first; each further step takes four times as many.
 FIRST_SCORED = 64
 #: Bytes of a text whose terms are counted at once.
@@ -197,6 +200,12 @@ def build_index(docs: DataFrame, wanted: set[bytes] | None = None, id_column: st
     return materialise(dealt.mapInArrow(frugal(run), INDEX), "op11-index")
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    n = stops - starts
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Shard:
     """One row of the index as arrays."""
 
@@ -211,13 +220,21 @@ class Shard:
         self.high = self.docs[self.ends - 1]
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The most that each document can score, by the maxima of the blocks that may hold it."""
-        blocks = np.concatenate([np.arange(a, b) for a, b in zip(self.block_start[terms], self.block_stop[terms], strict=True)])
-        worth = self.tops[blocks] * np.repeat(weights, self.block_stop[terms] - self.block_start[terms])
-        steps = np.zeros(len(self.ids) + 1, np.int64)
-        np.add.at(steps, self.low[blocks], worth)
-        np.add.at(steps, self.high[blocks] + 1, -worth)
-        return np.cumsum(steps[:-1])
+        """The most that each document can score, by the maxima of the blocks that may hold it and the short lists that do."""
+        n = len(self.ids)
+        short = self.stop[terms] - self.start[terms] < n / SHORT
+        out = np.zeros(n, np.int64)
+        some = _ranges(self.start[terms[short]], self.stop[terms[short]])
+        np.add.at(out, self.docs[some], self.parts[some] * np.repeat(weights[short], self.stop[terms[short]] - self.start[terms[short]]))
+        if not short.all():
+            terms, weights = terms[~short], weights[~short]
+            blocks = _ranges(self.block_start[terms], self.block_stop[terms])
+            worth = self.tops[blocks] * np.repeat(weights, self.block_stop[terms] - self.block_start[terms])
+            steps = np.zeros(n + 1, np.int64)
+            np.add.at(steps, self.low[blocks], worth)
+            np.add.at(steps, self.high[blocks] + 1, -worth)
+            out += np.cumsum(steps[:-1])
+        return out
 
     def scores(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         out = np.zeros(len(docs), np.int64)

@@ -34,7 +34,7 @@ def with_approvals(runs: DataFrame, approvals: DataFrame, options: Options | Non
     given = approvals.filter("approved").groupBy(key).agg(F.bool_or(F.col("kind") == "phrase").alias("__phrase"), F.bool_or(F.col("kind") == "amount").alias("__amount"))
     joined = runs.join(given, key, "left").withColumn("__text", output_text(runs, output))
     found = approval(F.col("__text"), options or Options(), F.col("__phrase"), F.col("__amount"))
-    return joined.withColumn("violations", found).drop("__text", "__phrase", "__amount")
+    return joined.withColumn("violations", scan.once(found)).drop("__text", "__phrase", "__amount")
 
 
 def approval_requests(runs: DataFrame, options: Options | None = None, output: str = "output", key: str = "run_id") -> DataFrame:

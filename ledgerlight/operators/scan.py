@@ -234,6 +234,11 @@ def grouped(number: float) -> str:
     return f"{number:,.3f}".rstrip("0").rstrip(".")
 
 
+def once(column: Column) -> Column:
+    """``column``, as a generator of one value: what reads it later, filters above all, doesn't work it out again."""
+    return F.explode_outer(F.array(column))
+
+
 def violations_of(text: Column, rules: Iterable[str | Rule], options: Options | None = None) -> Column:
     """All rules' violations over ``text``, in the order of the rules."""
     found = [r.check(text, options or Options()) for r in resolve_rules(rules)]
@@ -242,7 +247,7 @@ def violations_of(text: Column, rules: Iterable[str | Rule], options: Options |
 
 def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None = None, output: str = "output") -> DataFrame:
     """``runs`` with a column ``violations``."""
-    return runs.withColumn("__text", output_text(runs, output)).withColumn("violations", violations_of(F.col("__text"), rules, options)).drop("__text")
+    return runs.withColumn("__text", output_text(runs, output)).withColumn("violations", once(violations_of(F.col("__text"), rules, options))).drop("__text")
 
 
 def catalog_table(spark: SparkSession) -> DataFrame:
@@ -280,7 +285,7 @@ def scan_named(runs: DataFrame, names: str = "rules", options: Options | None =
     by_rule = F.map_from_arrays(F.array(*[F.lit(r.name) for r in book]), F.array(*found))
     # Bound in a lambda, so that the map is made once for a run and not for each of its names.
     every = F.element_at(F.transform(F.array(by_rule), lambda m: F.flatten(F.transform("__asked", lambda n: F.coalesce(F.element_at(m, n), nothing())))), 1)
-    return made.withColumn("violations", every).drop("__text", "__asked")
+    return made.withColumn("violations", once(every)).drop("__text", "__asked")
 
 
 def exploded(scanned: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import SEVERITIES
-from .scan import Options, Rule, output_text, resolve_rules, scanned_text, violations_of
+from .scan import Options, Rule, once, output_text, resolve_rules, scanned_text, violations_of
 
 MODES = ("enforce", "shadow", "degraded")
 #: Rules for the check of inputs.
@@ -92,7 +92,7 @@ def evaluate(
     audit_id = F.lit(None).cast("string") if audit_id is None else audit_id
     rules = resolve_rules(rules)
     runs = runs.filter("error is null") if "error" in runs.columns else runs
-    found = runs.withColumn("__text", output_text(runs, output)).withColumn("violations", violations_of(F.col("__text"), rules, options))
+    found = runs.withColumn("__text", output_text(runs, output)).withColumn("violations", once(violations_of(F.col("__text"), rules, options)))
     v = F.col("violations")
     blocked, any_found = blocks(v, mode), F.size(v) > 0
     passes = ~any_found | ~blocked
@@ -115,5 +115,5 @@ def lite_risk(violations: Column) -> Column:
 
 def check_input(inputs: DataFrame, column: str = "input") -> DataFrame:
     """``inputs`` with violations, blocked (a severe one, whatever the mode) and risk_level."""
-    found = inputs.withColumn("violations", violations_of(scanned_text(column), INPUT_RULES))
+    found = inputs.withColumn("violations", once(violations_of(scanned_text(column), INPUT_RULES)))
     return found.withColumn("blocked", severe(F.col("violations"))).withColumn("risk_level", max_severity(F.col("violations")))

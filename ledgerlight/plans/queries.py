@@ -492,7 +492,7 @@ def lineage_circles(spark: SparkSession, sf: str) -> DataFrame:
 
 def lite_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Risk by the lite dialect for runs with a finding."""
-    runs = fixtures.runs(spark, sf).withColumn("violations", scan.lite_violations(F.col("output"))).filter(F.size("violations") > 0)
+    runs = fixtures.runs(spark, sf).withColumn("violations", scan.once(scan.lite_violations(F.col("output")))).filter(F.size("violations") > 0)
     return runs.select("run_id", verdict.lite_risk(F.col("violations")).alias("risk_level"))
 
 
@@ -576,7 +576,7 @@ SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY g) - 1 AS IN
 
 
 def lite_rules_long(spark: SparkSession, sf: str) -> DataFrame:
-    runs = fixtures.runs(spark, sf).withColumn("violations", scan.lite_violations(F.col("output")))
+    runs = fixtures.runs(spark, sf).withColumn("violations", scan.once(scan.lite_violations(F.col("output"))))
     return scan.exploded(runs, "run_id").select("run_id", F.col("ord").cast("int"), "rule", "severity", "description", "evidence")
 
 

@@ -131,8 +131,9 @@ def frugal(kernel: Callable, holds: bool = False) -> Callable:
     """``kernel`` for mapInArrow, memory given back after each batch; what other kernels hold goes unless this one ``holds``."""
 
     def run(batches):
-        if not holds:
+        if not holds and _held:
             _held.clear()
+            give_back()
 
         def one_by_one():
             for batch in batches:

@@ -56,7 +56,7 @@ _RUNS = re.compile(r"\w+").findall
 #: Characters of a word, and how many of them two parts of a longer run share: no n-gram is longer.
 RUN, SHARED = 40, max(GRAMS)
 #: Distinct words a worker keeps features of.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: What the CRC of zlib does with a byte: eight steps of its polynomial.
 _CRC = np.arange(256, dtype="u4")
 for _ in range(8):
@@ -159,12 +159,11 @@ class Features:
     #: New words whose inputs are made together.
     AT_ONCE = 8192
 
-    def __init__(self, words: Embeddings, chars: Embeddings, project: np.ndarray | None = None):
-        """``project``: a matrix that inputs are multiplied by as they are made, once for each distinct word."""
-        self.words, self.chars, self.project = words, chars, project
+    def __init__(self, words: Embeddings, chars: Embeddings, projects: tuple[np.ndarray, ...] = ()):
+        """``projects``: matrices that inputs are multiplied by as they are made, once for each distinct word; a table each."""
+        self.words, self.chars, self.projects = words, chars, projects
         self.index: dict[str, int] = {}
-        self.width = INPUTS if project is None else project.shape[1]
-        self.table = np.zeros((1024, self.width), "f4")
+        self.tables = [np.zeros((1024, w), "f4") for w in ([p.shape[1] for p in projects] or [INPUTS])]
 
     def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Embedding rows of words, of all their n-grams one after another, where each word's n-grams start, lengths."""
@@ -182,19 +181,24 @@ class Features:
         table, n = self.chars.table[chars], np.diff([*starts, len(chars)])[:, None]
         return np.concatenate([self.words.table[own], np.maximum.reduceat(table, starts), np.add.reduceat(table, starts) / n, length[:, None], np.ones((len(own), 1), "f4")], 1).astype("f4")
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Where words stand in the tables, from 1 on; row 0 is zero. They hold until the next call."""
         index = self.index
         if len(index) > KEPT_WORDS:
             index.clear()
         new = [w for w in dict.fromkeys(words) if w not in index]
-        while len(index) + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        while len(index) + len(new) >= len(self.tables[0]):
+            self.tables = [np.concatenate([t, np.zeros_like(t)]) for t in self.tables]
         for at in range(0, len(new), self.AT_ONCE):
-            some, start = new[at : at + self.AT_ONCE], len(index)
+            some, start = new[at : at + self.AT_ONCE], len(index) + 1
             made = self.made(*self.parts(some))
-            self.table[start : start + len(some)] = made if self.project is None else made @ self.project
+            for table, part in zip(self.tables, [made @ p for p in self.projects] or [made], strict=True):
+                table[start : start + len(some)] = part
             index.update(zip(some, range(start, start + len(some)), strict=True))
-        return self.table[np.fromiter(map(index.__getitem__, words), "i8", len(words))]
+        return np.fromiter(map(index.__getitem__, words), "i4", len(words))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        return self.tables[0][self.numbers(words)]
 
 
 def starts_of(n: int) -> range:
@@ -230,9 +234,9 @@ class BiGRU:
             state = out[t] = after
         return out
 
-    def projection(self) -> np.ndarray:
-        """What inputs are multiplied by for both directions, side by side."""
-        return np.concatenate([self.w["fW"], self.w["bW"]], 1)
+    def projections(self) -> tuple[np.ndarray, np.ndarray]:
+        """What inputs are multiplied by for each direction."""
+        return self.w["fW"], self.w["bW"]
 
     def _states(self, d: str, x: np.ndarray, place: np.ndarray, mask: np.ndarray, out: np.ndarray) -> None:
         """As ``_run``, from words' projected inputs and each window's places among them, without anything kept."""
@@ -257,7 +261,7 @@ class BiGRU:
             state = state + new
             out[t] = state
 
-    def score(self, x: tuple[np.ndarray, np.ndarray], place: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def score(self, x: list[np.ndarray], place: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Scores by window: ``x`` holds words' projected inputs for each direction, ``place`` (time, window) where its are."""
         w, h = self.w, HIDDEN
         states = np.empty((*place.shape, 2 * h), "f4")
@@ -352,10 +356,14 @@ class Scorer:
         """All that a worker needs to score."""
         return self.features.words, self.features.chars, self.net.w
 
-    def windows(self, split: list[list[str]], features: Features | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts as words: inputs of all words with padding behind, first words of all windows, each window's text."""
-        features = features or self.features
-        x = features.rows([w for ws in split for w in ws])
+    def windows(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as words: inputs of all words with padding behind, first words of all windows and their ends, each window's text."""
+        x = self.features.rows([w for ws in split for w in ws])
+        return np.concatenate([x, np.zeros((1, INPUTS), "f4")]), *self.places(split)
+
+    @staticmethod
+    def places(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all windows and the ends of their texts, as two rows, and each window's text."""
         first, owner, ends, at = [], [], [], 0
         for i, ws in enumerate(split):
             s = starts_of(len(ws))
@@ -363,16 +371,18 @@ class Scorer:
             owner.extend([i] * len(s))
             at += len(ws)
             ends.extend([at] * len(s))
-        return np.concatenate([x, np.zeros((WINDOW, features.width), "f4")]), np.array([first, ends], "i8").reshape(2, -1), np.array(owner, "i8")
+        return np.array([first, ends], "i8").reshape(2, -1), np.array(owner, "i8")
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.ready is None:  # learnt by now: words' inputs are projected once
-            self.ready = Features(self.features.words, self.features.chars, self.net.projection())
-        x, (first, ends), owner = self.windows([words_of(t) for t in texts], self.ready)
-        out, sides = np.zeros(len(texts)), tuple(np.ascontiguousarray(x[:, i : i + 3 * HIDDEN]) for i in (0, 3 * HIDDEN))
+            self.ready = Features(self.features.words, self.features.chars, self.net.projections())
+        split = [words_of(t) for t in texts]
+        (first, ends), owner = self.places(split)
+        number = np.append(self.ready.numbers([w for ws in split for w in ws]), 0)
+        out = np.zeros(len(texts))
         for at in range(0, len(first), self.TOGETHER):
             place = first[at : at + self.TOGETHER] + np.arange(WINDOW)[:, None]
-            score = self.net.score(sides, np.minimum(place, len(x) - 1), (place < ends[at : at + self.TOGETHER]).astype("f4"))
+            score = self.net.score(self.ready.tables, number[np.minimum(place, len(number) - 1)], (place < ends[at : at + self.TOGETHER]).astype("f4"))
             np.maximum.at(out, owner[at : at + self.TOGETHER], score)
         return np.round(out, 5)  # what windows stand beside one another moves the eighth digit
 

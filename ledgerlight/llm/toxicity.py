@@ -198,7 +198,8 @@ class Features:
         return np.fromiter(map(index.__getitem__, words), "i4", len(words))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        return self.tables[0][self.numbers(words)]
+        numbers = self.numbers(words)  # may put larger tables in place
+        return self.tables[0][numbers]
 
 
 def starts_of(n: int) -> range:

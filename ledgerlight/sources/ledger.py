@@ -220,6 +220,15 @@ def linked(text: str | None, seq: int, prev: str) -> tuple[str, str]:
     return f'{hashed[:-1]},"row_hash":"{digest}"}}', digest
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """``rows`` with each ledger's in one task.
+
+    By a hash of the key: after a join by the key itself Spark leaves a repartition by it out, and may then read the join's
+    shuffle by map task, where it broadcasts the other side, or in parts, where a ledger is large.
+    """
+    return rows.repartition(F.xxhash64("ledger"))
+
+
 def chained(records: DataFrame, ledger: str, order: str, json_column: str, state: DataFrame | None = None) -> DataFrame:
     """(ledger, seq, prev_hash, row_hash, line): records of each ledger in order, chained on from ``state``."""
     rows = records.select(ledger_key(F.col(ledger)).alias("ledger"), F.col(order).alias("o"), F.col(json_column).alias("json"))
@@ -241,7 +250,7 @@ def chained(records: DataFrame, ledger: str, order: str, json_column: str, state
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["ledger", "seq", "prev_hash", "row_hash", "line"])
 
-    ordered = rows.repartition("ledger").sortWithinPartitions("ledger", "o").select("ledger", "json", "p", "s")
+    ordered = _gathered(rows).sortWithinPartitions("ledger", "o").select("ledger", "json", "p", "s")
     return ordered.mapInArrow(run, "ledger string, seq bigint, prev_hash string, row_hash string, line string")
 
 

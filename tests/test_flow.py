@@ -498,3 +498,21 @@ def test_lineage_rows_name_their_parents(spark):
     stages = spark.createDataFrame(rows, "pipeline_id string, ord int, stage string, audit_id string, blocked boolean").withColumns({"risk_level": F.lit("LOW"), "duration_ms": F.lit(1)})
     got = flow.lineage_table(flow.summaries(stages)).orderBy("number").collect()
     assert [(r["number"], r["audit_id"], r["parent_trace_id"]) for r in got] == [(1, "t1", None), (2, "t2", "t1"), (3, "t3", "t2")]
+
+
+def test_chain_goes_on_from_a_broadcast_state(spark):
+    """Rows from many tasks, and a state that only turns out small when it is there, so that it is broadcast late: still one chain."""
+    rows = spark.range(0, 6000, 1, 6).select(F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("ledger"), F.col("id").alias("o"), F.lit("{}").alias("json"))
+    state = rows.groupBy("ledger").agg(F.lit("f" * 64).alias("prev_hash"), F.lit(7).cast("bigint").alias("seq"))
+    # A threshold above the state's size and below what is reckoned before; parts as many as large tables have.
+    late = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in late.items():
+        spark.conf.set(name, value)
+    try:
+        made = ledger.chained(rows, "ledger", "o", "json", state).collect()
+    finally:
+        for name in late:
+            spark.conf.unset(name)
+    for i in range(3):
+        own = [r for r in made if r["ledger"] == f"l{i}"]
+        assert sorted(r["seq"] for r in own) == list(range(7, 2007)) and [r["seq"] for r in own if r["prev_hash"] == "f" * 64] == [7]

@@ -77,8 +77,32 @@ def stems_of(patterns: Iterable[str]) -> frozenset[str] | None:
 
 
 def holds_any(text: Column, some: frozenset[str]) -> Column:
-    """Whether the lower case of ``text`` holds one of the stems."""
-    tests = [F.contains(F.lower(text), F.lit(s)) for s in sorted(some)]
-    while len(tests) > 1:  # balanced, so the expression stays shallow
-        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) & ~1 :]
-    return tests[0]
+    """Whether the lower case of ``text`` holds one of the stems. It is bound in a lambda, so that it is made once for all."""
+
+    def tested(lower: Column) -> Column:
+        tests = [F.contains(lower, F.lit(s)) for s in sorted(some)]
+        while len(tests) > 1:  # balanced, so the expression stays shallow
+            tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) & ~1 :]
+        return tests[0]
+
+    return F.exists(F.array(F.lower(text)), tested)
+
+
+def _alternatives(some: Iterable[str]) -> str:
+    """A pattern of several literals as a tree by their characters, which tries the longest first."""
+    by_first: dict[str, list[str]] = {}
+    for s in some:
+        if s:
+            by_first.setdefault(s[0], []).append(s[1:])
+    sides = [re.escape(c) + (f"(?:{_alternatives(rest)})" + ("?" if "" in rest else "") if any(rest) else "") for c, rest in sorted(by_first.items())]
+    return "|".join(sides)
+
+
+def held(text: Column, vocabulary: frozenset[str]) -> Column:
+    """Of a vocabulary of stems those that the lower case of ``text`` holds, in one pass: at each place the longest one."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=({_alternatives(vocabulary)}))"), F.lit(1)))
+
+
+def held_any(found: Column, vocabulary: frozenset[str], some: frozenset[str]) -> Column:
+    """Whether what ``held`` found tells of one of the stems. Where a stem stands, a longer one that starts with it may be found."""
+    return F.arrays_overlap(found, F.array(*[F.lit(v) for v in sorted(vocabulary) if v.startswith(tuple(some))]))

@@ -125,11 +125,11 @@ def judged(sentence: Column, facts: Column) -> Column:
     )
 
 
-def _first_faults(text: Column, facts: Column) -> Column:
+def _first_faults(text: Column, facts: Column, o: Options | None = None) -> Column:
     """The first violations of a text's claims; without claims nothing is drawn from the context."""
     found = lambda claims: F.slice(F.filter(F.transform(claims, lambda s: judged(s, facts)), lambda v: v.isNotNull()), 1, MOST)
     claims = F.filter(sentences(text), is_claim)
-    return if_likely(text, [any_of(C.CLAIM_MARKERS)], F.element_at(F.transform(F.array(claims), lambda c: F.when(F.size(c) == 0, nothing()).otherwise(found(c))), 1))
+    return if_likely(text, [any_of(C.CLAIM_MARKERS)], F.element_at(F.transform(F.array(claims), lambda c: F.when(F.size(c) == 0, nothing()).otherwise(found(c))), 1), o)
 
 
 def grounded_against(text: Column, context: Column) -> Column:
@@ -157,4 +157,4 @@ def hallucination(text: Column, o: Options) -> Column:
         F.lit(f["obliged"]).alias("obliged"),
         F.lit(f["limited"]).alias("limited"),
     )
-    return _first_faults(text, facts)
+    return _first_faults(text, facts, o)

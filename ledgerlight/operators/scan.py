@@ -1,14 +1,14 @@
 """Rule scan: text in, ordered violations out, as native column expressions.
 
 A violation is a struct (rule, description, evidence, severity, remediation, confidence). Every rule is one narrow
-projection, so a scan of any number of rules is one stage without a shuffle. Patterns run only on texts that hold one of
-their literal stems, which plain substring search tells.
+projection, so a scan of any number of rules is one stage without a shuffle. Patterns run only on texts that hold
+one of their literal stems; which stems of all the rules a text holds is found in one pass over it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import catalog as C
 from ..functions.patterns import any_of, translate
-from ..functions.stems import holds_any, stems_of
+from ..functions.stems import held, held_any, holds_any, stems_of
 
 VIOLATION = "struct<rule:string,description:string,evidence:string,severity:string,remediation:string,confidence:double>"
 REMEDIATION = {
@@ -39,6 +39,8 @@ class Options:
 
     threshold: float = 1000.0
     context: tuple[str, ...] = ()
+    #: What ``held`` found of a vocabulary of stems, and that, where a scan of many rules has looked for them all at once.
+    stems: tuple[Column, frozenset[str]] | None = field(default=None, repr=False, compare=False)
 
 
 @dataclass(frozen=True)
@@ -75,10 +77,18 @@ def nothing() -> Column:
     return F.array().cast(f"array<{VIOLATION}>")
 
 
-def if_likely(text: Column, patterns: Iterable[str], found: Column) -> Column:
-    """``found``, worked out only where one of the patterns may match ``text``, else nothing."""
+def likely(text: Column, patterns: Iterable[str], o: Options | None = None) -> Column | None:
+    """Whether one of the patterns may match ``text``; None if there is no telling."""
     some = stems_of(tuple(patterns))
-    return found if some is None else F.when(holds_any(text, some), found).otherwise(nothing())
+    if some is None or o is None or o.stems is None or not some <= o.stems[1]:
+        return None if some is None else holds_any(text, some)
+    return held_any(*o.stems, some)
+
+
+def if_likely(text: Column, patterns: Iterable[str], found: Column, o: Options | None = None) -> Column:
+    """``found``, worked out only where one of the patterns may match ``text``, else nothing."""
+    test = likely(text, patterns, o)
+    return found if test is None else F.when(test, found).otherwise(nothing())
 
 
 def all_matches(text: Column, pattern: str, ignore_case: bool = False, group: int = 0) -> Column:
@@ -92,16 +102,16 @@ def first_match(text: Column, patterns: Sequence[str], exact: Iterable[int] = ()
 
 
 def group_rule(rule: str) -> Callable[[Column, Options], Column]:
-    def check(text: Column, _: Options) -> Column:
+    def check(text: Column, o: Options) -> Column:
         def one(group: C.Group) -> Column:
             cut = (lambda m: m) if group.cut is None else (lambda m: F.substring(m, 1, group.cut))
             found = where(F.array(first_match(text, group.patterns, group.exact)), lambda m: violation(rule, group.description, cut(m), group.severity), lambda m: m != "")
-            return if_likely(text, group.patterns, found)
+            return if_likely(text, group.patterns, found, o)
 
         found = F.concat(*[one(g) for g in C.GROUPS[rule]])
         if rule == "block_ai_identity_deception":
             allowed = F.lower(text).rlike(any_of([a.lower() for a in C.IDENTITY_ALLOWED]))
-            return if_likely(text, [p for g in C.GROUPS[rule] for p in g.patterns], F.when(allowed, nothing()).otherwise(found))
+            return if_likely(text, [p for g in C.GROUPS[rule] for p in g.patterns], F.when(allowed, nothing()).otherwise(found), o)
         return found
 
     return check
@@ -120,14 +130,14 @@ def mask_email(email: Column) -> Column:
     return F.regexp_replace(email, r"(?<=.{3}).+(?=@)", "***")
 
 
-def pii_matches(text: Column, kind: str) -> Column:
+def pii_matches(text: Column, kind: str, o: Options | None = None) -> Column:
     found = all_matches(text, C.PII[kind])
     found = F.filter(found, luhn) if kind == "cc" else found
-    some = stems_of((C.PII[kind],))
-    return found if some is None else F.when(holds_any(text, some), found).otherwise(F.array().cast("array<string>"))
+    test = likely(text, (C.PII[kind],), o)
+    return found if test is None else F.when(test, found).otherwise(F.array().cast("array<string>"))
 
 
-def _pii_kind(text: Column, kind: str) -> Column:
+def _pii_kind(text: Column, kind: str, o: Options) -> Column:
     name, severity, fixed = C.PII_TEXTS[kind]
     masked = mask_email if kind == "email" else lambda _: F.lit("***-***-****")
 
@@ -135,11 +145,11 @@ def _pii_kind(text: Column, kind: str) -> Column:
         evidence = F.lit(fixed) if fixed else F.array_join(F.transform(F.slice(m, 1, 2), masked), ", ")
         return violation("block_pii_leakage", F.concat(F.lit("Output contains "), F.size(m).cast("string"), F.lit(f" {name}")), evidence, severity)
 
-    return where(F.array(pii_matches(text, kind)), report, lambda m: F.size(m) > 0)
+    return where(F.array(pii_matches(text, kind, o)), report, lambda m: F.size(m) > 0)
 
 
-def pii(text: Column, _: Options) -> Column:
-    return F.concat(*[_pii_kind(text, kind) for kind in C.PII_TEXTS])
+def pii(text: Column, o: Options) -> Column:
+    return F.concat(*[_pii_kind(text, kind, o) for kind in C.PII_TEXTS])
 
 
 def amount_of(raw: Column) -> Column:
@@ -156,7 +166,7 @@ def financial(text: Column, o: Options) -> Column:
     )
     large = F.slice(F.filter(all_matches(text, C.TRANSACTION), lambda a: amount_of(a) >= o.threshold), 1, 1)
     money = F.transform(large, lambda a: violation(rule, F.concat(F.lit("Output references transaction of "), a, F.lit(f" which exceeds threshold of ${plain(o.threshold)}")), a, F.when(amount_of(a) >= 10_000, "CRITICAL").otherwise("HIGH")))
-    return F.concat(if_likely(text, [any_of(C.FINANCIAL_PHRASES)], words), if_likely(text, [C.TRANSACTION], money))
+    return F.concat(if_likely(text, [any_of(C.FINANCIAL_PHRASES)], words, o), if_likely(text, [C.TRANSACTION], money, o))
 
 
 def largest_amount(text: Column) -> Column:
@@ -176,7 +186,7 @@ def approval(text: Column, o: Options, approved_phrase: Column | None = None, ap
         lambda a: (a >= o.threshold) & pending(approved_amount),
     )
     # No amount counts as zero, which reaches a threshold of zero.
-    return F.concat(if_likely(text, [any_of(C.APPROVAL_PHRASES)], phrase), amount if o.threshold <= 0 else if_likely(text, [C.APPROVAL_AMOUNT], amount))
+    return F.concat(if_likely(text, [any_of(C.APPROVAL_PHRASES)], phrase, o), amount if o.threshold <= 0 else if_likely(text, [C.APPROVAL_AMOUNT], amount, o))
 
 
 def _grounding(text: Column, o: Options) -> Column:
@@ -191,6 +201,28 @@ CHECKS: dict[str, Callable[[Column, Options], Column]] = {
     "block_hallucination": _grounding,
     "require_human_approval": approval,
 } | {name: group_rule(name) for name in C.GROUPS}
+#: The lists of patterns that each rule may ask ``likely`` of.
+PATTERNS: dict[str, list[tuple[str, ...]]] = {
+    "block_pii_leakage": [(p,) for p in C.PII.values()],
+    "block_financial_advice": [(any_of(C.FINANCIAL_PHRASES),), (C.TRANSACTION,)],
+    "block_hallucination": [(any_of(C.CLAIM_MARKERS),)],
+    "require_human_approval": [(any_of(C.APPROVAL_PHRASES),), (C.APPROVAL_AMOUNT,)],
+} | {name: [*(g.patterns for g in groups), tuple(p for g in groups for p in g.patterns)] for name, groups in C.GROUPS.items()}
+#: From how many stems on one pass for all is less work than a search for each.
+MANY_STEMS = 32
+
+
+def _vocabulary(rules: Iterable[Rule]) -> frozenset[str]:
+    each = [stems_of(patterns) for r in rules if r.check is CHECKS.get(r.name) for patterns in PATTERNS[r.name]]
+    return frozenset().union(*[some for some in each if some is not None])
+
+
+def _with_stems(text: Column, rules: list[Rule], options: Options | None, make: Callable[[Options], Column]) -> Column:
+    """What ``make`` gives with options that tell the stems ``text`` holds; bound in a lambda, so that they are found once."""
+    options, vocabulary = options or Options(), _vocabulary(rules)
+    if len(vocabulary) < MANY_STEMS:
+        return make(options)
+    return F.element_at(F.transform(F.array(held(text, vocabulary)), lambda found: make(replace(options, stems=(found, vocabulary)))), 1)
 
 
 def resolve_rules(rules: Iterable[str | Rule], aliases: bool = False) -> list[Rule]:
@@ -241,8 +273,8 @@ def once(column: Column) -> Column:
 
 def violations_of(text: Column, rules: Iterable[str | Rule], options: Options | None = None) -> Column:
     """All rules' violations over ``text``, in the order of the rules."""
-    found = [r.check(text, options or Options()) for r in resolve_rules(rules)]
-    return F.concat(*found) if found else nothing()
+    rules = resolve_rules(rules)
+    return _with_stems(text, rules, options, lambda o: F.concat(*[r.check(text, o) for r in rules])) if rules else nothing()
 
 
 def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None = None, output: str = "output") -> DataFrame:
@@ -281,8 +313,8 @@ def scan_named(runs: DataFrame, names: str = "rules", options: Options | None =
     aliases = F.create_map(*[F.lit(x) for pair in C.ALIASES.items() for x in pair])
     asked = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.coalesce(F.element_at(aliases, n), n))
     made = runs.withColumns({"__text": output_text(runs, output), "__asked": asked})
-    found = [F.when(F.array_contains("__asked", r.name), r.check(F.col("__text"), options or Options())).otherwise(nothing()) for r in book]
-    by_rule = F.map_from_arrays(F.array(*[F.lit(r.name) for r in book]), F.array(*found))
+    found = lambda o: F.array(*[F.when(F.array_contains("__asked", r.name), r.check(F.col("__text"), o)).otherwise(nothing()) for r in book])
+    by_rule = F.map_from_arrays(F.array(*[F.lit(r.name) for r in book]), _with_stems(F.col("__text"), book, options, found))
     # Bound in a lambda, so that the map is made once for a run and not for each of its names.
     every = F.element_at(F.transform(F.array(by_rule), lambda m: F.flatten(F.transform("__asked", lambda n: F.coalesce(F.element_at(m, n), nothing())))), 1)
     return made.withColumn("violations", once(every)).drop("__text", "__asked")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import catalog as C
 from ledgerlight.functions.patterns import any_of, translate
-from ledgerlight.functions.stems import stems, stems_of
+from ledgerlight.functions.stems import held, held_any, stems, stems_of
 from ledgerlight.operators import scan
 from ledgerlight.operators.extension import ChatExplainer, approval_requests, explained, explained_blocks, intercepted, pandas_rule, resolve_explainer, with_approvals, with_retry
 from ledgerlight.plans import fixtures
@@ -237,3 +237,15 @@ def test_small_tables_are_dealt_out(spark, tmp_path):
     one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
     assert parts(one) == 1 and parts(spread(one, "id")) > cores and spread(one, "id").count() == 20_000
     assert spread(many, "id").rdd.getNumPartitions() == many.rdd.getNumPartitions() or parts(many) < cores
+
+
+def test_stems_of_many_rules_in_one_pass(spark):
+    """Stems that overlap or start one another are all found, and a scan of all rules doesn't search for each by itself."""
+    words = ["act", "act now", "now!", "w! i", "$", "5", "x.y", "tact"]
+    texts = ["", "nothing", "ACT", "act nowhere", "Act NOW! In 5", "t$", "xzy", "x.y", "tac tact", "w!\ni"]
+    vocabulary = frozenset(words)
+    asked = [frozenset([w]) for w in words] + [frozenset(["act", "$"]), frozenset(["5", "x.y"])]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("found", held(F.col("t"), vocabulary))
+    got = df.select("t", *[held_any(F.col("found"), vocabulary, some).alias(str(i)) for i, some in enumerate(asked)]).collect()
+    assert [list(r[1:]) for r in got] == [[any(s in r["t"].lower() for s in some) for some in asked] for r in got]
+    assert str(scan.violations_of(F.col("t"), C.RULES)._jc.toString()).count("lower(") < 20

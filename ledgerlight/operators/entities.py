@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import ENTITIES
+from ..functions.stems import holds_any, stems_of
 from ..sources.storage import checkpointed
 from .scan import all_matches
 
@@ -26,8 +27,12 @@ WEIGHTS = {"amount": (0.95, "CRITICAL"), "person": (0.88, "HIGH"), "date": (0.90
 
 
 def _groups(text: Column, kind: str, n: int) -> Column:
+    """The matches of a kind by their groups, searched for only in texts that hold one of the pattern's stems."""
     pattern, ignore_case = ENTITIES[kind]
-    return F.arrays_zip(*[all_matches(text, pattern, ignore_case, i).alias(f"g{i}") for i in range(n + 1)])
+    found = F.arrays_zip(*[all_matches(text, pattern, ignore_case, i).alias(f"g{i}") for i in range(n + 1)])
+    some = stems_of((pattern,))
+    none = F.array().cast(f"array<struct<{','.join(f'g{i}:string' for i in range(n + 1))}>>")
+    return found if some is None else F.when(holds_any(text, some), found).otherwise(none)
 
 
 def _entity(kind: str, raw: Column, value: Column, number: Column | None = None, unit: Column | None = None) -> Column:

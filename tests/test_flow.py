@@ -516,3 +516,15 @@ def test_chain_goes_on_from_a_broadcast_state(spark):
     for i in range(3):
         own = [r for r in made if r["ledger"] == f"l{i}"]
         assert sorted(r["seq"] for r in own) == list(range(7, 2007)) and [r["seq"] for r in own if r["prev_hash"] == "f" * 64] == [7]
+
+
+def test_entities_are_searched_for_by_their_stems(spark, monkeypatch):
+    """Patterns of entities run only on texts that may hold one, with the same entities."""
+    texts = ["", "Nothing.", "MAY 5, 2024 and 2024-01-05", "Policy: AB-77, $5,000.50 and 30 DAYS", "Globex Widgets LLC for Dr. Jane Miller", "1/2/2024 id İD-99 K 5 kg", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = entities.entities_of(F.col("t"))
+    assert str(found._jc.toString()).count("lower(") >= 7
+    got = df.select(found).collect()
+    monkeypatch.setattr(entities, "stems_of", lambda _: None)
+    want = df.select(entities.entities_of(F.col("t"))).collect()
+    assert [r[0] or [] for r in got] == [r[0] or [] for r in want] and sum(len(r[0] or []) for r in got) >= 7

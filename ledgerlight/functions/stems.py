@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Most characters of a class that still count as stems of one character each, such as the digits.
 FEW = 12
+#: Most alternatives that a pattern tries one after another.
+SIDES = 4
 
 
 def _class(items: list) -> frozenset[str] | None:
@@ -94,8 +96,20 @@ def _alternatives(some: Iterable[str]) -> str:
     for s in some:
         if s:
             by_first.setdefault(s[0], []).append(s[1:])
-    sides = [re.escape(c) + (f"(?:{_alternatives(rest)})" + ("?" if "" in rest else "") if any(rest) else "") for c, rest in sorted(by_first.items())]
-    return "|".join(sides)
+    return _halved([(c, re.escape(c) + (f"(?:{_alternatives(rest)})" + ("?" if "" in rest else "") if any(rest) else "")) for c, rest in sorted(by_first.items())])
+
+
+def _halved(sides: list[tuple[str, str]]) -> str:
+    """Alternatives by their first characters, in halves that a look at the next character tells apart: few are tried at a place."""
+    if len(sides) <= SIDES:
+        return "|".join(p for _, p in sides)
+    halves = sides[: len(sides) // 2], sides[len(sides) // 2 :]
+    return "|".join(f"(?=[\\x{ord(h[0][0]):02x}-\\x{ord(h[-1][0]):02x}])(?:{_halved(h)})" for h in halves)
+
+
+def any_literal(phrases: Iterable[str]) -> str:
+    """A pattern that matches where one of several ASCII phrases stands; which of them, it doesn't tell."""
+    return _alternatives(phrases)
 
 
 def held(text: Column, vocabulary: frozenset[str]) -> Column:
@@ -105,4 +119,5 @@ def held(text: Column, vocabulary: frozenset[str]) -> Column:
 
 def held_any(found: Column, vocabulary: frozenset[str], some: frozenset[str]) -> Column:
     """Whether what ``held`` found tells of one of the stems. Where a stem stands, a longer one that starts with it may be found."""
-    return F.arrays_overlap(found, F.array(*[F.lit(v) for v in sorted(vocabulary) if v.startswith(tuple(some))]))
+    telling = sorted(v for v in vocabulary if v.startswith(tuple(some)))
+    return F.exists(found, lambda s: s.isin(*telling))  # a text holds few stems, each looked up in a set

@@ -95,9 +95,12 @@ def all_matches(text: Column, pattern: str, ignore_case: bool = False, group: in
     return F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), F.lit(group))
 
 
-def first_match(text: Column, patterns: Sequence[str], exact: Iterable[int] = ()) -> Column:
+def first_match(text: Column, patterns: Sequence[str], exact: Iterable[int] = (), o: Options | None = None) -> Column:
     """The first pattern's match in the order of the list, not of the text; empty if none matches."""
     found = [F.nullif(F.regexp_extract(text, java(p, i not in exact), 0), F.lit("")) for i, p in enumerate(patterns)]
+    if len(patterns) > 1 and o is not None and o.stems is not None:  # a list is likely for one of its patterns mostly
+        tests = [likely(text, (p,), o) for p in patterns]
+        found = [f if t is None else F.when(t, f) for t, f in zip(tests, found, strict=True)]
     return F.coalesce(*found, F.lit(""))
 
 
@@ -105,7 +108,7 @@ def group_rule(rule: str) -> Callable[[Column, Options], Column]:
     def check(text: Column, o: Options) -> Column:
         def one(group: C.Group) -> Column:
             cut = (lambda m: m) if group.cut is None else (lambda m: F.substring(m, 1, group.cut))
-            found = where(F.array(first_match(text, group.patterns, group.exact)), lambda m: violation(rule, group.description, cut(m), group.severity), lambda m: m != "")
+            found = where(F.array(first_match(text, group.patterns, group.exact, o)), lambda m: violation(rule, group.description, cut(m), group.severity), lambda m: m != "")
             return if_likely(text, group.patterns, found, o)
 
         found = F.concat(*[one(g) for g in C.GROUPS[rule]])
@@ -207,7 +210,7 @@ PATTERNS: dict[str, list[tuple[str, ...]]] = {
     "block_financial_advice": [(any_of(C.FINANCIAL_PHRASES),), (C.TRANSACTION,)],
     "block_hallucination": [(any_of(C.CLAIM_MARKERS),)],
     "require_human_approval": [(any_of(C.APPROVAL_PHRASES),), (C.APPROVAL_AMOUNT,)],
-} | {name: [*(g.patterns for g in groups), tuple(p for g in groups for p in g.patterns)] for name, groups in C.GROUPS.items()}
+} | {name: [*(g.patterns for g in groups), *((p,) for g in groups for p in g.patterns), tuple(p for g in groups for p in g.patterns)] for name, groups in C.GROUPS.items()}
 #: From how many stems on one pass for all is less work than a search for each.
 MANY_STEMS = 32
 
@@ -225,6 +228,14 @@ def _with_stems(text: Column, rules: list[Rule], options: Options | None, make:
     return F.element_at(F.transform(F.array(held(text, vocabulary)), lambda found: make(replace(options, stems=(found, vocabulary)))), 1)
 
 
+def checked(rule: Rule, text: Column, o: Options) -> Column:
+    """A rule's violations; where a text's stems are known, the whole rule is left out if none of its patterns may match."""
+    built_in = rule.check is CHECKS.get(rule.name) and not (rule.name == "require_human_approval" and o.threshold <= 0)
+    if o.stems is None or not built_in:
+        return rule.check(text, o)
+    return if_likely(text, [p for patterns in PATTERNS[rule.name] for p in patterns], rule.check(text, o), o)
+
+
 def resolve_rules(rules: Iterable[str | Rule], aliases: bool = False) -> list[Rule]:
     """Names and custom rules to rules; raises on unknown names and on things that aren't rules."""
     found = []
@@ -274,7 +285,7 @@ def once(column: Column) -> Column:
 def violations_of(text: Column, rules: Iterable[str | Rule], options: Options | None = None) -> Column:
     """All rules' violations over ``text``, in the order of the rules."""
     rules = resolve_rules(rules)
-    return _with_stems(text, rules, options, lambda o: F.concat(*[r.check(text, o) for r in rules])) if rules else nothing()
+    return _with_stems(text, rules, options, lambda o: F.concat(*[checked(r, text, o) for r in rules])) if rules else nothing()
 
 
 def scan(runs: DataFrame, rules: Iterable[str | Rule], options: Options | None = None, output: str = "output") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import catalog as C
 from ledgerlight.functions.patterns import any_of, translate
-from ledgerlight.functions.stems import held, held_any, stems, stems_of
+from ledgerlight.functions.stems import SIDES, _alternatives, any_literal, held, held_any, stems, stems_of
 from ledgerlight.operators import scan
 from ledgerlight.operators.extension import ChatExplainer, approval_requests, explained, explained_blocks, intercepted, pandas_rule, resolve_explainer, with_approvals, with_retry
 from ledgerlight.plans import fixtures
@@ -249,3 +249,26 @@ def test_stems_of_many_rules_in_one_pass(spark):
     got = df.select("t", *[held_any(F.col("found"), vocabulary, some).alias(str(i)) for i, some in enumerate(asked)]).collect()
     assert [list(r[1:]) for r in got] == [[any(s in r["t"].lower() for s in some) for some in asked] for r in got]
     assert str(scan.violations_of(F.col("t"), C.RULES)._jc.toString()).count("lower(") < 20
+
+
+def test_few_alternatives_are_tried_at_a_place():
+    """However many stems there are, a pattern of them tries SIDES of them at most before it looks at the next character."""
+    some = {a + b for a in "abcdefghijklmnop {" for b in ("x", "xy", "")} | {"$", "100%"}
+
+    def widest(tree):
+        own = [len(value[1]) for kind, value in tree if str(kind) == "BRANCH"]
+        below = [s for kind, value in tree for s in (value[1] if str(kind) == "BRANCH" else [value[-1]] if str(kind) in ("SUBPATTERN", "ASSERT") else [value[2]] if str(kind) == "MAX_REPEAT" else [])]
+        return max([*own, *map(widest, below)], default=0)
+
+    assert widest(re._parser.parse(_alternatives(some))) <= SIDES
+    for text in ("", "a", "zzpxy", "x 100% {xy", "q$"):
+        longest = [max((s for s in some if text.startswith(s, i)), key=len, default=None) for i in range(len(text))]
+        assert [m[1] for m in re.finditer(f"(?=({_alternatives(some)}))", text)] == [s for s in longest if s]
+
+
+def test_literal_patterns_match_where_alternations_do(spark):
+    texts = [*C.CLAIM_MARKERS, *C.NEGATIONS, *(m.upper() for m in C.CLAIM_MARKERS), *(m[:-1] for m in C.CLAIM_MARKERS), "cannoT", "n'", "", "k\u212anown"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for phrases in (C.CLAIM_MARKERS, C.NEGATIONS):
+        both = rows.select(F.col("t").rlike(translate(any_of(phrases), "java", True)), F.col("t").rlike(translate(any_literal(phrases), "java", True))).collect()
+        assert [a for a, _ in both] == [b for _, b in both]

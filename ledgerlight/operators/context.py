@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..sources.storage import checkpointed
-from .grounding import all_years, bigrams, cued_years, is_claim, negates, numbers, sentences, tokens
+from .grounding import SENTENCE_END, all_years, bigrams, cued_years, is_claim, negates, numbers, tokens, trimmed
 from .scan import java
 
 #: Width of a bucket of numbers that may be within one per cent of each other: they lie in one or in neighbours.
@@ -54,9 +54,14 @@ def index_of(documents: DataFrame, text: str = "text") -> Index:
 
 
 def claims(runs: DataFrame, key: str, output: str = "output") -> DataFrame:
-    """(key, n, s): the claim sentences of each row's text, by their place among its sentences."""
-    said = runs.select(key, F.posexplode_outer(sentences(F.col(output))).alias("n", "s")).filter("n is not null")
-    return said.filter(is_claim(F.col("s")))
+    """(key, n, s): the claim sentences of each row's text, by their place among its sentences.
+
+    No marker holds the end of a sentence or starts or ends with white space, so a text without one isn't split at all, and
+    only claims are trimmed.
+    """
+    said = F.filter(F.split(output, SENTENCE_END), lambda s: s.rlike(java(r"[^\s]")))
+    rows = runs.filter(is_claim(F.col(output))).select(key, F.posexplode_outer(said).alias("n", "s"))
+    return rows.filter(F.col("n").isNotNull() & is_claim(F.col("s"))).select(key, "n", trimmed(F.col("s")).alias("s"))
 
 
 def _held(wanted: DataFrame, words: DataFrame) -> DataFrame:

@@ -20,10 +20,15 @@ from .scan import Options, all_matches, if_likely, java, nothing, violation
 
 RULE = "block_hallucination"
 MOST = 3
+SENTENCE_END = "[.!?;]+"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[.!?;]+"), lambda s: F.trim(F.regexp_replace(s, java(r"^\s+|\s+$"), ""))), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), trimmed), lambda s: s != "")
+
+
+def trimmed(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(sentence, java(r"^\s+|\s+$"), ""))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -67,3 +67,14 @@ def test_no_cross_join(spark, index):
 
 def test_stopwords_are_plain():
     assert isinstance(C.STOPWORDS, tuple) and "the" in C.STOPWORDS and len(C.STOPWORDS) == len(set(C.STOPWORDS))
+
+
+def test_claims_split_only_texts_with_a_marker(spark):
+    """The same sentences at the same places as by ``grounding.sentences``; the marker is looked for before a text is split."""
+    texts = ["", None, "None here. Nor here!", " .  ;\t! As of 2019 it stands.\n\nThe value is 5  ? no; \u0085 based on the\x85", "AS PER.per the;as  of.x as of ", "it is set to\n. a!?b. Is Set To 4 "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    every = rows.select("k", F.posexplode_outer(grounding.sentences(F.col("t"))).alias("n", "s")).filter("n is not null").filter(grounding.is_claim(F.col("s")))
+    found = context.claims(rows, "k", "t")
+    assert sorted(found.collect()) == sorted(every.collect()) and found.count() >= 6
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+    assert "RLIKE" in below

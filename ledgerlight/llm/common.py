@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text that a task handles at once inside an Arrow batch, and bytes of text beyond which it takes fewer rows.
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Rows of an Arrow batch where a query is run here: a few slices. Spark's default is 10,000, some 31 MB of documents.
+BATCH_ROWS = 1024
 #: Bytes of one of a worker's caches, by reckoning, before its older half goes; an entry's own besides key and value.
 CACHE_BYTES, ENTRY_BYTES = 64 << 20, 150
 #: White space that every tokenizer here treats as a boundary.
@@ -40,10 +43,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/ledgerlight-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here send workers ``BATCH_ROWS`` rows at once at most; the session's own limit holds again afterwards.
+
+    A batch stands in the executor, outside its heap, and in the worker as a whole, and kernels take slices of it anyway.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, min(int(own), BATCH_ROWS) if int(own) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from ledgerlight.llm import jaccard_join, packing, quality, toxicity  # noqa: E402
+from ledgerlight.llm import common, jaccard_join, packing, quality, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,3 +65,19 @@ def test_one_row_of_each_class(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=key) == sorted([(1, a), (2, b), (None, c), (7, d), (8, ""), (9, None)], key=key)
     found = [tuple(r) for r in jaccard_join.near_classes(docs.filter("doc_id <= 2")).collect()]
     assert sorted(found) == [(1, 1, 1, 2, 1), (1, 1, 1, 2, 1), (2, 1, 2, 1, 1), (2, 2, 2, 1, 0)]
+
+
+def test_batches_sent_to_workers_are_small(spark):
+    """What a stage writes goes through workers in batches of bounded rows; the session's own limit stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    got = common.materialise(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n bigint"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 5000 and max(r["n"] for r in got) <= common.BATCH_ROWS
+    assert spark.conf.get(key) == own

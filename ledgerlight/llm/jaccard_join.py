@@ -6,6 +6,8 @@
    blocks, by their signatures alone. Signatures are compared some hashes at a time; a pair is dropped as soon as the
    posterior probability of a similarity at or above the threshold falls below the tolerance. A block returns a forest
    over the pairs that are left; pairs that it joins already aren't compared, so near copies cost one look along them.
+   Buckets of the same members are looked at once, and members travel with one byte of each hash: hashes that agree still
+   do, so no pair is dropped that whole hashes would leave.
 3. Connected components over these forests are coarse groups: no pair that passed lies across two of them, and texts that
    share a band but are unlike don't chain. Only members of a group fetch their texts. They meet in blocks, pairs are
    pruned in the same way, and the exact Jaccard similarity of the shingle sets decides on the rest. A block returns,
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TwoGenerations, frugal, materialise, read_table, slices, text_or_empty
+from .exact_dedup import filter_of, maybe_in
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -116,6 +119,13 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_a"] == b["text_a"]) & (a["text_b"] == b["text_b"])
 
 
+def maybe_among(rows: DataFrame) -> Column:
+    """Whether a row's key (ROW) may be one of those of ``rows``, by a Bloom filter of bounded size: false spares its text the
+    shuffle of a join, true decides nothing."""
+    words, bits = filter_of(rows.select(F.xxhash64(*ROW).alias("digest")))
+    return maybe_in(words, rows.sparkSession, F.xxhash64(*ROW), bits)
+
+
 def first_row() -> Column:
     """Of rows the key of the one with the smallest id, null ids last."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW))
@@ -156,6 +166,26 @@ def banded(representatives: DataFrame) -> DataFrame:
     return representatives.select("doc_id", "signature").mapInArrow(frugal(run), "band long, doc_id long")
 
 
+def sketched(representatives: DataFrame) -> DataFrame:
+    """(doc_id, signature): the lowest byte of each hash, a quarter of the signature's bytes."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, HASHES).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in low], pa.binary())], names=["doc_id", "signature"])
+
+    return representatives.select("doc_id", "signature").mapInArrow(frugal(run), "doc_id long, signature binary")
+
+
+def distinct_buckets(bands: DataFrame) -> DataFrame:
+    """(band, m) of buckets of m > 1 members, one of those that hold the same: near copies share most of their bands."""
+    who = [F.bit_xor(F.xxhash64("doc_id")).alias("who_a"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("who_b")]
+    buckets = bands.groupBy("band").agg(F.count("*").alias("m"), *who).filter("m > 1")
+    return buckets.groupBy("m", "who_a", "who_b").agg(F.min("band").alias("band")).select("band", "m")
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node of each connected component of edges (a, b); nodes without edges aren't listed.
 
@@ -272,7 +302,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 
 def likely_links(shared: DataFrame) -> DataFrame:
-    """Rows (band, doc_id, m, signature) of buckets of m members to (a, b): forests over the pairs that pruning leaves.
+    """Rows (band, doc_id, m, signature) of buckets of m members, by their sketches, to (a, b): forests over the pairs that pruning leaves.
 
     Tasks get their blocks sorted and hold the signatures of one block at a time: two times BLOCK members at most.
     """
@@ -294,7 +324,7 @@ def likely_links(shared: DataFrame) -> DataFrame:
                 continue
             head = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
             ids, sides = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
             cuts, found = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1).tolist(), len(head)], []
             for a, b in zip(cuts, cuts[1:]):
                 if tuple(head[a]) != key:
@@ -311,8 +341,8 @@ def likely_links(shared: DataFrame) -> DataFrame:
 def coarse_groups(representatives: DataFrame) -> DataFrame:
     """(node, component) of representatives (doc_id, signature) that have a likely partner."""
     bands = materialise(banded(representatives), "op10-bands")
-    buckets = materialise(bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "op10-buckets")
-    shared = bands.join(buckets, "band").join(representatives, "doc_id")
+    buckets = materialise(distinct_buckets(bands), "op10-buckets")
+    shared = bands.join(buckets, "band").join(sketched(representatives), "doc_id")
     return components(materialise(likely_links(shared), "op10-likely"), "op10-coarse")
 
 
@@ -361,8 +391,8 @@ def near_rows(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     reps = sets.select(F.col("node").alias("doc_id"), "signature")
     coarse = coarse_groups(reps)
     counts = materialise(coarse.groupBy("component").agg(F.count("*").alias("m")), "op10-counts")
-    with_sign = coarse.join(counts, "component").join(sets.select("node", "signature", "first.*"), "node")
-    texts = docs.select(*row_key(text, id_column), text_or_empty(text).alias("text"))
+    with_sign = materialise(coarse.join(counts, "component").join(sets.select("node", "signature", "first.*"), "node"), "op10-grouped")
+    texts = docs.select(*row_key(text, id_column), text_or_empty(text).alias("text")).filter(maybe_among(with_sign))
     firsts = texts.join(with_sign, same_row(texts, with_sign)).select("node", "component", "m", "signature", "text")
     firsts = materialise(firsts.dropDuplicates(["node"]).withColumnRenamed("node", "doc_id"), "op10-candidates")
     paired = in_blocks(firsts).withColumn("block", F.concat_ws("/", "component", "lo", "hi"))

@@ -518,6 +518,29 @@ def test_unlike_texts_do_not_chain(spark):
     assert groups[300] == 40 and max(n for c, n in groups.items() if c != 300) <= 6
 
 
+def test_buckets_of_the_same_members_are_looked_at_once(spark):
+    rows = [(b, d) for b in range(24) for d in (1, 2)] + [(30, 1), (30, 2), (30, 3), (31, 2), (31, 3), (32, 3), (33, 4)]
+    kept = jaccard_join.distinct_buckets(spark.createDataFrame(rows, "band long, doc_id long")).collect()
+    assert sorted((r["band"], r["m"]) for r in kept) == [(0, 2), (30, 3), (31, 2)]
+
+
+def test_sketches_agree_where_signatures_do(spark):
+    base = np.unique(np.random.default_rng(5).integers(1, 1 << 63, 200, dtype=np.uint64))
+    sig = jaccard_join.signatures([base[n:] for n in range(0, 100, 10)])
+    reps = spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(sig)], "doc_id long, signature binary")
+    low = {r["doc_id"]: np.frombuffer(r["signature"], np.uint8) for r in jaccard_join.sketched(reps).collect()}
+    assert len(low) == 10 and all(len(s) == jaccard_join.HASHES for s in low.values())
+    assert all((low[i] == low[0])[sig[i] == sig[0]].all() for i in low)
+
+
+def test_rows_that_a_join_wants_pass_the_filter(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("text_a"), F.xxhash64(F.lit(1), "id").alias("text_b"))
+    wanted = rows.filter("text_a % 10 = 0")
+    passed = rows.filter(jaccard_join.maybe_among(wanted))
+    assert wanted.exceptAll(passed).isEmpty() and passed.count() < wanted.count() + 40
+    assert rows.filter(jaccard_join.maybe_among(wanted.limit(0))).isEmpty()
+
+
 def test_pruning_thresholds():
     least = jaccard_join.least_agreement()
     for n, a in least.items():

@@ -131,8 +131,12 @@ def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = orders_of(spark, sf_dir)
-    return orders.select(*[F.expr(sql).alias(name) for name, sql in RUN_COLUMNS.items()])
+    return runs_of(orders_of(spark, sf_dir))
+
+
+def runs_of(orders: DataFrame, *more: str) -> DataFrame:
+    """The runs made from orders, with the columns ``more`` of these."""
+    return orders.select(*[F.expr(sql).alias(name) for name, sql in RUN_COLUMNS.items()], *more)
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:

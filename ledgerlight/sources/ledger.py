@@ -7,7 +7,8 @@ file; times and names of files don't count, so folders may be copied and touched
 
 Chaining is sequential by nature, so scale comes from many ledgers; within one, a task streams its lines in constant memory.
 Reading and verifying aren't: lines are numbered by file split and verified in segments, each of which yields where it ends,
-and only those ends are looked at in order. Verifying a line's own hash needs no order at all.
+and only those ends are looked at in order. Verifying a line's own hash needs no order at all. Neither shuffles the lines
+themselves: numbers come from a broadcast of where each split starts, and what is put in order of a line is its links.
 """
 
 from __future__ import annotations
@@ -88,15 +89,20 @@ def numbered(spark: SparkSession, path: str, but: set[str] = frozenset()) -> Dat
 
     ``append`` is the append's folder; what no commit names (plain files, old layouts) has none, and commit 0. Appends in
     ``but`` aren't read. Files are read by lines and in parts, so a ledger may be of any size: lines are numbered within
-    their part, and parts by the number of lines before them.
+    their part, and parts by the number of lines before them. Compressed files are one part each.
     """
+    return _numbered(spark, path, but).drop("line_no")
+
+
+def _numbered(spark: SparkSession, path: str, but: set[str] = frozenset()) -> DataFrame:
+    """``numbered`` lines with line_no, their numbers within the whole ledger."""
     places = matching(spark, path_of(path))
     by_commits = [p for p in places if exists(spark, f"{p}/_commits")]
     appended = [(place, n, folder) for place in by_commits for n, folder, _ in commits(spark, place) if folder not in but]
     # Besides its appends a folder may hold ledgers from before there were commits: those lines come first.
     plain = [p for p in places if p not in by_commits] + [f for p in by_commits for f in listed(spark, f"{p}/ledger=*")]
     if not plain and not appended:
-        return spark.createDataFrame([], LINES)
+        return spark.createDataFrame([], f"{LINES}, line_no bigint")
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").schema("value string")
     found = reader.text([*plain, *[f"{place}/{folder}" for place, _, folder in appended]]).filter("value <> ''").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line")
@@ -105,16 +111,24 @@ def numbered(spark: SparkSession, path: str, but: set[str] = frozenset()) -> Dat
     names = names if len(set(names.values())) == len(places) else {p: p for p in places}
     numbers = spark.createDataFrame([(_plain_path(f"{place}/{folder}"), folder, n, names[place]) for place, n, folder in appended], "at string, append string, commit bigint, place string")
     at = F.regexp_replace(_decoded(F.regexp_extract("file", "^(.*/data-[0-9a-f]{32})/", 1)), "^file:/+", "file:/")
-    found = found.withColumn("at", at).join(F.broadcast(numbers), "at", "left")  # a row for each append
     key = _decoded(_decoded(F.regexp_extract("file", "/ledger=([^/]+)/[^/]+$", 1)))  # once as a URL, once as a folder's name
     place = F.coalesce("place", F.regexp_extract("file", "([^/]+)/ledger=[^/]+/[^/]+$", 1))
     named = key if len(places) == 1 else F.concat(place, F.lit("/"), key)
-    found = found.withColumns({"ledger": F.when(key == "", F.col("file")).otherwise(named), "commit": F.coalesce("commit", F.lit(0))})
-    sizes = found.groupBy("ledger", "commit", "file", "part").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("ledger", "commit").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("file", "part").orderBy("nth")) - 1
-    return found.withColumn("within", within).join(starts, ["file", "part"]).select("ledger", "append", "commit", (F.col("start") + F.col("within")).alias("n"), "line")
+    # Lines of a part have consecutive numbers in its task: where those begin and how many there are places them all.
+    parts = found.groupBy("file", "part").agg(F.count("*").alias("size"), F.min("nth").alias("first"))
+    parts = parts.withColumn("at", at).join(F.broadcast(numbers), "at", "left")  # a row for each append
+    parts = parts.withColumns({"ledger": F.when(key == "", F.col("file")).otherwise(named), "commit": F.coalesce("commit", F.lit(0))})
+
+    def starts(window):
+        return F.coalesce(F.sum("size").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    own, whole = Window.partitionBy("ledger", "commit").orderBy("file", "part"), Window.partitionBy("ledger").orderBy("commit", "file", "part")
+    parts = parts.select("file", "part", "size", "first", "ledger", "append", "commit", starts(own).alias("in_append"), starts(whole).alias("in_ledger"))
+    # A row for each part, of which the driver keeps a list anyway. A file that grows may show one line more than were counted.
+    nth = F.col("nth") - F.col("first")
+    within = F.when(nth.between(0, F.col("size")), nth).otherwise(F.raise_error(F.lit("files were split anew while they were read: read them again")))
+    found = found.join(F.broadcast(parts), ["file", "part"], "left").withColumn("within", within)
+    return found.select("ledger", "append", "commit", (F.col("in_append") + F.col("within")).alias("n"), "line", (F.col("in_ledger") + F.col("within")).alias("line_no"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -123,11 +137,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     ``path`` may be a pattern; one that matches nothing raises. A ledger is what one ``ledger=`` folder holds, by commits or
     else by the names of its files, or a file by itself. If several folders match, names of ledgers start with the folder's.
     """
-    found = numbered(spark, path)
-    before = Window.partitionBy("ledger").orderBy("commit").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = found.groupBy("ledger", "commit").agg(F.count("*").alias("size"))
-    starts = sizes.select("ledger", "commit", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    return found.join(starts, ["ledger", "commit"]).select("ledger", (F.col("start") + F.col("n")).alias("line_no"), "line")
+    return _numbered(spark, path).select("ledger", "line_no", "line")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -205,7 +215,8 @@ def chain_state(raw: DataFrame) -> DataFrame:
 
 def ledger_key(key: Column) -> Column:
     """What names a record's ledger: its key as text; null and empty keys share one."""
-    return F.coalesce(F.nullif(key.cast("string"), F.lit("")), F.lit(NO_KEY))
+    text = key.cast("string")
+    return F.when(text != "", text).otherwise(NO_KEY)
 
 
 def linked(text: str | None, seq: int, prev: str) -> tuple[str, str]:
@@ -220,6 +231,18 @@ def linked(text: str | None, seq: int, prev: str) -> tuple[str, str]:
     return f'{hashed[:-1]},"row_hash":"{digest}"}}', digest
 
 
+def gathered(rows: DataFrame, ledger: str, order: str) -> DataFrame:
+    """``rows`` with each ledger's in one task and in order, for ``chained(..., gathered=True)``.
+
+    What a record is made from is often far smaller than its JSON: if that is gathered and the JSON made by narrow steps
+    after it, no JSON is shuffled. There are as many parts as the session's shuffles have, as the work on them isn't as small
+    as they are.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ledger_key(F.col(ledger))
+    return rows.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, order)
+
+
 def _gathered(rows: DataFrame) -> DataFrame:
     """``rows`` with each ledger's in one task.
 
@@ -229,8 +252,13 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.xxhash64("ledger"))
 
 
-def chained(records: DataFrame, ledger: str, order: str, json_column: str, state: DataFrame | None = None) -> DataFrame:
-    """(ledger, seq, prev_hash, row_hash, line): records of each ledger in order, chained on from ``state``."""
+def chained(records: DataFrame, ledger: str, order: str, json_column: str, state: DataFrame | None = None, gathered: bool = False) -> DataFrame:
+    """(ledger, seq, prev_hash, row_hash, line): records of each ledger in order, chained on from ``state``.
+
+    ``gathered``: the function of that name has dealt the records out, and only narrow steps have changed them since.
+    """
+    if gathered and state is not None:
+        raise ValueError("a join with a state may deal gathered records out anew")
     rows = records.select(ledger_key(F.col(ledger)).alias("ledger"), F.col(order).alias("o"), F.col(json_column).alias("json"))
     if state is not None:
         rows = rows.join(state.select("ledger", F.col("prev_hash").alias("p"), F.col("seq").alias("s")), "ledger", "left")
@@ -250,8 +278,8 @@ def chained(records: DataFrame, ledger: str, order: str, json_column: str, state
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["ledger", "seq", "prev_hash", "row_hash", "line"])
 
-    ordered = _gathered(rows).sortWithinPartitions("ledger", "o").select("ledger", "json", "p", "s")
-    return ordered.mapInArrow(run, "ledger string, seq bigint, prev_hash string, row_hash string, line string")
+    ordered = rows if gathered else _gathered(rows).sortWithinPartitions("ledger", "o")
+    return ordered.select("ledger", "json", "p", "s").mapInArrow(run, "ledger string, seq bigint, prev_hash string, row_hash string, line string")
 
 
 def commit(spark: SparkSession, path: str, write: Callable[[str], None], after: int | None = None, append_id: str = "") -> int:
@@ -270,19 +298,22 @@ def commit(spark: SparkSession, path: str, write: Callable[[str], None], after:
     return number
 
 
-def _commit(rows: DataFrame, path: str, after: int | None, append_id: str) -> int:
-    return commit(rows.sparkSession, path, lambda folder: rows.write.partitionBy("ledger").text(folder), after, append_id)
+def _commit(rows: DataFrame, path: str, after: int | None, append_id: str, compression: str | None = None) -> int:
+    return commit(rows.sparkSession, path, lambda folder: rows.write.partitionBy("ledger").text(folder, compression=compression), after, append_id)
 
 
-def append(chained_rows: DataFrame, path: str, after: int | None = None, append_id: str = "") -> int:
+def append(chained_rows: DataFrame, path: str, after: int | None = None, append_id: str = "", gathered: bool = False, compression: str | None = None) -> int:
     """Append chained lines to the ledgers at ``path``, a file for each ledger; the append's number.
 
     ``after`` is the last commit that the rows were chained on from: if another append has come since, this one raises
     AppendConflict and shows nothing. An append whose ``append_id`` is there already does nothing, so it may be tried again.
     What failed appends have written stays in folders that no commit names.
+
+    ``gathered``: the rows are as ``chained`` has made them, each ledger's in one task, and aren't shuffled again.
+    ``compression`` is one of Spark's for text ("gzip"); a compressed file is read by one task, with the same lines.
     """
-    one = chained_rows.repartition("ledger").sortWithinPartitions("ledger", "seq").select("ledger", F.col("line").alias("value"))
-    return _commit(one, path, after, append_id)
+    one = (chained_rows if gathered else chained_rows.repartition("ledger")).sortWithinPartitions("ledger", "seq").select("ledger", F.col("line").alias("value"))
+    return _commit(one, path, after, append_id, compression)
 
 
 def append_plain(records: DataFrame, ledger: str, order: str, json_column: str, path: str, append_id: str = "") -> int:
@@ -312,10 +343,11 @@ def _hash_fits(line: Column, row_hash: Column) -> Column:
 
 
 def _links(raw: DataFrame, *keys: str) -> DataFrame:
-    """(keys, line, corrupt, legacy, row_hash, prev_hash, seq, id) of lines."""
+    """(keys, corrupt, legacy, bad_hash, row_hash, prev_hash, seq, id) of lines: what is left to judge needs order, but no line."""
     p = parsed(raw).select(*keys, "line", "corrupt", "r.row_hash", "r.prev_hash", "r.seq", F.coalesce("r.id", "r.audit_id", "r.pipeline_id", F.lit("unknown")).alias("id"))
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    return p.withColumn("legacy", ~F.col("corrupt") & (empty("row_hash") | empty("prev_hash") | F.col("seq").isNull()))
+    p = p.withColumn("legacy", ~F.col("corrupt") & (empty("row_hash") | empty("prev_hash") | F.col("seq").isNull()))
+    return p.withColumn("bad_hash", ~F.col("corrupt") & ~F.col("legacy") & ~_hash_fits(F.col("line"), F.col("row_hash"))).drop("line")
 
 
 def faults(raw: DataFrame) -> DataFrame:
@@ -337,7 +369,7 @@ def faults(raw: DataFrame) -> DataFrame:
         "ledger", "line_no", "id", "seq", "corrupt", "legacy", expected.alias("expected_seq"),
         (valid & (F.col("seq") != expected)).alias("gap"),
         (valid & (F.col("prev_hash") != F.coalesce("__last.row_hash", F.lit(GENESIS)))).alias("bad_link"),
-        (valid & ~_hash_fits(F.col("line"), F.col("row_hash"))).alias("bad_hash"),
+        "bad_hash",
     )
 
 

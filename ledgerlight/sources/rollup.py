@@ -33,12 +33,11 @@ def parts(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("append", "ledger", "commit", "segment").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     link = F.when(valid, F.struct("n", "seq", "row_hash"))
     p = p.withColumn("last", F.last(link, ignorenulls=True).over(inside))
-    bad_hash = valid & ~ledger._hash_fits(F.col("line"), F.col("row_hash"))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     linked = valid & F.col("last").isNotNull()
     segments = p.groupBy("append", "ledger", "commit", "segment").agg(
         F.count("*").alias("total"), n(F.col("legacy")).alias("legacy"),
-        (n(F.col("corrupt")) + n(bad_hash) + n(linked & (F.col("prev_hash") != F.col("last.row_hash")))).alias("broken"),
+        (n(F.col("corrupt")) + n(F.col("bad_hash")) + n(linked & (F.col("prev_hash") != F.col("last.row_hash")))).alias("broken"),
         n(linked & (F.col("seq") != F.col("last.seq") + F.col("n") - F.col("last.n"))).alias("gaps"),
         F.min(F.when(valid, F.struct("n", "seq", "prev_hash"))).alias("head"), F.max(link).alias("tail"),
     )
